@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, warc
+from . import decontamination, fingerprint, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_urls": urls.op2_urls,
+        "op7_fingerprint": fingerprint.op7_fingerprint,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
