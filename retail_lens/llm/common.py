@@ -85,3 +85,14 @@ def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Ar
 
 def hash_buckets(df: DataFrame, *cols: str, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
+
+
+def hash_sample(df: DataFrame, key: str, most: int, salt: str, by: str | None = None) -> DataFrame:
+    """About ``most`` rows (of each value of ``by``), chosen by a hash of ``key``: the same rows each time, with no sort and no shuffle of them."""
+    counts = df.groupBy(by).count().collect() if by else [(None, df.count())]
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 30))
+    share = F.lit(0)
+    for value, n in counts:
+        part = F.lit(min(1 << 30, (most << 30) // max(n, 1)))
+        share = part if by is None else F.when(F.col(by) == value, part).otherwise(share)
+    return df.where(draw < share)

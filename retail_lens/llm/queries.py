@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, urls, warc
+from . import decontamination, fingerprint, language, packing, pii, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_urls": urls.op2_urls,
+        "op3_packing": packing.op3_packing,
+        "op4_language": language.op4_language,
         "op7_fingerprint": fingerprint.op7_fingerprint,
+        "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
