@@ -150,7 +150,7 @@ def _rejoined(pieces: DataFrame, odd: DataFrame) -> DataFrame:
     broken = odd.where("real and length is not null").withColumn("last", F.col("offset") + F.col("head") + F.col("length") + 2 * len(CRLF))
     spans = broken.select("file", F.col("offset").alias("record"), "last", F.explode(F.sequence(F.expr(f"offset div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("slot"))
     parts = odd.select("file", "block", "seq", "offset", F.expr(f"offset div {BLOCK}").alias("slot"))
-    held = parts.join(spans, ["file", "slot"]).where("offset >= record and offset <= last").select("file", "block", "seq", "offset", "record")
+    held = common.materialize(parts.join(spans, ["file", "slot"]).where("offset >= record and offset <= last").select("file", "block", "seq", "offset", "record"), "warc-held")
     texts = pieces.join(held, ["file", "block", "seq"])
     first = F.col("offset") == F.col("record")
     joined = texts.groupBy("file", "record").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("header", "head", "length")), F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
