@@ -18,7 +18,7 @@ CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
 #: Offsets are joined to record intervals by blocks of so many bytes.
 BLOCK = 1 << 20
-FIELDS = ("file", "header", "piece", "head", "length")
+FIELDS = ("path", "header", "piece", "head", "length")
 
 
 def payload_records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -65,13 +65,13 @@ def _field(header: Column, name: str) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The files cut at each magic, in scan order: file, block (where the split starts), seq, piece (bytes after the magic),
+    """The files cut at each magic, in scan order: path, file (its hash, a short key), block (where the split starts), seq, piece (bytes after the magic),
     and of pieces with a parsable header: head (its bytes) and length (its Content-Length)."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value"))
+        F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value"))
     header = F.substring_index("value", CRLF + CRLF, 1)
     parsed = lines.withColumn("header", F.when((F.substring("value", 2, 2) == CRLF) & F.col("value").contains(CRLF + CRLF), header))
-    return parsed.select("file", "block", "seq", F.col("value").cast("binary").alias("piece"), "header", F.octet_length("header").cast("long").alias("head"), _field(F.col("header"), "Content-Length").try_cast("long").alias("length"))
+    return parsed.select("path", "file", "block", "seq", F.col("value").cast("binary").alias("piece"), "header", F.octet_length("header").cast("long").alias("head"), _field(F.col("header"), "Content-Length").try_cast("long").alias("length"))
 
 
 def offsets(cut: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     records = pieces.join(odd.select("file", "block", "seq"), ["file", "block", "seq"], "left_anti").select(*FIELDS).union(_rejoined(pieces, odd))
     h = F.col("header")
     payload = F.col("piece").substr(F.col("head").cast("int") + F.lit(2 * len(CRLF) + 1), F.col("length").cast("int"))
-    out = records.select("file", h, payload.alias("payload"), _field(h, "WARC-Type").alias("type"), _urn(h, "WARC-Record-ID").alias("record_id"), _urn(h, "WARC-Refers-To").alias("refers_to"), _field(h, "WARC-Payload-Digest").alias("noted"), _field(h, "WARC-Payload-Length").try_cast("long").alias("noted_size"))
+    out = records.select(F.col("path").alias("file"), h, payload.alias("payload"), _field(h, "WARC-Type").alias("type"), _urn(h, "WARC-Record-ID").alias("record_id"), _urn(h, "WARC-Refers-To").alias("refers_to"), _field(h, "WARC-Payload-Digest").alias("noted"), _field(h, "WARC-Payload-Length").try_cast("long").alias("noted_size"))
     revisit = F.col("type") == "revisit"
     digest = F.when(revisit, F.substring_index("noted", ":", -1)).otherwise(F.sha2("payload", 256))
     size = F.when(revisit, F.col("noted_size")).otherwise(F.octet_length("payload").cast("long"))
@@ -153,7 +153,7 @@ def _rejoined(pieces: DataFrame, odd: DataFrame) -> DataFrame:
     held = common.materialize(parts.join(spans, ["file", "slot"]).where("offset >= record and offset <= last").select("file", "block", "seq", "offset", "record"), "warc-held")
     texts = pieces.join(held, ["file", "block", "seq"])
     first = F.col("offset") == F.col("record")
-    joined = texts.groupBy("file", "record").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("header", "head", "length")), F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
+    joined = texts.groupBy("file", "record").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("path", "header", "head", "length")), F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
     return joined.withColumn("piece", F.array_join(F.transform("parts", lambda p: p["piece"].cast("string")), MAGIC).cast("binary")).select(*FIELDS)
 
 
