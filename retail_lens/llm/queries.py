@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, language, packing, pii, urls, warc
+from . import decontamination, fingerprint, jaccard, language, packing, pii, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_language": language.op4_language,
         "op7_fingerprint": fingerprint.op7_fingerprint,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op10_decontamination": decontamination.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_decontamination": decontamination.ORACLE}
