@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, jaccard, language, packing, pii, substrings, urls, warc
+from . import decontamination, fingerprint, jaccard, language, licenses, packing, pii, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_urls": urls.op2_urls,
         "op3_packing": packing.op3_packing,
         "op4_language": language.op4_language,
+        "op5_licenses": licenses.op5_licenses,
         "op6_substrings": substrings.op6_substrings,
         "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_jaccard": jaccard.op8_jaccard,
