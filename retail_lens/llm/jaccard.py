@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from .words import SPACED, Words, chunks, grams
 BITS = 1024
 #: Rows of a tile's side; a band with more rows makes more tiles.
 TILE = 2048
+#: Pairs that are compared at a time.
+STEP = 1 << 17
 #: Documents whose frequent shingles go last in the order, and the most such shingles. They decide the work, never the result.
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 100_000
 #: A shingle is frequent if so many documents of the sample have it.
@@ -181,24 +183,48 @@ def _tiled(met: DataFrame, sets: DataFrame, component: DataFrame, per_cent: int)
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
     dealt = placed.join(sizes, ["token", "band"]).withColumn("mine", mine).withColumn("tile", F.explode(tiles)).join(sets.select("doc_id", "bits"), "doc_id")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id"])
-        ids, n, comp, home, block = (pdf[c].to_numpy() for c in ("doc_id", "n", "component", "home", "mine"))
-        bits, i, j = _stack(pdf["bits"].tolist()), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        found = []
-        for x in range(len(ids)):
-            to = np.searchsorted(n, n[x] * 100 // per_cent, "right")  # sizes are sorted: those that n[x] can be similar to
-            y = np.arange(x + 1, to)
-            y = y[(comp[y] != comp[x]) & (home[y] | home[x])]
-            y = y[block[y] != block[x]] if i != j else y
-            if len(y):
-                over = np.minimum(_bound(np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64), n[x], n[y]), n[x])
-                y = y[_may(over, n[x], n[y], per_cent)]
-                found.append(np.column_stack((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]))))
-        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
-
-    pairs = dealt.select("token", "band", "tile.i", "tile.j", "doc_id", "n", "component", "home", "mine", "bits").groupBy("token", "band", "i", "j").applyInPandas(one, "a long, b long")
-    return pairs.distinct()
+    keys = ["token", "band", "i", "j"]
+    rows = dealt.select("token", "band", "tile.i", "tile.j", "n", "doc_id", "component", "home", "mine", "bits").repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = np.column_stack([batch.column(k).to_numpy() for k in keys])
+            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            last = int(new[-1]) if len(new) else 0
+            if not last:  # one tile goes on through the whole batch, or starts with it
+                left.append(batch)
+                continue
+            yield from _compare(pa.Table.from_batches([*left, batch.slice(0, last)]), keys, per_cent)
+            left = [batch.slice(last)]
+        if left:
+            yield from _compare(pa.Table.from_batches(left), keys, per_cent)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compare(t: pa.Table, keys: list[str], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of whole tiles, whose rows are sorted by tile and size: all at once, STEP pairs at a time."""
+    col = {c: t.column(c).to_numpy() for c in (*keys, "n", "doc_id", "component", "home", "mine")}
+    bits = _stack(t.column("bits").to_pylist())
+    tile = np.cumsum(np.concatenate(([0], np.any([col[k][1:] != col[k][:-1] for k in keys], axis=0)))) << 40
+    n = col["n"]
+    stop = np.searchsorted(tile + n, tile + n * 100 // per_cent, "right")  # up to the largest set that each can be similar to
+    counts = stop - np.arange(len(n)) - 1
+    sums = np.cumsum(counts)
+    begin = 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + STEP, "right")))
+        c = counts[begin:end]
+        x = np.repeat(np.arange(begin, end), c)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+        keep = (col["component"][x] != col["component"][y]) & (col["home"][x] | col["home"][y]) & ((col["i"][x] == col["j"][x]) | (col["mine"][x] != col["mine"][y]))
+        x, y = x[keep], y[keep]
+        pop = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
+        keep = _may(np.minimum(_bound(pop, n[x], n[y]), n[x]), n[x], n[y], per_cent)
+        a, b = col["doc_id"][x[keep]], col["doc_id"][y[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        begin = end
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, per_cent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
