@@ -91,7 +91,7 @@ def matches(text: Column, pattern: str, needs: str, body) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All proposed spans of a text, overlapping ones too: start, kind (its place in KINDS), stop, base, and the features."""
+    """All proposed spans of a text, overlapping ones too: start, order (its kind's place in KINDS), stop, base, wide (proposed by a wider generator), and the features."""
     def described(kind: str, base: bool):
         def body(start: Column, span: Column) -> Column:
             stop = start + F.length(span)
@@ -101,13 +101,13 @@ def candidates(text: Column) -> Column:
                 "kind": F.lit(float(KINDS.index(kind))), "chars": F.length(span), "digits": F.length(_digits(span)), "separators": F.length(F.regexp_replace(span, "[A-Za-z0-9]", "")),
                 "groups": F.size(F.split(span, "[^A-Za-z0-9]+")), "hint": F.lower(around).rlike(HINTS[kind]).cast("int"), "spaced": (before.rlike(r"(?:\A|\s)\z")).cast("int"),
             }
-            return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), stop.alias("stop"), (holds(kind, span) if base else F.lit(False)).alias("base"), *(features[f].cast("double").alias(f) for f in FEATURES))
+            return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("order"), stop.alias("stop"), (holds(kind, span) if base else F.lit(False)).alias("base"), F.lit(not base).alias("wide"), (holds(kind, span) if kind == "card" and not base else F.lit(True)).alias("sound"), *(features[f].cast("double").alias(f) for f in FEATURES))
 
         return body
 
     found = [matches(text, BASE[k], NEEDS[k], described(k, True)) for k in KINDS] + [matches(text, WIDER[k], WIDER_NEEDS[k], described(k, False)) for k in WIDER]
     # a proposal that meets a base span adds nothing to it
-    free = lambda every: F.filter(every, lambda c: c["base"] | ~F.exists(every, lambda b: b["base"] & (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    free = lambda every: F.filter(every, lambda c: c["base"] | c["sound"] & ~F.exists(every, lambda b: b["base"] & (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     return let(F.concat(*found), free)
 
 
@@ -138,14 +138,14 @@ def _node(node):
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Trees:
-    """Trees that tell base spans from the other proposals, fitted on about ``fit_docs`` documents, chosen by the hash of ``key``.
+    """Trees that tell base spans from what else the base patterns match, fitted on about ``fit_docs`` documents, chosen by the hash of ``key``.
 
-    Four fifths of the sample's proposals train; on the rest the threshold is set: the least margin from which on at least
+    Proposals of the wider generators have no label and are left out. Four fifths of the sample train; on the rest the threshold is set: the least margin from which on at least
     PRECISION of the selected proposals are base spans. With under LEAST_ROWS rows of either class, or no such margin, the
     trees select nothing and the base spans stand alone.
     """
     sample = common.hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null"), "k", fit_docs, "pii").withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit("held")))
-    rows = sample.select("h", F.explode(candidates(F.col("t"))).alias("c")).select((F.pmod("h", F.lit(5)) == 0).alias("held"), F.col("c.base").cast("double").alias("label"), "c.*")
+    rows = sample.select("h", F.explode(candidates(F.col("t"))).alias("c")).where("not c.wide").select((F.pmod("h", F.lit(5)) == 0).alias("held"), F.col("c.base").cast("double").alias("label"), "c.*")
     rows = common.materialize(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("held", "label", "features"), "pii-sample")
     sizes = {(r["held"], r["label"]): r["count"] for r in rows.groupBy("held", "label").count().collect()}
     if min(sizes.get((held, label), 0) for held in (False, True) for label in (0.0, 1.0)) < LEAST_ROWS // 5 or min(sizes.get((False, label), 0) for label in (0.0, 1.0)) < LEAST_ROWS:
