@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,9 +52,14 @@ def drop(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which else wait for the driver's next garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps, which else wait for the driver's next garbage collections.
+
+    Python lets go of its handles in the first round, and the JVM of what they held in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: T.StructType) -> DataFrame:
