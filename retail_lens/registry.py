@@ -1,28 +1,43 @@
-"""Registered queries of the retail operators, with their DuckDB SQL."""
+"""Named queries, each with the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity")
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def nation_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each nation."""
-    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
-    counts = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    return nation.join(counts, "n_nationkey", "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under its own name."""
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-FLAGSHIP: Query = nation_customers
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"retail_lens.operators.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {"nation_customers": nation_customers}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"nation_customers": "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"}
+    _load()
+    return dict(_SQL)
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["brand_rank"](spark, sf_dir)
