@@ -18,7 +18,7 @@ class Rules:
     garments: str = r"\b(widget|gizmo)\b"
     accessories: str = r"\b(ring|rod)\b"
     sale_discount: float = 0.09
-    price_window: tuple[float, float] = (905.0, 1700.0)
+    price_window: tuple[float, float] = (905.0, 985.0)
     near_miles: float = 15.0
     min_support: int = 5
     aliases: dict = field(default_factory=lambda: {"brand25": "brand1"})

@@ -111,7 +111,7 @@ def brand_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {LISTINGS_SQL}, k AS (SELECT vendor, product_type = 'LARGE' AS category, CASE WHEN title LIKE 'small%' THEN NULL ELSE title LIKE 'red%' END AS material, CASE WHEN price BETWEEN 905 AND 1700 THEN price <= 950 END AS band FROM listings),
+WITH {LISTINGS_SQL}, k AS (SELECT vendor, product_type = 'LARGE' AS category, CASE WHEN title LIKE 'small%' THEN NULL ELSE title LIKE 'red%' END AS material, CASE WHEN price BETWEEN 905 AND 985 THEN price <= 950 END AS band FROM listings),
 y AS (SELECT vendor, CAST(category AS INT) + coalesce(CAST(material AS INT), 0) + coalesce(CAST(band AS INT), 0) AS yes, 1 + CAST(material IS NOT NULL AS INT) + CAST(band IS NOT NULL AS INT) AS known FROM k)
 SELECT vendor, count(*) AS products, CAST(sum(CAST(known >= 2 AND yes = known AS INT)) AS BIGINT) AS relevant, round(avg(CASE WHEN known >= 2 THEN CAST(yes = known AS INT) END), 6) AS share FROM y GROUP BY vendor""")
 def tri_state_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
