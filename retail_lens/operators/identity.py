@@ -1 +1,63 @@
+"""Entity resolution: sightings that share an identity key, directly or through others, are one store."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import table
+from ..registry import query
+
+
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def resolve(sightings: DataFrame, seq: str, keys: str) -> DataFrame:
+    """(seq, store): store is the smallest seq that shared keys lead to.
+
+    Labels and keys exchange minima: a key takes the least label of its sightings, a sighting the least of its keys. Labels
+    also jump to their label's label, so that long chains end in a logarithmic number of rounds. Minima combine before the
+    shuffle, so a key that very many sightings have is no one task's.
+    """
+    links = _saved(sightings.select(F.col(seq).alias("seq"), F.explode(keys).alias("key")).where("key is not null and key <> ''").distinct(), "links")
+    labels = _saved(sightings.select(F.col(seq).alias("seq"), F.col(seq).alias("store")).distinct(), "labels")
+    while True:
+        by_key = _saved(links.join(labels, "seq").groupBy("key").agg(F.min("store").alias("store")), "by-key")
+        least = links.join(by_key, "key").groupBy("seq").agg(F.min("store").alias("least"))
+        near = labels.join(least, "seq", "left").select("seq", "store", F.coalesce("least", "store").alias("least"))
+        hop = labels.select(F.col("seq").alias("least"), F.col("store").alias("jump"))
+        new = _saved(near.join(hop, "least", "left").select("seq", "store", F.least("least", F.coalesce("jump", "least")).alias("new")), "labels")
+        changed = not new.where("new < store").isEmpty()
+        labels = new.select("seq", F.col("new").alias("store"))
+        if not changed:
+            return labels
+
+
+_KEYS = "['site:' || CAST(c_custkey // 3 AS VARCHAR), CASE WHEN c_custkey % 7 = 0 THEN 'in:' || CAST(c_custkey % 49 AS VARCHAR) END, CASE WHEN c_custkey % 100 = 3 THEN 'place:' || CAST(c_nationkey AS VARCHAR) END]"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT c_custkey AS seq, unnest({_KEYS}) AS key FROM customer), l AS (SELECT DISTINCT seq, key FROM k WHERE key IS NOT NULL), e AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM l a JOIN l b ON a.key = b.key), r AS (SELECT c_custkey AS seq, c_custkey AS other FROM customer UNION SELECT r.seq, e.b FROM r JOIN e ON e.a = r.other)
+SELECT store, count(*) AS sightings FROM (SELECT seq, min(other) AS store FROM r GROUP BY seq) GROUP BY store""")
+def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings of each store, by site, handle and place keys."""
+    k = F.col("c_custkey")
+    keys = F.array(F.concat(F.lit("site:"), F.floor(k / 3).cast("string")), F.when(k % 7 == 0, F.concat(F.lit("in:"), (k % 49).cast("string"))), F.when(k % 100 == 3, F.concat(F.lit("place:"), F.col("c_nationkey").cast("string"))))
+    return resolve(table(spark, sf_dir, "customer").select("c_custkey", keys.alias("keys")), "c_custkey", "keys").groupBy("store").agg(F.count("*").alias("sightings"))
+
+
+@query("WITH k AS (SELECT s_suppkey, s_suppkey % 40 AS site FROM supplier) SELECT site, min(s_suppkey) AS store, count(*) AS folded FROM k GROUP BY site")
+def fold_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores of one website folded into the first."""
+    return table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 40).alias("site")).agg(F.min("s_suppkey").alias("store"), F.count("*").alias("folded"))

@@ -1 +1,67 @@
+"""Text similarity: sublinear TF-IDF over word n-grams, and cosine to a reference row."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import table
+from ..registry import query
+
+
+def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), each document's weights of length 1.
+
+    Terms are words of two letters or more and their pairs; those in under ``min_df`` documents go. All of it is aggregates.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), 0)
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    terms = docs.select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term"))
+    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    n = docs.agg(F.countDistinct(key).alias("docs"))
+    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # one row
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+@query(r"""
+WITH d AS (SELECT p_brand, string_agg(p_name || ' ' || lower(p_type), ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand),
+w AS (SELECT p_brand, regexp_extract_all(lower(text), '\b\w\w+\b') AS w FROM d),
+t AS (SELECT p_brand, unnest(w) AS term FROM w UNION ALL SELECT p_brand, w[i] || ' ' || w[i + 1] FROM (SELECT p_brand, w, unnest(range(1, len(w))) AS i FROM w)),
+tf AS (SELECT p_brand, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT p_brand, tf.term AS term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN df ON df.term = tf.term),
+n AS (SELECT p_brand, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), v AS (SELECT x.p_brand AS p_brand, term, w / norm AS w FROM x JOIN n ON n.p_brand = x.p_brand)
+SELECT a.p_brand AS brand, round(sum(a.w * b.w), 5) AS cosine FROM v a JOIN v b ON b.term = a.term AND b.p_brand = 'Brand#7' WHERE a.p_brand <> 'Brand#7' GROUP BY a.p_brand""")
+def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near each brand's product texts are to the home brand's."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("t")).alias("x"))
+    docs = part.groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), " ").alias("text"))
+    v = tfidf(docs, "p_brand", "text")
+    home = v.where("p_brand = 'Brand#7'").select("term", F.col("weight").alias("home"))
+    return v.where("p_brand <> 'Brand#7'").join(home, "term").groupBy(F.col("p_brand").alias("brand")).agg(F.round(F.sum(F.col("weight") * F.col("home")), 5).alias("cosine"))
+
+
+@query("WITH b AS (SELECT CAST(item_id AS BIGINT) AS item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t) WHERE len(string_split(b.t, ' ')) >= 8".replace("\\\\", "\\"))
+def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole claim, spaces and case aside: candidates meet on the claim's second to seventh word, as the first and
+    last may be parts of words, and then the text is searched. Claims have eight words at least."""
+    def words(c):
+        return F.split(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), " ")
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") >= 8)
+    b = b.select("item_id", F.array_join("w", " ").alias("claim"), F.array_join(F.slice("w", 2, 6), " ").alias("key"))
+    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 6), " ")))
+    near = d.select("doc_id", F.explode(keys).alias("key")).join(b, "key").select("doc_id", "item_id", "claim").distinct()
+    texts = d.select("doc_id", F.array_join("w", " ").alias("t"))
+    return near.join(texts, "doc_id").where(F.col("t").contains(F.col("claim"))).select("doc_id", "item_id")
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id, e FROM v WHERE vec_id = 0) SELECT v.vec_id AS vec_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 4) AS cosine FROM v CROSS JOIN q")
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of every vector to the reference row."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    one = e.where("vec_id = 0").select(F.col("e").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(dot("e", "q") / (F.sqrt(dot("e", "e")) * F.sqrt(dot("q", "q"))), 4).alias("cosine"))  # one row
