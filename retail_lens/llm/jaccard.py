@@ -21,7 +21,7 @@ from . import common
 from .components import connected_components
 from .words import SPACED, Words, chunks, grams
 
-#: Bits of a signature.
+#: Bits of a signature at least; a set of more shingles has the next power of two.
 BITS = 1024
 #: Rows of a tile's side; a band with more rows makes more tiles.
 TILE = 2048
@@ -60,7 +60,25 @@ def shared(n: int) -> int:
 
 def parity_bits(values: np.ndarray) -> bytes:
     """Bit b is the parity of the number of hashes that fall on b: two sets differ in at least as many elements as in bits."""
-    return np.packbits((np.bincount((values >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    width = max(BITS, 1 << (len(values) - 1).bit_length()) if len(values) else BITS
+    return np.packbits((np.bincount((values >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(bits: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows x and y differ. A wider signature is folded to the narrower one's width: the halves' parities add up."""
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    pop = np.zeros(len(x), np.int64)
+    pair = np.minimum(size[x], size[y])
+    for width in np.unique(pair).tolist():
+        at = np.flatnonzero(pair == width)
+        rows, place = np.unique(np.concatenate((x[at], y[at])), return_inverse=True)
+        folded = np.empty((len(rows), width // 8), np.uint64)
+        for k, r in enumerate(rows.tolist()):
+            folded[k] = np.bitwise_xor.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, width // 8), axis=0)
+        for begin in range(0, len(at), max(1, STEP * 128 // width)):
+            part = slice(begin, begin + max(1, STEP * 128 // width))
+            pop[at[part]] = np.bitwise_count(folded[place[: len(at)][part]] ^ folded[place[len(at) :][part]]).sum(axis=1)
+    return pop
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -132,8 +150,8 @@ def _pairs_bounded(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFram
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         a, b, n_a, n_b = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("a", "b", "n_a", "n_b"))
-        bits = [_stack(batch.column(batch.schema.get_field_index(x)).to_pylist()) for x in ("bits_a", "bits_b")]
-        pop = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
+        bits = [v for x in ("bits_a", "bits_b") for v in batch.column(batch.schema.get_field_index(x)).to_pylist()]
+        pop = differing(bits, np.arange(len(a)), np.arange(len(a), 2 * len(a)))
         keep = _may(np.minimum(_bound(pop, n_a, n_b), np.minimum(n_a, n_b)), n_a, n_b, per_cent)
         return pa.table({"a": a[keep], "b": b[keep]})
 
@@ -141,10 +159,6 @@ def _pairs_bounded(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFram
     return common.map_batches(joined, run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def _stack(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """(a, b) of ``pairs`` whose sorted shingle arrays intersect enough. Arrays are made again, for the documents in pairs alone."""
     wanted = common.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
@@ -206,7 +220,7 @@ def _tiled(met: DataFrame, sets: DataFrame, component: DataFrame, per_cent: int)
 def _compare(t: pa.Table, keys: list[str], per_cent: int) -> Iterator[pa.RecordBatch]:
     """The possible pairs of whole tiles, whose rows are sorted by tile and size: all at once, STEP pairs at a time."""
     col = {c: t.column(c).to_numpy() for c in (*keys, "n", "doc_id", "component", "home", "mine")}
-    bits = _stack(t.column("bits").to_pylist())
+    bits = t.column("bits").to_pylist()
     tile = np.cumsum(np.concatenate(([0], np.any([col[k][1:] != col[k][:-1] for k in keys], axis=0)))) << 40
     n = col["n"]
     stop = np.searchsorted(tile + n, tile + n * 100 // per_cent, "right")  # up to the largest set that each can be similar to
@@ -220,8 +234,7 @@ def _compare(t: pa.Table, keys: list[str], per_cent: int) -> Iterator[pa.RecordB
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
         keep = (col["component"][x] != col["component"][y]) & (col["home"][x] | col["home"][y]) & ((col["i"][x] == col["j"][x]) | (col["mine"][x] != col["mine"][y]))
         x, y = x[keep], y[keep]
-        pop = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
-        keep = _may(np.minimum(_bound(pop, n[x], n[y]), n[x]), n[x], n[y], per_cent)
+        keep = _may(np.minimum(_bound(differing(bits, x, y), n[x], n[y]), n[x]), n[x], n[y], per_cent)
         a, b = col["doc_id"][x[keep]], col["doc_id"][y[keep]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         begin = end
