@@ -159,11 +159,12 @@ def _pairs_bounded(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFram
     return common.map_batches(joined, run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int, hint: str | None = None) -> DataFrame:
     """(a, b) of ``pairs`` whose sorted shingle arrays intersect enough. Arrays are made again, for the documents in pairs alone."""
     wanted = common.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    wanted_ids = wanted.hint(hint) if hint else wanted
     make = lambda batch: pa.table({"doc_id": batch.column(0), "set": pa.array([s.tobytes() for s in shingle_sets(batch.column(1), width)], pa.binary())})
-    arrays = common.materialize(common.map_batches(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), make, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set", T.BinaryType())])), "arrays")
+    arrays = common.materialize(common.map_batches(docs.join(wanted_ids, "doc_id", "left_semi").select("doc_id", "text"), make, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set", T.BinaryType())])), "arrays")
     common.release(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
@@ -260,7 +261,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, per_cent: int = 80, key: st
     ends = common.materialize(met.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "ends")
     star = met.join(ends, "token").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
     near = _pairs_bounded(star.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct(), sets, per_cent)
-    links = _verified(common.materialize(near, "near"), docs, width, per_cent)
+    # near copies are a share of the corpus, so finding their texts is a shuffle at every size
+    links = _verified(common.materialize(near, "near"), docs, width, per_cent, hint="merge")
     component = common.materialize(connected_components(links), "components").select(F.col("node").alias("doc_id"), "component")
     rest = common.materialize(_tiled(met, sets, component, per_cent), "apart")
     if not rest.isEmpty():
