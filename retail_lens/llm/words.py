@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text taken at a time; one longer document is taken alone.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _SEEDS = (0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
