@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,13 +13,17 @@ from ..catalog import table
 from ..registry import query
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def _saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share, and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # no cluster has told one: a session of this machine's own
+        base = _own_dir()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
