@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity")
+MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
