@@ -25,7 +25,7 @@ def payload_records(pages: DataFrame, key: str = "page_id", uri: str = "url", pa
     """One row a record: key, uri, payload (binary), digest, size, refers_to (the response's key for revisits, else null).
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the smallest key is the response. Null payloads are empty;
-    null uris are empty; rows repeated with one key are records of one key, and refer to it if another row is the response.
+    null uris are empty; a null key gives a response without a record id; rows repeated with one key are records of one key, and refer to it if another row is the response.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), body.alias("payload"))
@@ -162,7 +162,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_dir(spark, "warc")
     write_warc(payload_records(common.table(spark, sf_dir, "pages")), path)
     back = read_warc(spark, path)
-    return back.select(F.col("record_id").cast("long").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+    return back.select(F.col("record_id").try_cast("long").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").try_cast("long").alias("refers_to"))
 
 
 ORACLE = """

@@ -36,6 +36,12 @@ def test_warc_of_no_pages(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_of_a_row_without_key(spark):
+    path = common.scratch_dir(spark, "archives")
+    warc.write_warc(warc.payload_records(spark.createDataFrame([(None, None, "x" * 200, None), (3, "u", "x" * 200, None)], SCHEMA)), path)
+    assert {(r.type, r.record_id, r.size) for r in warc.read_warc(spark, path).collect()} == {("response", None, 200), ("response", "3", 200)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200), (300, 301), (301, 300), (None, 5)] + [(500, 500 + i) for i in range(1, 40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
