@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,9 +67,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has a bound of its own: two copies of a batch are in the JVM and several in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` by a function of one batch."""
     arrow = to_arrow_schema(schema)
+    _bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
