@@ -56,11 +56,16 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _later_in_row(h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """True for windows that stand earlier in their own row."""
-    order = np.lexsort((np.arange(len(h1)), h2, h1, row))
+    """True for windows that stand earlier in their own row. One sort finds hashes that come twice; only those are compared in full."""
     same = np.zeros(len(h1), bool)
-    a, b = order[1:], order[:-1]
-    same[a] = (h1[a] == h1[b]) & (h2[a] == h2[b]) & (row[a] == row[b])
+    key = h1 ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(key)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        order = at[np.lexsort((at, h2[at], h1[at], row[at]))]
+        a, b = order[1:], order[:-1]
+        same[a] = (h1[a] == h1[b]) & (h2[a] == h2[b]) & (row[a] == row[b])
     return same
 
 
@@ -138,7 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             change = np.zeros(len(w) + 1, np.int64)
             if len(h) >= window:
                 inside = within(w.row, window)
-                s = np.flatnonzero(inside & _later_in_row(grams(h, window), grams(h, window, 1), np.where(inside, w.row[: len(inside)], -1)))
+                s = np.flatnonzero(inside)
+                s = s[_later_in_row(grams(h, window)[s], grams(h, window, 1)[s], w.row[s])]
                 np.add.at(change, s, 1)
                 np.add.at(change, s + window, -1)
             for r, x in enumerate(lists.slice(at, len(part))):
