@@ -35,10 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of benchmark items out of the texts; a document that is mostly such passages goes."""
-    scanned = decontamination.scan_benchmark(docs, common.table(spark, sf_dir, "benchmark"))
+    scanned = decontamination.scan_benchmark(docs, common.table(spark, sf_dir, "benchmark"), cleaned="cleaned")
     hits = F.length(F.translate(F.hex("hit"), "0", ""))
-    clean = scanned.where((hits == 0) | (hits <= MOST_HIT * F.col("n_words")))
-    return _recounted(decontamination.remove_spans(clean)).select(*docs.columns)
+    return _recounted(scanned.where((hits == 0) | (hits <= MOST_HIT * F.col("n_words"))).withColumn("text", F.col("cleaned"))).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

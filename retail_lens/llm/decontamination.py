@@ -55,7 +55,7 @@ def _scan(w: Words, sets: dict[int, tuple[np.ndarray, np.ndarray, dict]]) -> tup
     return hit, items
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, cleaned: str | None = None) -> DataFrame:
     """``docs`` with n_words, hit (one byte a word: 1 if inside a test window) and items (ids of the items that occur).
 
     Texts are lower-cased in A-Z and cut into runs of ASCII letters, digits and non-ASCII characters. A test window is n
@@ -63,12 +63,17 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     ``block_words`` words, each a pass over the documents, so its size never meets a limit and no set grows with it.
     Null or wordless texts have no words, no hits and no items; a null item text has no window, a null item id reads as ''.
     Columns of ``docs`` called n_words, hit or items are replaced; all others and all rows stay.
+
+    ``cleaned`` names one more column: the text without each run of hit words and what lies between them, made in the pass
+    that finds the hits. Null texts, and texts without hits, are there as they are.
     """
     spark: SparkSession = docs.sparkSession
     test = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = test.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = int(total // (2 * block_words)) + 1  # a word and what parts it from the next have two characters at least
     out = common.append_columns(docs, lambda b: _start(b.column(b.schema.get_field_index(text))), ADDED) if total == 0 else docs
+    if total == 0 and cleaned:
+        out = out.withColumn(cleaned, F.col(text))
     for block in range(blocks if total else 0):
         rows = test.where(common.hash_buckets(test, "i", "t", n=blocks) == block) if blocks > 1 else test
         found = _windows([tuple(r) for r in rows.toLocalIterator()], n)
@@ -79,7 +84,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
             seen[(keys >> np.uint64(44)).astype(np.int64)] = True
             sets[k] = (keys, seen, entries)
         shared = spark.sparkContext.broadcast(sets)
-        out = common.append_columns(out, _scanner(shared, text, block > 0), ADDED)
+        clean = cleaned if block == blocks - 1 else None
+        out = common.append_columns(out, _scanner(shared, text, block > 0, clean), T.StructType([*ADDED.fields, T.StructField(clean, T.StringType())]) if clean else ADDED)
     return out
 
 
@@ -88,7 +94,7 @@ def _start(texts: pa.Array) -> dict[str, pa.Array]:
     return {"n_words": pa.array(counts, pa.int64()), "hit": pa.array([bytes(int(c)) for c in counts], pa.binary()), "items": pa.array([[] for _ in counts], pa.list_(pa.string()))}
 
 
-def _scanner(shared, text: str, again: bool):
+def _scanner(shared, text: str, again: bool, cleaned: str | None):
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         counts, hits, items = [], [], []
         for _, texts in chunks(batch.column(batch.schema.get_field_index(text))):
@@ -102,32 +108,26 @@ def _scanner(shared, text: str, again: bool):
             old = batch.column(batch.schema.get_field_index("hit")).to_pylist()
             hits = [(np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes() for a, b in zip(hits, old, strict=True)]
             items = [sorted({*a, *b}) for a, b in zip(items, batch.column(batch.schema.get_field_index("items")).to_pylist(), strict=True)]
-        return {"n_words": pa.array(counts, pa.int64()), "hit": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
+        out = {"n_words": pa.array(counts, pa.int64()), "hit": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
+        if cleaned:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            out[cleaned] = pa.array([_cut(t, m) for t, m in zip(texts, hits, strict=True)], pa.string())
+        return out
 
     return run
 
 
-def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
-    """The texts of ``scan_benchmark`` without their hit words: each run of hit words goes with what lies between its words.
-
-    A document that consists of hit words alone keeps what lay around them. Texts without hits, and null texts, stay as they are.
-    """
-
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        column = batch.column(batch.schema.get_field_index(text))
-        texts, masks = column.to_pylist(), batch.column(batch.schema.get_field_index("hit")).to_pylist()
-        for r, mask in enumerate(masks):
-            if texts[r] is not None and mask is not None and 1 in mask:
-                w = Words(pa.array([texts[r]], pa.large_string()), ALNUM)
-                edge = np.diff(np.concatenate(([0], np.frombuffer(mask, np.uint8), [0])).astype(np.int8))
-                raw, at, kept = texts[r].encode(), 0, []
-                for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    kept.append(raw[at : w.starts[i]])
-                    at = w.ends[j - 1]
-                texts[r] = b"".join([*kept, raw[at:]]).decode()
-        return {text: pa.array(texts, pa.string())}
-
-    return common.append_columns(scanned, run, T.StructType([T.StructField(text, T.StringType())])).select(*scanned.columns)
+def _cut(text: str | None, mask: bytes | None) -> str | None:
+    """A text without each run of its hit words and what lies between them."""
+    if text is None or mask is None or 1 not in mask:
+        return text
+    w = Words(pa.array([text], pa.large_string()), ALNUM)
+    edge = np.diff(np.concatenate(([0], np.frombuffer(mask, np.uint8), [0])).astype(np.int8))
+    raw, at, kept = text.encode(), 0, []
+    for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        kept.append(raw[at : w.starts[i]])
+        at = w.ends[j - 1]
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,11 +66,11 @@ def test_remove_repeats(spark, rows, docs):
 def test_decontamination(spark, rows, docs, block_words):
     items = [(1, rows[2][1]), (2, " ".join((rows[3][1] or "").split()[:6])), (3, None), (4, ""), (5, "One, two"), (6, "never seen in any of the texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.scan_benchmark(docs, bench, block_words=block_words)
-    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "runs", "score", "n_words", "hit", "items"]
+    found = decontamination.scan_benchmark(docs, bench, block_words=block_words, cleaned="clean").persist()
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "runs", "score", "n_words", "hit", "items", "clean"]
     got = {k: (n, sum(hit), list(x)) for k, (n, hit, x) in by_id(found, "n_words", "hit", "items").items()}
     assert got == helpers.benchmark_hits(rows, items)
-    clean = by_id(decontamination.remove_spans(found), "text")
+    clean = by_id(found, "clean")
     for r in rows:
         n, hit, _ = got[r[0]]
         assert clean[r[0]][0] == r[1] if not hit else len(helpers.alnum(clean[r[0]][0])) == n - hit
