@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,6 +84,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield from pa.table(out).select(arrow.names).cast(arrow).combine_chunks().to_batches() if isinstance(out, pa.Table) else [out]
+            del batch, out
+            pa.default_memory_pool().release_unused()  # a worker goes on to other stages, and keeps what its pool keeps
 
     return df.mapInArrow(run, schema)
 
