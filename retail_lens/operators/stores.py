@@ -22,6 +22,11 @@ def qualifies() -> Column:
     return (F.col("status") == "ok") & (F.col("store_type") == "multi_brand") & (F.coalesce("knit", F.lit(0)) > 0)
 
 
+def _quartiles(products: DataFrame) -> DataFrame:
+    a = products.groupBy("domain").agg(F.sort_array(F.collect_list("price")).alias("a"))
+    return a.select("domain", F.size("a").alias("products"), *(quartile_exclusive(F.col("a"), i, 3).alias(f"q{i}") for i in (1, 2, 3)))
+
+
 def exclusion() -> Column:
     """Why a store is not on the final list; empty if it is."""
     return F.when(F.col("status") != "ok", "not_read").when(F.col("knit") == 0, "no_knitwear").when(F.col("store_type") == "own_brand", "own_brand").when(F.col("store_type") == "unknown", "not_judged").otherwise("")
@@ -60,8 +65,17 @@ q AS (SELECT domain, n, i, CASE WHEN n < 4 THEN CASE i WHEN 1 THEN a[1] WHEN 3 T
 SELECT domain, CAST(max(n) AS INT) AS products, max(q) FILTER (WHERE i = 1) AS q1, max(q) FILTER (WHERE i = 2) AS q2, max(q) FILTER (WHERE i = 3) AS q3 FROM q GROUP BY domain""")
 def quartiles_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusive price quartiles of each store's promoted products."""
-    a = listings(spark, sf_dir).where("product_type = 'PROMO'").groupBy("domain").agg(F.sort_array(F.collect_list("price")).alias("a"))
-    return a.select("domain", F.size("a").alias("products"), *(quartile_exclusive(F.col("a"), i, 3).alias(f"q{i}") for i in (1, 2, 3)))
+    return _quartiles(listings(spark, sf_dir).where("product_type = 'PROMO'"))
+
+
+@query(f"""WITH {LISTINGS_SQL}, v AS (SELECT domain, list_sort(list(price)) AS a FROM listings WHERE knit_kind <> '' GROUP BY domain),
+n AS (SELECT domain, a, len(a) AS n, unnest([1, 2, 3]) AS i FROM v),
+j AS (SELECT *, least(greatest(i * (n + 1) // 4, 1), n - 1) AS j FROM n),
+q AS (SELECT domain, n, i, CASE WHEN n < 4 THEN CASE i WHEN 1 THEN a[1] WHEN 3 THEN a[n] ELSE (a[(n - 1) // 2 + 1] + a[n // 2 + 1]) / 2 END ELSE round((a[j] * (4 - (i * (n + 1) - 4 * j)) + a[j + 1] * (i * (n + 1) - 4 * j)) / 4, 3) END AS q FROM j)
+SELECT domain, CAST(max(n) AS INT) AS products, max(q) FILTER (WHERE i = 1) AS q1, max(q) FILTER (WHERE i = 2) AS q2, max(q) FILTER (WHERE i = 3) AS q3 FROM q GROUP BY domain""")
+def knit_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusive price quartiles of each store's knit products."""
+    return _quartiles(listings(spark, sf_dir).where("knit_kind <> ''"))
 
 
 @query(f"WITH {LISTINGS_SQL} SELECT product_type, median(price) AS median_price, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM listings GROUP BY product_type")
@@ -145,8 +159,14 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LISTINGS_SQL} SELECT domain, listing_id, CASE WHEN price BETWEEN 905 AND 985 THEN price END AS price_usd FROM listings WHERE listing_id % 10 = 0")
 def price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices outside the permitted window are unknown. The filter is the query's own: parts of whole tens."""
-    return listings(spark, sf_dir).where("listing_id % 10 = 0").select("domain", "listing_id", F.when(F.col("price").between(*RULES.price_window), F.col("price")).alias("price_usd"))
+    """A tenth of ``price_usd``: its SQL asks for parts of whole tens only."""
+    return price_usd(spark, sf_dir).where("listing_id % 10 = 0")
+
+
+@query(f"WITH {LISTINGS_SQL} SELECT domain, listing_id, CASE WHEN price BETWEEN 905 AND 985 THEN price END AS price_usd FROM listings")
+def price_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing's price; prices outside the permitted window are unknown."""
+    return listings(spark, sf_dir).select("domain", "listing_id", F.when(F.col("price").between(*RULES.price_window), F.col("price")).alias("price_usd"))
 
 
 _SCORE_SQL = f"""{LISTINGS_SQL}, {STORES_SQL},
