@@ -13,7 +13,7 @@ from .words import Words, chunks, grams, within
 
 #: Words of a window, and of the n-grams whose least hash in a window is its anchor.
 WINDOW, ANCHOR = 20, 8
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc_id", "start", "stop")])
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc_id", "copy", "start", "stop")])
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
@@ -29,21 +29,27 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return least
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with copy, which tells texts under one doc_id apart: 0 if the doc_id comes once, else the text's hash. Equal rows are one to each other."""
+    again = common.materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    return docs.join(again, "doc_id", "left").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("copy"), "text")
+
+
 def _recurring(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, anchors): of each document the anchors that another document has too."""
+    """(doc_id, copy, anchors): of each document the anchors that another document has too."""
     def run(batch: pa.RecordBatch) -> pa.Table:
         lists = []
-        for _, part in chunks(batch.column(1)):
+        for _, part in chunks(batch.column(2)):
             w = Words(part)
             a = anchors(w.hashes(), window, anchor)
             for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 lists.append(np.unique(a[i : max(i, j - window + 1)]).view(np.int64))
-        return pa.table({"doc_id": batch.column(0), "anchors": pa.array(lists, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": batch.column(0), "copy": batch.column(1), "anchors": pa.array(lists, pa.list_(pa.int64()))})
 
-    made = common.materialize(common.map_batches(docs, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("anchors", T.ArrayType(T.LongType()))])), "anchors")
-    rows = made.select("doc_id", F.explode("anchors").alias("anchor"))
+    made = common.materialize(common.map_batches(docs, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("anchors", T.ArrayType(T.LongType()))])), "anchors")
+    rows = made.select("doc_id", "copy", F.explode("anchors").alias("anchor"))
     again = common.materialize(rows.groupBy("anchor").agg(F.count("*").alias("df")).where("df > 1").select("anchor"), "recurring")
-    out = common.materialize(rows.join(again, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "recurring-anchors")
+    out = common.materialize(rows.join(again, "anchor").groupBy("doc_id", "copy").agg(F.collect_list("anchor").alias("anchors")), "recurring-anchors")
     common.drop(made)
     common.drop(again)
     common.release(docs.sparkSession)
@@ -70,9 +76,10 @@ def _later_in_row(h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> np.ndarray
 
 
 def _windows(batch: pa.RecordBatch, window: int, anchor: int) -> pa.Table:
-    """Of windows with a recurring anchor: the first occurrence in this batch of each (stop null), and runs of starts of the others, which are removed for certain."""
-    ids, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "anchors"))
-    ids, found, runs = ids.to_numpy(), [], []
+    """Of windows with a recurring anchor: the occurrences in this batch's least doc_id, one a copy (stop 0), and runs of starts of those in greater
+    doc_ids, which are removed for certain. An occurrence after another in its own text is not among the former: that text finds it by itself."""
+    ids, copies, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy", "text", "anchors"))
+    ids, copies, found = ids.to_numpy(), copies.to_numpy(), []
     for at, part in chunks(texts):
         w = Words(part)
         h = w.hashes()
@@ -86,36 +93,38 @@ def _windows(batch: pa.RecordBatch, window: int, anchor: int) -> pa.Table:
                 own = a[i : j - window + 1]
                 open_[i : j - window + 1] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
         s = np.flatnonzero(open_ & within(w.row, window))
-        found.append((grams(h, window)[s], grams(h, window, 1)[s], ids[at + w.row[s]], s - w.first[w.row[s]]))
+        found.append((grams(h, window)[s], grams(h, window, 1)[s], ids[at + w.row[s]], copies[at + w.row[s]], s - w.first[w.row[s]]))
     if not found:
         return pa.table({n: pa.array([], pa.int64()) for n in FOUND.names})
-    h1, h2, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, doc, h2, h1))
-    h1, h2, doc, start = (x[order] for x in (h1, h2, doc, start))
-    first = np.ones(len(h1), bool)
-    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    d, s = doc[~first], start[~first]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
+    h1, h2, doc, copy, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, copy, doc, h2, h1) if copy.any() else (start, doc, h2, h1))
+    h1, h2, doc, copy, start = (x[order] for x in (h1, h2, doc, copy, start))
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    late = doc > doc[new][np.cumsum(new) - 1]
+    first = ~late
+    first[1:] &= new[1:] | (copy[1:] != copy[:-1])
+    d, c, s = doc[late], copy[late], start[late]
+    order = np.lexsort((s, c, d))
+    d, c, s = d[order], c[order], s[order]
     head = np.ones(len(d), bool)
-    head[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+    head[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)
     begin = np.flatnonzero(head)
-    runs = (d[begin], s[begin], s[np.append(begin[1:], len(d)) - 1] + 1 if len(d) else s)
-    salt = grams(runs[0].astype(np.uint64) * np.uint64(31) + runs[1].astype(np.uint64), 1)
-    columns = {"h1": np.concatenate((h1[first], salt)).view(np.int64), "h2": np.concatenate((h2[first], salt)).view(np.int64), "doc_id": np.concatenate((doc[first], runs[0])), "start": np.concatenate((start[first], runs[1]))}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"stop": pa.array(np.concatenate((np.zeros(int(first.sum()), np.int64), runs[2])), pa.int64())})
+    runs = (d[begin], c[begin], s[begin], s[np.append(begin[1:], len(d)) - 1] + 1 if len(d) else s)
+    salt = grams(runs[0].astype(np.uint64) * np.uint64(31) + runs[2].astype(np.uint64), 1)
+    columns = {"h1": np.concatenate((h1[first], salt)).view(np.int64), "h2": np.concatenate((h2[first], salt)).view(np.int64), "doc_id": np.concatenate((doc[first], runs[0])), "copy": np.concatenate((copy[first], runs[1])), "start": np.concatenate((start[first], runs[2]))}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"stop": pa.array(np.concatenate((np.zeros(int(first.sum()), np.int64), runs[3])), pa.int64())})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, runs): runs (start, stop) of starts of windows whose words also start in a smaller doc_id.
+    """(doc_id, copy, runs): runs (start, stop) of starts of windows whose words also start in a smaller doc_id. ``docs`` are ``_numbered``.
 
-    Repeats inside one document may be among them; ``remove_repeats`` finds those by itself.
+    Repeats inside one document are not looked for; ``remove_repeats`` finds those by itself.
     """
     seen = _recurring(docs, window, anchor)
-    found = common.map_batches(docs.join(seen, "doc_id"), lambda b: _windows(b, window, anchor), FOUND)
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start")
-    late = found.withColumn("place", F.row_number().over(order)).where("place > 1 or stop > 0")
-    runs = late.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("runs"))
+    found = common.map_batches(docs.join(seen, ["doc_id", "copy"]), lambda b: _windows(b, window, anchor), FOUND)
+    late = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("doc_id > least or stop > 0")
+    runs = late.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("runs"))
     out = common.materialize(runs, "repeats")
     common.release(docs.sparkSession)
     return out
@@ -126,13 +135,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     Words are runs without ASCII white space. Each word in a window of ``window`` words goes if the window's words also start
     earlier: in a smaller doc_id, or before in the same document. Windows are judged on the input, so what is removed does not
-    depend on what else is. Null, empty and shorter texts lose nothing. Rows that repeat a doc_id are one
-    document to each other: of a window in both, one stays in each. A row without a doc_id loses its own repeats alone.
+    depend on what else is. Null, empty and shorter texts lose nothing. Rows that repeat a doc_id take
+    nothing from each other, equal or not: of a window in both, one stays in each. A row without a doc_id loses its own repeats alone.
 
     Windows that may recur are found by an anchor that equal windows share; only those with an anchor of several documents are
     hashed (128 bits), reduced to the first of each batch, and compared. No passage is dropped for being frequent.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = _numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     runs = repeated_windows(docs, window, anchor)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -161,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 kept.append(b" ".join(words))
         return {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
-    return common.append_columns(docs.join(runs, "doc_id", "left"), run, RESULT).select("doc_id", "n_words", "n_removed", "kept")
+    return common.append_columns(docs.join(runs, ["doc_id", "copy"], "left"), run, RESULT).select("doc_id", "n_words", "n_removed", "kept")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
