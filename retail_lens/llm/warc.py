@@ -116,10 +116,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     magic in a payload stays in that payload. An archive cut short loses its last record; archives without a record, and
     files that don't start with one, give no rows.
 
-    The archives are scanned twice, once for lengths and once for payloads; both scans deal out the same splits, so a piece
-    has one (file, block, seq). Payloads move only where look-alike magic broke a record up.
+    The archives are scanned once and their pieces written down: how Spark cuts files follows the live cores, so only what is
+    written down has one (file, block, seq). Payloads are shuffled only where look-alike magic broke a record up.
     """
-    pieces = candidates(spark, path).withColumn("bytes", F.octet_length("piece").cast("long"))
+    pieces = common.materialize(candidates(spark, path).withColumn("bytes", F.octet_length("piece").cast("long")), "warc-pieces", "zstd")
     cut = common.materialize(offsets(pieces.select("file", "block", "seq", "bytes", "head", "length").withColumn("body", F.col("bytes") - F.col("head") - 2 * len(CRLF))), "warc-cut")
     end = F.col("offset") + len(MAGIC) + F.col("head") + 2 * len(CRLF) + F.col("length") + 2 * len(CRLF)
     # a chain's last link leads to the end of its file, where no candidate starts

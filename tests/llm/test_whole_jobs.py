@@ -1,6 +1,6 @@
 """Operators do the whole job in cases that small tables don't have."""
 
-from retail_lens.llm import substrings
+from retail_lens.llm import common, substrings, warc
 from tests.llm import helpers
 
 
@@ -34,3 +34,18 @@ def test_rows_of_one_doc_id_take_nothing_from_each_other(spark):
     for parts in (1, 3):
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert sorted((r.doc_id, r.kept) for r in substrings.remove_repeats(frame).collect()) == _kept(rows)
+
+
+def test_warc_is_read_whole_though_splits_change_meanwhile(spark):
+    look_alike = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = [(i, f"http://{i}", f"{i} " * 200 + (look_alike if i % 3 == 0 else ""), 0) for i in range(30)]
+    path, splits = common.scratch_dir(spark, "archives"), "spark.sql.files.maxPartitionBytes"
+    warc.write_warc(warc.payload_records(spark.createDataFrame(pages, "page_id long, url string, html string, digest long").coalesce(1)), path)
+    try:
+        spark.conf.set(splits, "700")
+        back = warc.read_warc(spark, path)
+        for size in ("5000", "1900"):
+            spark.conf.set(splits, size)
+            assert sorted((int(r.record_id), bytes(r.payload).decode()) for r in back.collect()) == [(p[0], p[2]) for p in pages]
+    finally:
+        spark.conf.unset(splits)
