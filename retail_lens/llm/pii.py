@@ -39,8 +39,8 @@ WIDER_NEEDS = {"email": r"(?i)[(\[]at[)\]]", "card": NEEDS["card"], "phone": r"[
 CONTEXT = 24
 HINTS = {"email": "mail|contact|write", "ip": r"\bip\b|addr|host|server", "card": "card|visa|payment|account", "phone": r"phone|\btel|call|fax|mobile"}
 FEATURES = ("kind", "chars", "digits", "separators", "groups", "hint", "spaced")
-#: The trees are fitted on about so many documents, chosen by their hashes.
-FIT_DOCS = 3000
+#: The trees are fitted on about so many labelled proposals of either class, from all documents, chosen by their hashes.
+FIT_ROWS = 3000
 #: The share of base spans that a threshold must leave among what it selects, and the rows of either class that a fit needs.
 PRECISION, LEAST_ROWS = 0.98, 25
 
@@ -137,16 +137,24 @@ def _node(node):
     return split.featureIndex(), split.threshold(), _node(node.leftChild()), _node(node.rightChild())
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Trees:
-    """Trees that tell base spans from what else the base patterns match, fitted on about ``fit_docs`` documents, chosen by the hash of ``key``.
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Trees:
+    """Trees that tell base spans from what else the base patterns match, fitted on about ``fit_rows`` matches of either class.
 
-    Proposals of the wider generators have no label and are left out. Four fifths of the sample train; on the rest the threshold is set: the least margin from which on at least
-    PRECISION of the selected proposals are base spans. With under LEAST_ROWS rows of either class, or no such margin, the
+    All documents in which a base pattern may match are searched, so how many rows there are depends on the matches alone, however
+    rare they are. Proposals of the wider generators have no label and are left out. Rows of four fifths of the documents train; on the
+    rest the threshold is set: the least margin from which on at least PRECISION of the selected proposals are base spans, where each
+    row counts for as many as its class has for it. With under LEAST_ROWS rows of either class in all documents, or no such margin, the
     trees select nothing and the base spans stand alone.
     """
-    sample = common.hash_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null"), "k", fit_docs, "pii").withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit("held")))
-    rows = sample.select("h", F.explode(candidates(F.col("t"))).alias("c")).where("not c.wide").select((F.pmod("h", F.lit(5)) == 0).alias("held"), F.col("c.base").cast("double").alias("label"), "c.*")
+    may = reduce(lambda a, b: a | b, (F.col("t").rlike(n) for n in NEEDS.values()))
+    found = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & may).select("k", F.explode(candidates(F.col("t"))).alias("c")).where("not c.wide")
+    draw = F.pmod(F.xxhash64("k", "c.start", "c.order", F.lit("pii")), F.lit(1 << 30))
+    labelled = common.materialize(found.select((F.pmod(F.xxhash64("k", F.lit("held")), F.lit(5)) == 0).alias("held"), draw.alias("draw"), F.col("c.base").cast("double").alias("label"), *(f"c.{f}" for f in FEATURES)), "pii-labelled")
+    of_class = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    weights = {label: max(1.0, n / fit_rows) for label, n in of_class.items()}
+    rows = labelled.where(reduce(lambda a, b: a | b, ((F.col("label") == x) & (F.col("draw") < int((1 << 30) / w)) for x, w in weights.items()), F.lit(False)))
     rows = common.materialize(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("held", "label", "features"), "pii-sample")
+    common.drop(labelled)
     sizes = {(r["held"], r["label"]): r["count"] for r in rows.groupBy("held", "label").count().collect()}
     if min(sizes.get((held, label), 0) for held in (False, True) for label in (0.0, 1.0)) < LEAST_ROWS // 5 or min(sizes.get((False, label), 0) for label in (0.0, 1.0)) < LEAST_ROWS:
         return Trees([], None)
@@ -155,10 +163,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int
     # a raw prediction is the margin once against and once for
     scored = model.transform(rows.where("held")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
     margins = sorted((tuple(r) for r in scored.collect()), reverse=True)
-    good = 0
+    good = every = 0.0
     for i, (m, label) in enumerate(margins, 1):
-        good += label
-        if (i == len(margins) or margins[i][0] < m) and good / i >= PRECISION:
+        good += weights[label] * label
+        every += weights[label]
+        if (i == len(margins) or margins[i][0] < m) and good / every >= PRECISION:
             trees.threshold = m
     return trees
 

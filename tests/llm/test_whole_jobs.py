@@ -1,6 +1,6 @@
 """Operators do the whole job in cases that small tables don't have."""
 
-from retail_lens.llm import common, substrings, warc
+from retail_lens.llm import common, pii, substrings, warc
 from tests.llm import helpers
 
 
@@ -49,3 +49,10 @@ def test_warc_is_read_whole_though_splits_change_meanwhile(spark):
             assert sorted((int(r.record_id), bytes(r.payload).decode()) for r in back.collect()) == [(p[0], p[2]) for p in pages]
     finally:
         spark.conf.unset(splits)
+
+
+def test_pii_trees_are_fitted_where_personal_data_is_rare(spark):
+    some = {0: "call +44 20 7946 {:04d} now", 1: "server at 300.999.{}.1 ok", 2: "mail u{}@example.com"}
+    text = lambda i: some[i // 40 % 3].format(i % 200) if i % 40 == 0 else "nothing here"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(8000)], "doc_id long, text string")
+    assert pii.fit(docs).trees
