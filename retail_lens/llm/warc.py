@@ -2,7 +2,7 @@
 
 Reading cuts files at every ``WARC/1.`` in parallel splits. Such a magic may also stand inside a payload, so each candidate
 names its successor (its own offset plus header and Content-Length), and pointer jumping from each file's first byte keeps
-the candidates that the chain reaches. Magic inside a payload is never reached; its pieces go back into that payload.
+the candidates that the chain reaches. Magic inside a payload or a header is never reached; its pieces go back where they stood.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ CRLF = "\r\n"
 MIN_REVISIT_BYTES = 100
 #: Offsets are joined to record intervals by blocks of so many bytes.
 BLOCK = 1 << 20
-FIELDS = ("path", "header", "piece", "head", "length")
+FIELDS = ("path", "piece", "head", "length")
 
 
 def payload_records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -61,30 +61,45 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def _field(header: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(header, rf"(?imd)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The files cut at each magic, in scan order: path, file (its hash, a short key), block (where the split starts), seq, piece (bytes after the magic),
-    and of pieces with a parsable header: head (its bytes) and length (its Content-Length)."""
+    """The files cut at each magic, in scan order: path, file (its hash, a short key), block (where the split starts), seq, piece (bytes after the magic), bytes,
+    starts (it goes on as a record does), head (bytes before its first blank line, null if it has none) and length (a Content-Length before that line)."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("path"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value"))
-    header = F.substring_index("value", CRLF + CRLF, 1)
-    parsed = lines.withColumn("header", F.when((F.substring("value", 2, 2) == CRLF) & F.col("value").contains(CRLF + CRLF), header))
-    return parsed.select("path", "file", "block", "seq", F.col("value").cast("binary").alias("piece"), "header", F.octet_length("header").cast("long").alias("head"), _field(F.col("header"), "Content-Length").try_cast("long").alias("length"))
+    first = F.substring_index("value", CRLF + CRLF, 1)
+    said = _field(F.concat(F.lit(MAGIC), first), "Content-Length").try_cast("long")
+    return lines.select("path", "file", "block", "seq", F.col("value").cast("binary").alias("piece"), F.octet_length("value").cast("long").alias("bytes"), (F.substring("value", 2, 2) == CRLF).alias("starts"),
+                        F.when(F.col("value").contains(CRLF + CRLF), F.octet_length(first).cast("long")).alias("head"), said.alias("length"))
 
 
 def offsets(cut: DataFrame) -> DataFrame:
-    """Adds to (file, block, seq, bytes) the offset of each candidate: the bytes of earlier splits, then of earlier pieces of its split.
+    """(file, block, seq, bytes, starts, whole, offset, head, length) of each piece, from what ``candidates`` says of it.
 
-    A split's pieces are one window, so a window holds at most what one split holds; the splits of a file are a few rows.
+    The offset is the bytes of earlier splits, then of earlier pieces of its split. A header ends at the first blank line from
+    its start on, in whatever piece that is, because a field may hold the magic too; head and length tell the bytes up to there
+    and the first Content-Length in them, and whole that all of the header is in the piece itself. A split's pieces are one
+    window, so a window holds at most what one split holds; the splits of a file are a few rows.
     """
-    sums = cut.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("of_block"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file", "block", F.coalesce(F.sum("of_block").over(earlier), F.lit(0)).alias("base"))
-    before = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    split = Window.partitionBy("file", "block")
+    before = split.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    onward = split.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("inside", F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0)))
-    return cut.join(sums, ["file", "block"]).withColumn("offset", F.col("base") + F.col("inside") - len(MAGIC)).drop("base", "inside", "bytes")
+    cut = cut.withColumns({"end": F.when(F.col("head").isNotNull(), F.struct("inside", (F.col("inside") + F.col("head")).alias("n"))), "said": F.when(F.col("length").isNotNull(), F.struct("inside", F.col("length").alias("n")))})
+    sums = cut.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("of_block"), F.min("end").alias("end"), F.min("said").alias("said"))
+    file = Window.partitionBy("file")
+    sums = sums.withColumn("base", F.coalesce(F.sum("of_block").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    later = file.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda c, base, n: F.when(c.isNotNull(), F.struct((base + c["inside"]).alias("inside"), n.alias("n")))
+    base = F.col("base")
+    sums = sums.select("file", "block", "base", F.last(at(F.col("end"), base, base + F.col("end.n")), True).over(later).alias("next_end"), F.last(at(F.col("said"), base, F.col("said.n")), True).over(later).alias("next_said"))
+    cut = cut.withColumns({"end": F.last("end", True).over(onward), "said": F.last("said", True).over(onward)}).join(sums, ["file", "block"])
+    end = F.coalesce(at(F.col("end"), base, base + F.col("end.n")), F.col("next_end"))
+    said = F.coalesce(at(F.col("said"), base, F.col("said.n")), F.col("next_said"))
+    start = base + F.col("inside")
+    return cut.select("file", "block", "seq", "bytes", "starts", F.col("head").isNotNull().alias("whole"), (start - len(MAGIC)).alias("offset"), (end["n"] - start).alias("head"), F.when(said["inside"] <= end["inside"], said["n"]).alias("length"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -113,23 +128,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: file, header (text), payload (binary), type, record_id, refers_to, digest, size.
 
     digest and size are of the payload as archived; for a revisit, which has none, of its response by the header. Look-alike
-    magic in a payload stays in that payload. An archive cut short loses its last record; archives without a record, and
+    magic in a payload or in a header field stays there. An archive cut short loses its last record; archives without a record, and
     files that don't start with one, give no rows.
 
     The archives are scanned once and their pieces written down: how Spark cuts files follows the live cores, so only what is
     written down has one (file, block, seq). Payloads are shuffled only where look-alike magic broke a record up.
     """
-    pieces = common.materialize(candidates(spark, path).withColumn("bytes", F.octet_length("piece").cast("long")), "warc-pieces", "zstd")
-    cut = common.materialize(offsets(pieces.select("file", "block", "seq", "bytes", "head", "length").withColumn("body", F.col("bytes") - F.col("head") - 2 * len(CRLF))), "warc-cut")
+    pieces = common.materialize(candidates(spark, path), "warc-pieces", "zstd")
+    cut = common.materialize(offsets(pieces.drop("path", "piece")), "warc-cut")
     end = F.col("offset") + len(MAGIC) + F.col("head") + 2 * len(CRLF) + F.col("length") + 2 * len(CRLF)
     # a chain's last link leads to the end of its file, where no candidate starts
-    real = reachable(cut.where("offset >= 0 and length is not null").select("file", "offset", end.alias("successor")))
+    real = reachable(cut.where("starts and offset >= 0 and length >= 0").select("file", "offset", end.alias("successor")))
     known = cut.join(real.withColumn("real", F.lit(True)), ["file", "offset"], "left")
-    whole = F.col("real") & F.col("length").isNotNull() & (F.col("body") >= F.col("length"))
-    odd = common.materialize(known.where(~F.coalesce(whole, F.lit(False))), "warc-odd")
+    one = F.col("real") & F.col("whole") & (F.col("head") + 2 * len(CRLF) + F.col("length") <= F.col("bytes"))
+    odd = common.materialize(known.where(~F.coalesce(one, F.lit(False))), "warc-odd")
     records = pieces.join(odd.select("file", "block", "seq"), ["file", "block", "seq"], "left_anti").select(*FIELDS).union(_rejoined(pieces, odd))
     h = F.col("header")
     payload = F.col("piece").substr(F.col("head").cast("int") + F.lit(2 * len(CRLF) + 1), F.col("length").cast("int"))
+    records = records.withColumn("header", F.col("piece").substr(F.lit(1), F.col("head").cast("int")).cast("string"))
     out = records.select(F.col("path").alias("file"), h, payload.alias("payload"), _field(h, "WARC-Type").alias("type"), _urn(h, "WARC-Record-ID").alias("record_id"), _urn(h, "WARC-Refers-To").alias("refers_to"), _field(h, "WARC-Payload-Digest").alias("noted"), _field(h, "WARC-Payload-Length").try_cast("long").alias("noted_size"))
     revisit = F.col("type") == "revisit"
     digest = F.when(revisit, F.substring_index("noted", ":", -1)).otherwise(F.sha2("payload", 256))
@@ -142,18 +158,17 @@ def _urn(header: Column, name: str) -> Column:
 
 
 def _rejoined(pieces: DataFrame, odd: DataFrame) -> DataFrame:
-    """Records whose payload holds look-alike magic: their pieces in order of offset, with the magic put back between them.
+    """Records that hold look-alike magic in header or payload: their pieces in order of offset, with the magic put back between them.
 
     ``odd`` has these records' first pieces (real) and the look-alikes. A record takes the look-alikes between its ends;
     both are dealt out by blocks of the file, and at most one record holds a look-alike.
     """
-    broken = odd.where("real and length is not null").withColumn("last", F.col("offset") + F.col("head") + F.col("length") + 2 * len(CRLF))
-    spans = broken.select("file", F.col("offset").alias("record"), "last", F.explode(F.sequence(F.expr(f"offset div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("slot"))
+    broken = odd.where("real").withColumn("last", F.col("offset") + F.col("head") + F.col("length") + 2 * len(CRLF))
+    spans = broken.select("file", F.col("offset").alias("record"), "last", "head", "length", F.explode(F.sequence(F.expr(f"offset div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("slot"))
     parts = odd.select("file", "block", "seq", "offset", F.expr(f"offset div {BLOCK}").alias("slot"))
-    held = common.materialize(parts.join(spans, ["file", "slot"]).where("offset >= record and offset <= last").select("file", "block", "seq", "offset", "record"), "warc-held")
-    texts = pieces.join(held, ["file", "block", "seq"])
-    first = F.col("offset") == F.col("record")
-    joined = texts.groupBy("file", "record").agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("path", "header", "head", "length")), F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
+    held = common.materialize(parts.join(spans, ["file", "slot"]).where("offset >= record and offset <= last").select("file", "block", "seq", "offset", "record", "head", "length"), "warc-held")
+    texts = pieces.drop("head", "length").join(held, ["file", "block", "seq"])
+    joined = texts.groupBy("file", "record").agg(F.max("path").alias("path"), F.max("head").alias("head"), F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
     return joined.withColumn("piece", F.array_join(F.transform("parts", lambda p: p["piece"].cast("string")), MAGIC).cast("binary")).select(*FIELDS)
 
 

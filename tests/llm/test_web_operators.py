@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from retail_lens.llm import common, urls, warc
 from retail_lens.llm.components import connected_components
@@ -30,6 +31,29 @@ def test_warc_round_trip_rejects_magic_inside_payloads(spark):
         assert bytes(got[i].payload) == (payload if ref == i else b"")
 
 
+def test_warc_keeps_records_with_magic_in_their_headers(spark):
+    """At the start, in the middle, at the end, twice, and where look-alikes name lengths of their own; in splits of any size."""
+    sites = ["http://a.org/{}WARC/1.0", "WARC/1.0", "WARC/1.", "http://b/WARC/1.0/WARC/1.1/x", "\u2028Content-Length: 3 WARC/1.0\r\nContent-Length: 9", "WARC/1.0\r\n\r\nWARC/1.0\r\n", "plain"]
+    pages = [(i, sites[i % 7].format(i), f"{i} " * 40 + (FAKE if i % 2 else ""), 0) for i in range(28)]
+    path, splits = common.scratch_dir(spark, "archives"), "spark.sql.files.maxPartitionBytes"
+    warc.write_warc(warc.payload_records(spark.createDataFrame(pages, SCHEMA).coalesce(1)), path)
+    try:
+        for size in ("150", "700", "100000"):
+            spark.conf.set(splits, size)
+            got = warc.read_warc(spark, path).collect()
+            assert sorted((int(r.record_id), bytes(r.payload).decode()) for r in got) == [(p[0], p[2]) for p in pages]
+            assert all(f"WARC-Target-URI: {re.sub('[\r\n]+', ' ', sites[int(r.record_id) % 7].format(r.record_id))}\r\n" in r.header for r in got)
+    finally:
+        spark.conf.unset(splits)
+
+
+def test_registered_warc_query_returns_a_row_a_page(spark, tmp_path):
+    pages = [(1, "http://a.org/", "x" * 150), (2, "http://a.org/WARC/1.0", None), (3, None, "x" * 150), (4, "u", FAKE), (4, "u", FAKE)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op1_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, 150, "response", None), (2, 0, "response", None), (3, 150, "revisit", 1), (4, len(FAKE), "response", None), (4, len(FAKE), "response", None)]
+
+
 def test_warc_of_no_pages(spark):
     path = common.scratch_dir(spark, "archives")
     warc.write_warc(warc.payload_records(spark.createDataFrame([], SCHEMA)), path)
