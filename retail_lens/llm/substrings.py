@@ -93,7 +93,7 @@ def _windows(batch: pa.RecordBatch, window: int, anchor: int) -> pa.Table:
                 own = a[i : j - window + 1]
                 open_[i : j - window + 1] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
         s = np.flatnonzero(open_ & within(w.row, window))
-        found.append((grams(h, window)[s], grams(h, window, 1)[s], ids[at + w.row[s]], copies[at + w.row[s]], s - w.first[w.row[s]]))
+        found.append((grams(h, window)[s], grams(w.hashes(1), window, 1)[s], ids[at + w.row[s]], copies[at + w.row[s]], s - w.first[w.row[s]]))
     if not found:
         return pa.table({n: pa.array([], pa.int64()) for n in FOUND.names})
     h1, h2, doc, copy, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             if len(h) >= window:
                 inside = within(w.row, window)
                 s = np.flatnonzero(inside)
-                s = s[_later_in_row(grams(h, window)[s], grams(h, window, 1)[s], w.row[s])]
+                s = s[_later_in_row(grams(h, window)[s], grams(w.hashes(1), window, 1)[s], w.row[s])]
                 np.add.at(change, s, 1)
                 np.add.at(change, s + window, -1)
             for r, x in enumerate(lists.slice(at, len(part))):
