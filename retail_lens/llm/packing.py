@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ LENGTHS = (2048, 4096, 8192, 16384)
 OVERHEAD = 64
 #: Pieces that one task packs together; more pieces make more packs, not larger ones.
 PACK_PIECES = 5_000
+#: The byte that ends a document and fills a sequence up; no UTF-8 text has it.
+END = b"\xff"
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, bin_length long, at long"
 
 
@@ -68,7 +70,7 @@ def best_fit(docs: DataFrame, length: str, key: str = "doc_id", permitted: tuple
     A document longer than the longest permitted length is cut into pieces of that length and a rest; nothing is dropped.
     Pieces are dealt evenly, by a hash, into packs of about ``pack_pieces`` pieces, and each pack is packed by itself; only
     lengths and ids are shuffled. Documents of null, zero or negative length have no piece. Rows that repeat
-    one key are documents of their own, packed with each other. bin_id names a bin among all packs.
+    one key are documents of their own, packed with each other; a null key stays null. bin_id names a bin among all packs.
     """
     longest = max(permitted)
     sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(length).cast("long").alias("n")).where("n > 0")
@@ -76,14 +78,14 @@ def best_fit(docs: DataFrame, length: str, key: str = "doc_id", permitted: tuple
     pieces = common.materialize(cut.select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("start").cast("long").alias("start"), F.least(F.col("n") - F.col("start"), F.lit(longest)).cast("long").alias("length")), "pieces")
     packs = max(1, -(-pieces.count() // pack_pieces))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], na_position="last", kind="stable")
-        bins, places, sizes = pack(pdf["length"].to_numpy(np.int64), permitted, cost)
-        ids = bins * packs + int(pdf["pack"].iloc[0])
-        return pdf.assign(bin_id=ids, bin_length=np.array(sizes, np.int64)[bins], at=places)[["doc_id", "piece", "start", "length", "bin_id", "bin_length", "at"]]
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])  # null ids come last
+        bins, places, sizes = pack(t.column("length").to_numpy(), permitted, cost)
+        made = {"bin_id": bins * packs + t.column("pack")[0].as_py(), "bin_length": np.array(sizes, np.int64)[bins], "at": places}
+        return t.drop_columns("pack").append_column("bin_id", [made["bin_id"]]).append_column("bin_length", [made["bin_length"]]).append_column("at", [made["at"]])
 
     dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(packs)))
-    return dealt.groupBy("pack").applyInPandas(one, SCHEMA)
+    return dealt.groupBy("pack").applyInArrow(one, SCHEMA)
 
 
 def byte_tokens(text: str):
@@ -91,6 +93,25 @@ def byte_tokens(text: str):
     return F.octet_length(text) + 1
 
 
+def sequences(docs: DataFrame, placed: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row a bin: bin_id, bin_length, tokens (binary; the pieces of UTF-8 texts, each document ended by END and the bin filled up with it).
+
+    ``placed`` comes from ``best_fit`` over ``byte_tokens`` of ``docs``, whose keys must be unique and not null: a token is one byte.
+    Texts move once, to their pieces; a bin is one group, of at most the longest permitted length.
+    """
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.concat(F.col(text).cast("binary"), F.lit(END)).alias("_b"))
+    parts = placed.join(texts, "doc_id").select("bin_id", "bin_length", F.struct("at", F.substring("_b", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("b")).alias("p"))
+    whole = parts.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["b"]))
+    return whole.select("bin_id", "bin_length", F.rpad(joined, F.col("bin_length").cast("int"), F.lit(END)).alias("tokens"))
+
+
+def fill(placed: DataFrame) -> DataFrame:
+    """One row a bin length: bins, tokens in them, and the share of the bins' room that they fill."""
+    bins = placed.groupBy("bin_id", "bin_length").agg(F.sum("length").alias("tokens"))
+    return bins.groupBy("bin_length").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / F.sum("bin_length")).alias("filled"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents as UTF-8 byte tokens."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", byte_tokens("text").alias("n"))
