@@ -11,6 +11,8 @@ from . import common
 WIDTH = 5
 FRACTION = 1 / 8
 LEAST = -(1 << 63)
+#: Bytes of text that one range of neighbouring documents holds, about: a task's share at every size of the corpus.
+RANGE_BYTES = 64 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -57,33 +59,40 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], buckets: int) -> DataFrame:
+def ranges_of(docs: DataFrame, text: str = "text") -> int:
+    """The number of ranges that hold about RANGE_BYTES of text each."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0) // RANGE_BYTES
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int) -> DataFrame:
     """Adds next_<column> of the row that follows in descending order of ``key`` (after the last: of the first).
 
-    Rows are dealt out by ranges of the key, and each range's first row also goes to the range before it, so no task sees
-    more than one range. Rows of equal keys follow each other by their texts' order; null keys come last.
+    Rows are dealt out by about ``ranges`` ranges of the key, and each range's first row also goes to the range before it, so no
+    task sees more than one range. Rows of equal keys follow each other by their texts' order; null keys come last. A single
+    row follows itself, and an empty table stays empty. Columns of ``docs`` named next_<column> are replaced; all others stay.
     """
-    rows = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LEAST)))
-    rows = rows.withColumn("_near", F.col("_key").cast("double"))
-    cuts = sorted(set(rows.stat.approxQuantile("_near", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_near", outputCol="_range").transform(rows).drop("_near")
-    order = Window.orderBy("_range")  # one row a range
-    heads = ranged.groupBy("_range").agg(F.max("_key").alias("_head"))
-    heads = heads.withColumn("_up", F.coalesce(F.lead("_range").over(order), F.min("_range").over(Window.partitionBy())))
+    made = {f"next_{c}" for c in columns}
+    rows = docs.select(F.struct(*(c for c in docs.columns if c not in made)).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("key"))
+    rows = rows.withColumn("near", F.col("key").cast("double"))
+    cuts = sorted(set(rows.stat.approxQuantile("near", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="near", outputCol="range").transform(rows) if cuts else rows.withColumn("range", F.lit(0.0))
+    order = Window.orderBy("range")  # one row a range
+    heads = ranged.groupBy("range").agg(F.max("key").alias("head"))
+    heads = heads.withColumn("up", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())))
     heads = common.materialize(heads, "ranges")
-    ghost = F.when(F.col("_key") == F.col("_head"), F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("ghost")), F.struct(F.col("_up").alias("at"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("ghost"))))
-    dealt = ranged.join(F.broadcast(heads), "_range").withColumn("_to", F.explode(ghost))
-    follow = Window.partitionBy("_to.at").orderBy(F.col("_to.ghost"), F.col("_key").desc(), *columns[:1])
-    out = dealt.withColumns({f"next_{c}": F.lead(c).over(follow) for c in columns})
-    return out.where("_to.ghost = 0").drop("_to", "_key", "_range", "_head", "_up")
+    own, ghost = F.struct(F.col("range").alias("at"), F.lit(0).alias("ghost")), F.struct(F.col("up").alias("at"), F.lit(1).alias("ghost"))
+    dealt = ranged.drop("near").join(F.broadcast(heads), "range").withColumn("to", F.explode(F.when(F.col("key") == F.col("head"), F.array(own, ghost)).otherwise(F.array(own))))
+    follow = Window.partitionBy("to.at").orderBy(F.col("to.ghost"), F.col("key").desc(), *(f"row.{c}" for c in columns[:1]))
+    out = dealt.withColumns({f"next_{c}": F.lead(f"row.{c}").over(follow) for c in columns})
+    return out.where("to.ghost = 0").select("row.*", *(f"next_{c}" for c in columns))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every whole document, of its edited text, and their likeness to each other and to the next document's."""
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = ranges_of(docs)
     docs = docs.withColumn("print", sketch(F.col("text")))
-    rows = with_next(docs, "doc_id", ["text", "print"], buckets).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(docs, "doc_id", ["text", "print"], ranges).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - cut), F.col("next_text").substr(F.lit(1), cut))
     rows = rows.select("doc_id", "n_chars", "print", "next_print", edited.alias("edited"))
