@@ -32,7 +32,9 @@ def ascii_lower(c: Column) -> Column:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # no cluster has told one: a session of this machine's own, as in tests
+    if not base:  # a session of this machine's own, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
@@ -108,9 +110,12 @@ def hash_buckets(df: DataFrame, *cols: str, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
-def hash_sample(df: DataFrame, key: str, most: int, salt: str, by: str | None = None) -> DataFrame:
-    """About ``most`` rows (of each value of ``by``), chosen by a hash of ``key``: the same rows each time, with no sort and no shuffle of them."""
-    counts = df.groupBy(by).count().collect() if by else [(None, df.count())]
+def hash_sample(df: DataFrame, key: str, most: int, salt: str, by: str | None = None, counts: dict | None = None) -> DataFrame:
+    """About ``most`` rows, chosen by a hash of ``key``: the same rows each time, with no sort and no shuffle of them.
+
+    With ``by``, about ``most`` rows of each value in ``counts``, which has the values' numbers of rows.
+    """
+    counts = list(counts.items()) if by else [(None, df.count())]
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 30))
     share = F.lit(0)
     for value, n in counts:

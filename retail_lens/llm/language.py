@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,9 @@ from . import common
 
 #: A model is fitted on about so many labelled documents of each language, chosen by their hashes.
 FIT_DOCS = 2000
-#: Words, and n-grams of each length, that a model keeps, by total count: so a broadcast model has a bounded size.
-MAX_WORDS, MAX_GRAMS = 60_000, 30_000
+#: Languages that are learned at most, those with most labelled rows; and words, and n-grams of each length, that a model keeps. Each language
+#: has an equal share of these for its own most frequent ones, so a broadcast model has a bounded size and no language crowds out another.
+MAX_LANGS, MAX_WORDS, MAX_GRAMS = 200, 60_000, 30_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a task remembers at a time.
 CACHE = 50_000
@@ -40,7 +41,7 @@ class Model:
 
     def back_off(self, word: str) -> np.ndarray:
         """The mean score of the longest n-grams of ``<word>`` that the model knows."""
-        marked = f"<{word[:64]}>" if len(word) > 64 else f"<{word}>"
+        marked = f"<{word}>"
         for n in ORDERS:
             known, values = self.grams[n]
             got = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
@@ -83,34 +84,37 @@ class Model:
 
 
 def _log_scores(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The ``most`` most frequent keys, and their log frequency by language with add-half smoothing."""
-    wide = counts.groupBy(key).pivot("lang", langs).agg(F.sum("n")).fillna(0, langs)
-    total = sum((F.col(f"`{x}`") for x in langs), F.lit(0))
-    sizes = wide.agg(*(F.sum(f"`{x}`") for x in langs), F.count("*")).first()
-    rows = wide.orderBy(total.desc(), key).limit(most).collect()
+    """``most`` keys, taken in turn from the most frequent ones of each language, and their log frequency by language with add-half smoothing."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+    ranked = counts.withColumn("rank", rank).where(F.col("rank") <= most).groupBy(key).agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+    kept = ranked.orderBy("rank", F.desc("n"), key).limit(most).select(key)
+    rows = counts.join(F.broadcast(kept), key, "left_semi").groupBy(key).pivot("lang", langs).agg(F.sum("n")).fillna(0, langs).orderBy(key).collect()
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    distinct = counts.select(F.approx_count_distinct(key, 0.01)).first()[0]
     values = np.array([r[1:] for r in rows], float).reshape(len(rows), len(langs))
-    return [r[0] for r in rows], np.log((values + 0.5) / (np.array(sizes[:-1], float) + 0.5 * sizes[-1]))
+    return [r[0] for r in rows], np.log((values + 0.5) / (np.array([sizes.get(x, 0) for x in langs], float) + 0.5 * max(1, distinct)))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of labelled documents: about ``fit_docs`` rows of each language, chosen by the hash of ``key``, whole texts.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> Model:
+    """A model of labelled documents: about ``fit_docs`` rows of each of the ``max_langs`` most frequent languages, chosen by the hash of ``key``, whole texts.
 
     Null texts, null and empty languages are left out. Of no labelled rows comes a model without languages, which calls all texts ``und``.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text")).where("lang is not null and lang <> '' and text is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    of_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    langs = sorted(of_lang)
     if not langs:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros(0))
-    chosen = common.hash_sample(rows, "key", fit_docs, "lang", by="lang").select("lang", "text")
+    chosen = common.hash_sample(rows, "key", fit_docs, "lang", by="lang", counts=of_lang).select("lang", "text")
     counted = common.map_batches(chosen, _count_words, T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
     counts = common.materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     words, scores = _log_scores(counts, "word", langs, max_words)
-    marked = F.concat(F.lit("<"), F.substring("word", 1, 64), F.lit(">"))
+    marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     grams = {}
     for n in ORDERS:
         g = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.substring(marked, i, F.lit(n)))  # noqa: B023
         split = counts.where(F.length(marked) >= n).select("lang", F.explode(g).alias("g"), "n").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-        names, values = _log_scores(split, "g", langs, max_grams)
+        names, values = _log_scores(common.materialize(split, "lang-grams"), "g", langs, max_grams)
         grams[n] = ({g: i for i, g in enumerate(names)}, values - values.mean(axis=1, keepdims=True))
     # only what tells languages apart counts, so that word and n-gram scores have one scale
     scores = scores - scores.mean(axis=1, keepdims=True) if len(words) else np.zeros((0, len(langs)))
