@@ -248,29 +248,40 @@ def jaccard_classes(docs: DataFrame, width: int = 5, per_cent: int = 80, key: st
     are runs without ASCII white space, lower-cased in A-Z; with fewer words than ``width`` all of them are one shingle.
     Documents without words link with nothing. No link is lost, but links between documents that others connect are not listed.
 
+    Rows that repeat a doc_id each have a row, with the size of their own set, and are one node of the links: what links with one
+    of them is in the component of all. A row without a doc_id has its size, links with nothing and has no component.
+
     Documents of equal sets count as one. First each prefix shingle's documents are compared with its least and its greatest
     document, which joins groups of copies in as many comparisons as rows; then tiles compare what is still apart.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = _sets(docs, width, per_cent)
-    classes = sets.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("signature", "first")
-    copies = common.materialize(sets.select("doc_id", "signature").join(common.materialize(classes, "classes"), "signature").where("doc_id <> first").select("doc_id", "first"), "copies")
-    firsts = sets.where("n > 0").join(copies, "doc_id", "left_anti")
+    wordy = sets.where("n > 0 and doc_id is not null")
+    classes = wordy.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("signature", "first")
+    copies = common.materialize(wordy.select("doc_id", "signature").join(common.materialize(classes, "classes"), "signature").where("doc_id <> first").select("doc_id", "signature", "first"), "copies")
+    firsts = wordy.join(copies, ["doc_id", "signature"], "left_anti")
+    copies = copies.select("doc_id", "first").distinct()
     met = _meetings(firsts, per_cent)
     ends = common.materialize(met.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "ends")
     star = met.join(ends, "token").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
     near = _pairs_bounded(star.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct(), sets, per_cent)
     # near copies are a share of the corpus, so finding their texts is a shuffle at every size
-    links = _verified(common.materialize(near, "near"), docs, width, per_cent, hint="merge")
+    links = _verified(common.materialize(near.distinct(), "near"), docs, width, per_cent, hint="merge")
+    # a doc_id with several texts joins the groups of copies that they are in
+    several = common.materialize(wordy.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
+    if not several.isEmpty():
+        ties = copies.join(several, "doc_id", "left_semi").union(copies.join(several.withColumnRenamed("doc_id", "first"), "first", "left_semi").select("doc_id", "first"))
+        links = links.union(ties.select("doc_id", "first"))
     component = common.materialize(connected_components(links), "components").select(F.col("node").alias("doc_id"), "component")
     rest = common.materialize(_tiled(met, sets, component, per_cent), "apart")
     if not rest.isEmpty():
         links = links.union(_verified(rest, docs, width, per_cent))
         component = common.materialize(connected_components(links), "components").select(F.col("node").alias("doc_id"), "component")
     common.release(spark)
-    named = copies.join(component.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component")).union(component)
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(common.materialize(named, "named"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    of_copies = copies.join(component.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component"))
+    named = common.materialize(of_copies.union(component).distinct(), "named")
+    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
