@@ -14,13 +14,13 @@ from . import common
 from .words import ALNUM, Words, chunks, grams, within
 
 #: Test words in one broadcast set; a larger benchmark is scanned in several sets, one after another.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _windows(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, list[tuple[bytes, str]]]]:
-    """length -> hash -> [(words joined by a space, item)]."""
-    found: dict[int, dict[int, list[tuple[bytes, str]]]] = defaultdict(lambda: defaultdict(list))
+def _windows(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, dict[bytes, list[str]]]]:
+    """length -> hash -> words joined by a space -> items, each once."""
+    found: dict[int, dict[int, dict[bytes, dict[str, None]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(dict)))
     for begin in range(0, len(items), 1000):
         part = items[begin : begin + 1000]
         for at, texts in chunks(pa.array([t for _, t in part], pa.large_string())):
@@ -32,15 +32,13 @@ def _windows(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, list[t
                     i = int(w.first[r])
                     words = w.words(i, i + int(size))
                     for j, x in enumerate(grams(h[i : i + size], k).tolist()):
-                        entry = (b" ".join(words[j : j + k]), part[at + r][0])
-                        if entry not in found[k][x]:
-                            found[k][x].append(entry)
-    return {k: dict(v) for k, v in found.items()}
+                        found[k][x][b" ".join(words[j : j + k])][part[at + r][0]] = None
+    return {k: {x: {t: list(i) for t, i in texts.items()} for x, texts in v.items()} for k, v in found.items()}
 
 
 def _scan(w: Words, sets: dict[int, tuple[np.ndarray, np.ndarray, dict]]) -> tuple[np.ndarray, list[set[str]]]:
-    """Which words lie in a window of an item, and each row's items. A hash that fits counts once its words are equal."""
-    hit, items = np.zeros(len(w), bool), [set() for _ in range(len(w.counts))]
+    """Which words lie in a window of an item, and each row's items. A hash that fits counts once its words are equal; a window's items are listed once a row."""
+    hit, items, met = np.zeros(len(w), bool), [set() for _ in range(len(w.counts))], set()
     h = w.hashes()
     for k, (keys, seen, entries) in sets.items():
         g = grams(h, k)
@@ -48,19 +46,30 @@ def _scan(w: Words, sets: dict[int, tuple[np.ndarray, np.ndarray, dict]]) -> tup
         place = np.searchsorted(keys, g[maybe])
         for i in maybe[keys[np.minimum(place, len(keys) - 1)] == g[maybe]].tolist():
             words = b" ".join(w.words(i, i + k))
-            for text, item in entries[int(g[i])]:
-                if text == words:
-                    hit[i : i + k] = True
-                    items[w.row[i]].add(item)
+            of = entries[int(g[i])].get(words)
+            if of is not None:
+                hit[i : i + k] = True
+                if (w.row[i], words) not in met:
+                    met.add((w.row[i], words))
+                    items[w.row[i]].update(of)
     return hit, items
 
 
+def _pieces(test: DataFrame, n: int, block_words: int) -> DataFrame:
+    """(i, t) of items, those of over ``block_words`` words in overlapping pieces that have all their windows."""
+    words = F.filter(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != "")
+    long = F.length("t") > 2 * block_words  # a word and what parts it from the next have two characters at least
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)), F.lit(block_words)), lambda i: F.array_join(F.slice("w", i, block_words + n - 1), " "))
+    return test.where(~long).union(test.where(long).select("i", words.alias("w")).select("i", F.explode(cut).alias("t")))
+
+
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, cleaned: str | None = None) -> DataFrame:
     """``docs`` with n_words, hit (one byte a word: 1 if inside a test window) and items (ids of the items that occur).
 
     Texts are lower-cased in A-Z and cut into runs of ASCII letters, digits and non-ASCII characters. A test window is n
-    consecutive words of an item; an item with fewer words is one window. The test set is broadcast in sets of at most
-    ``block_words`` words, each a pass over the documents, so its size never meets a limit and no set grows with it.
+    consecutive words of an item; an item with fewer words is one window. The test set is broadcast in sets of about
+    ``block_words`` words, longer items in overlapping pieces, and each set is a pass over the documents: so its size never
+    meets a limit, and no set grows with it. Rows that repeat a key are scanned each, and so are rows without one.
     Null or wordless texts have no words, no hits and no items; a null item text has no window, a null item id reads as ''.
     Columns of ``docs`` called n_words, hit or items are replaced; all others and all rows stay.
 
@@ -69,6 +78,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     """
     spark: SparkSession = docs.sparkSession
     test = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    test = _pieces(test, n, block_words)
     total = test.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = int(total // (2 * block_words)) + 1  # a word and what parts it from the next have two characters at least
     out = common.append_columns(docs, lambda b: _start(b.column(b.schema.get_field_index(text))), ADDED) if total == 0 else docs
