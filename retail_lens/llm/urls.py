@@ -38,36 +38,64 @@ def matched_rule(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
+def _unescaped(c: Column) -> Column:
+    """An attribute's value without white space around it and with & and quotes in the place of their entities."""
+    for pattern, char in ((r"(?i)&(?:quot|#34|#x22);", '"'), (r"(?i)&(?:apos|#39|#x27);", "'"), (r"(?i)&(?:amp|#38|#x26);", "&")):
+        c = F.regexp_replace(c, pattern, char)
+    return F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
+def _without_dots(p: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s)))
+
+    ends = F.when(p.rlike(r"/\.{1,2}\z"), F.concat(p, F.lit("/"))).otherwise(p)
+    return F.when(p.rlike(r"/\.{1,2}(?:/|\z)"), F.array_join(F.aggregate(F.split(ends, "/", -1), none, step), "/")).otherwise(p)
+
+
+def canonical(url: Column) -> Column:
+    """The spelling under which equal URLs meet: scheme and host in lower case, no port that the scheme implies, no dot segments, ``/`` for an empty path, no fragment. Null without ``://``."""
+    scheme = common.ascii_lower(F.regexp_extract(url, r"(?s)\A(.*?)://", 1))
+    site = F.when(scheme == "http", F.regexp_replace(host(url), r":80\z", "")).when(scheme == "https", F.regexp_replace(host(url), r":443\z", "")).otherwise(host(url))
+    query = F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)
+    resolved = _without_dots(path(url))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), site, F.when(resolved == "", "/").otherwise(resolved), query))
+
+
 def page_links(url: Column, html: Column) -> Column:
     """URLs that a page names as itself: canonical links and meta refreshes, made absolute."""
     def attribute(tag: Column, name: str) -> Column:
         got = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
-        return F.coalesce(*(F.nullif(g, F.lit("")) for g in got))
+        return _unescaped(F.coalesce(*(F.nullif(g, F.lit("")) for g in got)))
 
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?\s*canonical\b"))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?\s*refresh\b"))
-    targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: F.nullif(F.regexp_extract(t, r"(?is)url\s*=\s*['\"]?([^'\">\s]+)", 1), F.lit(""))))
+    targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: _unescaped(F.nullif(F.regexp_extract(t, r"(?is)url\s*=\s*['\"]?([^'\">\s]+)", 1), F.lit("")))))
     scheme, site = F.regexp_extract(url, r"(?s)\A(.*?)://", 1), F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
     folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path(url), r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/")))
-    absolute = lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(site, t)).otherwise(F.concat(folder, t))
-    found = F.transform(F.filter(targets, lambda t: t.isNotNull()), absolute)
-    return F.when(html.rlike("(?i)canonical|http-equiv"), found)
+    absolute = lambda t: F.when(t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(site, t)).when(t.startswith("?"), F.concat(site, path(url), t)).otherwise(F.concat(folder, t))
+    found = F.transform(F.filter(targets, lambda t: t.isNotNull() & (t != "") & ~t.startswith("#")), absolute)
+    return F.when(html.rlike("(?i)canonical|http-equiv") & url.contains("://"), found)
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """One row a row of ``pages``: key, host, path, rule, verdict.
 
     A rule that fits an URL decides it. Any other URL takes the decision of its equivalents, which are those that redirects
-    (a, b) and canonical links join it to, in any number of steps: allow if a rule allows one of them, else block if a rule
+    (a, b) and canonical links join it to, in any number of steps and under any spelling with one ``canonical`` form: allow if a rule allows one of them, else block if a rule
     blocks one, else allow. Null URLs, and URLs without ``://``, have an empty host and path, and only a rule could block them.
-    Rows that are repeated are judged alike. URLs that stand only in links count with their rules.
+    Rows that are repeated are judged alike. URLs that stand only in links count with their rules, by their canonical form.
+    Of ``pages`` only the three columns named are read; an empty table gives an empty one.
     """
     u = F.col(url)
-    seen = pages.select(F.col(key), u.alias("_url"), host(u).alias("host"), path(u).alias("path")).withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    seen = pages.select(F.col(key), canonical(u).alias("_url"), host(u).alias("host"), path(u).alias("path")).withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
     links = [redirects.select("a", "b")] if redirects is not None else []
     if html is not None:
         links.append(pages.select(u.alias("a"), F.explode(page_links(u, F.col(html))).alias("b")))
-    edges = common.materialize(reduce(DataFrame.union, links).where("a is not null and b is not null"), "url-edges") if links else None
+    edges = common.materialize(reduce(DataFrame.union, links).select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b")).where("a is not null and b is not null"), "url-edges") if links else None
     if edges is None or edges.isEmpty():
         return seen.select(key, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", F.lit("allow")).alias("verdict"))
     nodes = common.materialize(connected_components(edges), "url-components")
