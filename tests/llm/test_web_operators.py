@@ -91,7 +91,23 @@ def test_decisions_reach_aliases_and_allow_goes_first(spark):
     pages = [
         (1, "http://alias.org/1", '<link rel="canonical" href="http://bad.net/1">'), (2, "http://alias.org/2", '<META http-equiv=refresh content="0; url=/3">'), (3, "http://alias.org/3", "<link href='http://x.net/z' rel='canonical'>"),
         (4, "http://saved.org/4", '<link rel="canonical" href="//bad.net/4">'), (5, "http://saved.org/5", '<link rel=canonical href="http://ok.example.net/en/5">'), (6, "http://alone.org/6", "<p>canonical</p>"), (7, "http://bad.net/4", None),
+        (8, "http://far.org/a/b/c?x=1&y=2", "<link rel='canonical' href='../d'>"), (9, "http://x.org/z", '<link rel=canonical href="HTTP://Far.org:80/a/./d#top">'), (10, "http://Y.org", '<link rel="canonical" href="http://far.org/a/b/c?x=1&amp;y=2">'),
+        (11, "http://y.org/", "<link rel=canonical href='http://bad.net/../q'>"), (12, None, "<link rel=canonical href='http://bad.net/q'>"), (13, "http://lone.org/", "<link rel=canonical href='#'>"),
     ]
     redirects = spark.createDataFrame([("http://saved.org/4", "http://saved.org/5"), (None, "x")], "a string, b string")
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "block", 10: "block", 11: "block", 12: "allow", 13: "allow"}
+
+
+def test_registered_url_query_against_a_plain_version(spark):
+    """Hosts, paths, rules and ruled verdicts of all pages; without links that meet, others are allowed."""
+    sf = "/root/testdata/sf0.001"
+
+    def plain(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        h, p = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+        fit = [(len(r), a, r) for a, r in urls.RULES for d, s, t in [r.partition("/")] if (h == d or h.endswith("." + d)) and p.startswith(s + t)]
+        return (h, p, max(fit)[2], max(fit)[1]) if fit else (h, p, None, "allow")
+
+    want = {r.page_id: plain(r.url) for r in common.table(spark, sf, "pages").collect()}
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.op2_urls(spark, sf).collect()} == want
