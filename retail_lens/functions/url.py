@@ -5,18 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels that this engine knows; all other suffixes have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "com.au", "co.jp", "co.nz", "com.br", "co.id", "com.mx", "co.za")
-# Hosts whose subdomains are shops of their own, social networks and marketplaces.
-HOSTED = ("myshopify.com", "square.site", "wixsite.com", "bigcartel.com")
-SOCIAL = ("facebook.com", "instagram.com", "tiktok.com", "pinterest.com", "linkedin.com")
-MARKETS = ("amazon.com", "ebay.com", "etsy.com", "walmart.com")
+# Labels before a country's code that make a public suffix of two labels, and the countries that have them. This is a part of the public list.
+SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gob", "web")
+COUNTRY_SUFFIXES = ("uk", "au", "jp", "nz", "br", "id", "mx", "za", "in", "kr", "tr", "sg", "hk", "tw", "il", "ar", "my", "ph", "th", "cn")
+# Suffixes under which each subdomain is an owner of its own, and hosts whose subdomains are stores.
+PRIVATE_SUFFIXES = ("myshopify.com", "wixsite.com", "square.site", "blogspot.com", "github.io", "netlify.app", "vercel.app", "gc.ca")
+HOSTED = (
+    "bigcartel.com", "squarespace.com", "mybigcommerce.com", "shoplightspeed.com", "webshopapp.com", "storenvy.com", "myshopline.com", "weebly.com", "godaddysites.com",
+    "jimdosite.com", "company.site", "business.site", "wordpress.com", "ueniweb.com", "mystrikingly.com", "ecwid.com", "shopsettings.com",
+)
+# Social networks and marketplaces, by the name before any suffix or by domain.
+SOCIAL = ("instagram", "facebook", "twitter", "tiktok", "linkedin", "pinterest", "youtube", "threads", "snapchat", "whatsapp")
+SOCIAL_DOMAINS = ("x.com", "fb.com", "linktr.ee", "wa.me", "youtu.be")
+MARKETS = ("amazon", "etsy", "ebay", "walmart", "poshmark", "depop", "faire", "mercari", "grailed", "vinted", "aliexpress", "alibaba", "shopee", "lazada", "tokopedia")
+# Pages about many businesses, sites that are no store's own, and suffixes that no store has.
+DIRECTORIES = (
+    "yelp.com", "yelp.ca", "tripadvisor.com", "mapquest.com", "yellowpages.com", "yellowpages.ca", "bbb.org", "nextdoor.com", "foursquare.com", "manta.com", "google.com",
+    "goo.gl", "reddit.com", "wikipedia.org", "beacons.ai", "linkin.bio", "taplink.cc", "shopmy.us", "ltk.app", "shop.app", "bit.ly", "chamberofcommerce.com", "zoominfo.com",
+    "loc8nearme.com", "wanderlog.com", "birdeye.com", "alignable.com", "shopify.com", "apple.com", "yahoo.com", "shoptiques.com",
+)
+NOT_A_SITE = (
+    "facebook.com", "instagram.com", "linktr.ee", "yelp.com", "google.com", "goo.gl", "tiktok.com", "pinterest.com", "etsy.com", "squareup.com", "square.site", "wixsite.com",
+    "mapquest.com", "yellowpages.com", "yp.com", "bing.com", "apple.com", "foursquare.com", "tripadvisor.com", "nextdoor.com", "bbb.org", "manta.com", "chamberofcommerce.com",
+)
+PUBLIC_BODIES = (".gov", ".mil", ".edu", ".gc.ca")
+# Kinds of pages by path, the first that fits, and the roles of links.
+PRODUCT = r"(?i)/(products?|p|item|items|dp)/[^/?#]+|-p\d{3,}(\.html)?$|\.html$"
+COLLECTION = r"(?i)/(collections?|shop|store|catalog|category|categories|products|womens?|mens?|new|sale|clothing|knitwear|sweaters?|accessories)(/|$)"
+LANGUAGE_ROOT = r"(?i)^/[a-z]{2}([\-_][a-z]{2})?$"
+PAGE_KINDS = (
+    ("wholesale", r"(?i)wholesale|trade[\-_ ]?account|become[\-_ ]a"), ("stockist", r"(?i)stockist|retailer|where[\-_ ]to[\-_ ]buy"), ("contact", r"(?i)contact"),
+    ("about", r"(?i)about|our[\-_ ]story"), ("brands", r"(?i)/(brands?|designers?)(/|$)"), ("product", PRODUCT), ("collection", COLLECTION),
+)
+PRIORITY = r"(?i)/(pages?/)?(about|our-story|contact|wholesale|stockist|retailers?|brands?|designers?|trade)"
+PRIORITY_TEXT = r"(?i)\b(contact|about|our story|wholesale|stockists?|retailers?|trade|brands|designers)\b"
+IRRELEVANT = (
+    r"(?i)/(blogs?|news|journal|policies|privacy|terms|refund|returns|shipping|cart|checkout|account|login|register|search|wishlist|tags?|author|feed|wp-admin|wp-login|cdn-cgi)(/|$)"
+    r"|\.(jpe?g|png|gif|webp|svg|pdf|zip|mp4)$"
+)
+# First parts of social paths that are no profile.
+NOT_A_PROFILE = {
+    "instagram": ("p", "reel", "reels", "explore", "tags", "stories", "tv", "accounts", "about", "developer", "directory", "legal", "web", "challenge", "share"),
+    "facebook": (
+        "groups", "events", "watch", "marketplace", "sharer", "sharer.php", "share", "login", "help", "policies", "hashtag", "photo", "photo.php", "photos", "videos", "story.php",
+        "permalink.php", "plugins", "dialog", "l.php", "tr", "business", "gaming", "reel", "public", "search", "home.php",
+    ),
+}
+SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 
 
 def normalize_url(s: Column) -> Column:
     """With a scheme and without a closing slash or space around it; empty for null and blank."""
     t = F.trim(F.coalesce(s, F.lit("")))
-    full = F.when(t == "", "").when(t.startswith("//"), F.concat(F.lit("https:"), t)).when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), t).otherwise(F.concat(F.lit("https://"), t))
+    full = F.when(t == "", "").when(t.startswith("//"), F.concat(F.lit("https:"), t)).when(t.rlike(SCHEME), t).otherwise(F.concat(F.lit("https://"), t))
     return F.regexp_replace(full, "/+$", "")
 
 
@@ -30,21 +71,45 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def is_ip(h: Column) -> Column:
+    return h.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$") | h.rlike(r"^\[?[0-9a-f]*:[0-9a-f:]+\]?$")
+
+
 def registrable_domain(h: Column) -> Column:
-    """The label before the public suffix, with it; of a hosted shop its subdomain too."""
+    """The label before the public suffix, with it; under a shared store host or private suffix the subdomain too. A name without a dot stays."""
     labels = F.split(h, r"\.")
     tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    two = F.size(labels) >= 2
-    three = F.size(labels) >= 3
-    return F.when(three & tail(2).isin(*TWO_LABEL_SUFFIXES, *HOSTED), tail(3)).when(two, tail(2)).otherwise(h)
+    two, three = F.size(labels) >= 2, F.size(labels) >= 3
+    public = F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVEL) & F.get(labels, F.size(labels) - 1).isin(*COUNTRY_SUFFIXES)
+    third = F.get(labels, F.size(labels) - 3)
+    owns = public | tail(2).isin(*PRIVATE_SUFFIXES) | tail(2).isin(*HOSTED) & ~third.isin("", "www")
+    return F.when(three & owns, tail(3)).when(two, tail(2)).otherwise(h)
+
+
+def canonical_domain(link: Column) -> Column:
+    """The registrable domain of a link; empty if it has none."""
+    h = host(normalize_url(link))
+    return F.when(h.contains(".") & ~is_ip(h), registrable_domain(h)).otherwise("")
 
 
 def classify(link: Column) -> Column:
     """no_website, invalid_url, social_only, marketplace or processed."""
-    h = host(normalize_url(link))
+    u = normalize_url(link)
+    h = host(u)
     d = registrable_domain(h)
-    bad = ~h.contains(".") | h.rlike(r"^[0-9.]+$") | link.contains("@") | h.rlike(r"[^a-z0-9.-]")
-    return F.when(F.trim(F.coalesce(link, F.lit(""))) == "", "no_website").when(bad, "invalid_url").when(d.isin(*SOCIAL), "social_only").when(d.isin(*MARKETS), "marketplace").otherwise("processed")
+    name = F.substring_index(d, ".", 1)
+    bad = ~F.lower(u).rlike("^https?://") | ~h.contains(".") | is_ip(h) | link.contains("@") | h.rlike(r"[^a-z0-9.-]")
+    return F.when(u == "", "no_website").when(bad, "invalid_url").when(d.isin(*SOCIAL_DOMAINS) | name.isin(*SOCIAL), "social_only").when(name.isin(*MARKETS), "marketplace").otherwise("processed")
+
+
+def origin(url: Column) -> Column:
+    """Scheme, host and port in lower case, with https where there is no scheme."""
+    full = F.when(url.contains("//"), url).otherwise(F.concat(F.lit("https://"), url))
+    return F.lower(F.regexp_replace(F.regexp_extract(full, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), r"//[^@/]*@", "//"))
+
+
+def is_deep_link(url: Column) -> Column:
+    return ~path(url).isin("", "/") | url.rlike(r"^[^#]*\?[^#]")
 
 
 def url_key(url: Column) -> Column:
@@ -54,11 +119,67 @@ def url_key(url: Column) -> Column:
     return F.concat(h, F.regexp_replace(path(url), "/+$", ""), query)
 
 
-def page_kind(url: Column) -> Column:
-    """What a page is by its path: the first rule that fits."""
-    p = F.lower(path(url))
-    rules = (("home", "^/?$"), ("wholesale", "wholesale|trade"), ("stockist", "stockist|store-locator|find-us"), ("contact", "contact"), ("about", "about|story"), ("brands", "brands|designers"), ("product", r"/products?/|/[0-9]+\.html$"), ("collection", "/collections?/|/category/|/(en|de|fr|es)/"))
+def page_kind(url: Column, home: Column | None = None) -> Column:
+    """What a page is by its path: home, or the first kind whose rule fits, or other."""
+    p = F.regexp_replace(path(url), "/+$", "")
     out = F.lit("other")
-    for name, pattern in reversed(rules):
+    for name, pattern in reversed(PAGE_KINDS):
         out = F.when(p.rlike(pattern), name).otherwise(out)
-    return out
+    at_home = (p == "") | p.rlike(LANGUAGE_ROOT)
+    if home is not None:
+        at_home = at_home | (F.regexp_replace(url, "/+$", "") == F.regexp_replace(home, "/+$", ""))
+    return F.when(at_home, "home").otherwise(out)
+
+
+def link_role(url: Column, text: Column) -> Column:
+    """skip, priority, product, collection or other, by path and link text."""
+    p = path(url)
+    return F.when(p.rlike(IRRELEVANT), "skip").when(p.rlike(PRIORITY) | text.rlike(PRIORITY_TEXT), "priority").when(p.rlike(PRODUCT), "product").when(p.rlike(COLLECTION), "collection").otherwise("other")
+
+
+def on_domain(h: Column, domain: Column) -> Column:
+    return (F.lower(h) == domain) | F.endswith(F.lower(h), F.concat(F.lit("."), domain))
+
+
+def store_website(url: Column, exclude: tuple[str, ...] = ()) -> Column:
+    """The domain of a store's own website; empty for profiles, marketplaces, directories, public bodies and excluded domains."""
+    d = canonical_domain(url)
+    body = F.regexp_replace(d, r"^[^.]*", "").isin(*PUBLIC_BODIES) | d.rlike("|".join(b.replace(".", r"\.") + "$" for b in PUBLIC_BODIES))
+    return F.when((classify(url) == "processed") & ~d.isin(*DIRECTORIES, *exclude) & ~body, d).otherwise("")
+
+
+def site_domain(website: Column) -> Column:
+    """The domain of a website, unless it is a listing or profile."""
+    d = canonical_domain(website)
+    return F.when(d.isin(*NOT_A_SITE), "").otherwise(d)
+
+
+def server_network(ip: Column) -> Column:
+    """The /24 of an IPv4 address, the /48 of an IPv6 one written in full."""
+    four = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
+    six = F.concat(F.array_join(F.transform(F.slice(F.split(F.lower(ip), ":"), 1, 3), lambda g: F.coalesce(F.nullif(F.regexp_replace(g, "^0+", ""), F.lit("")), F.lit("0"))), ":"), F.lit("::/48"))
+    return F.when(ip.contains(":"), six).otherwise(four)
+
+
+def social_profile(value: Column, network: Column) -> Column:
+    """struct(network, key, url) of a profile link, or of a bare handle on a known ``network``; null for posts, groups, share links and all else."""
+    made = lambda n, key, url: F.struct(n.alias("network"), key.alias("key"), url.alias("url"))
+    t = F.trim(value)
+    handle = F.regexp_replace(t, "^@+", "")
+    bare = (network != "") & t.rlike(r"^@?[\w.\-]{2,60}$") & ~F.lower(t).rlike(r"\.(com|net|org|co|me)$")
+    from_handle = F.when(network == "instagram", made(network, F.lower(handle), F.concat(F.lit("https://www.instagram.com/"), F.lower(handle), F.lit("/")))).otherwise(made(network, F.lower(handle), F.concat(F.lit("https://www.facebook.com/"), handle)))
+    full = F.when(t.contains("//"), t).otherwise(F.concat(F.lit("https://"), t))
+    h = F.regexp_replace(host(full), r"^(www|m|web|l|business)\.", "")
+    seg = F.filter(F.split(path(full), "/"), lambda x: x != "")
+    raw = F.get(seg, F.lit(0))
+    first = F.lower(raw)
+    insta = F.when(raw.rlike(r"^[\w.]{1,40}$") & ~first.isin(*NOT_A_PROFILE["instagram"]), made(F.lit("instagram"), first, F.concat(F.lit("https://www.instagram.com/"), first, F.lit("/"))))
+    ident = F.regexp_extract(full, r"[?&]id=([^&#]+)", 1)
+    paged = F.slice(seg, 1, F.when(first == "p", 2).otherwise(3))
+    face = (
+        F.when(raw.isNull(), None)
+        .when(first == "profile.php", F.when(ident != "", made(F.lit("facebook"), F.concat(F.lit("id:"), ident), F.concat(F.lit("https://www.facebook.com/profile.php?id="), ident))))
+        .when(first.isin("people", "pages", "p") & (F.size(seg) >= 2), made(F.lit("facebook"), F.concat(F.lit("id:"), F.lower(F.element_at(seg, -1))), F.concat(F.lit("https://www.facebook.com/"), F.array_join(paged, "/"))))
+        .when(~first.isin(*NOT_A_PROFILE["facebook"]), made(F.lit("facebook"), first, F.concat(F.lit("https://www.facebook.com/"), raw)))
+    )
+    return F.when(t == "", None).when(bare, from_handle).when(h.isin("instagram.com", "instagr.am"), insta).when(h.isin("facebook.com", "fb.com", "fb.me"), face)

@@ -13,9 +13,6 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?1? ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 JUNK_MAIL = ("sentry.io", "wixpress.com", "example.org")
 FEED_SCHEMA = "products array<struct<id:bigint, title:string, body_html:string, published_at:string, vendor:string, product_type:string, tags:array<string>, variants:array<struct<price:string, compare_at_price:string, available:boolean>>>>"
-# Title patterns of the kinds and categories, in the order in which they are tried.
-KINDS = (("accessory", r"\b(scarf|hat|beanie|glove|ring|rod)s?\b"), ("garment", r"\b(sweater|cardigan|pullover|gizmo|widget)s?\b"))
-FIBRES = ("merino", "cashmere", "alpaca", "wool", "cotton", "linen", "silk", "acrylic", "polyester")
 PLATFORMS = (("shopify", "cdn.shopify.com"), ("woocommerce", "wp-content/plugins/woocommerce"), ("squarespace", "static1.squarespace.com"), ("wix", "wixstatic.com"), ("plain", "<style>p{margin:0}</style>"))
 
 
@@ -36,28 +33,6 @@ def platform(html: Column) -> Column:
     return out
 
 
-def knit_kind(title: Column) -> Column:
-    out = F.lit("")
-    for name, pattern in reversed(KINDS):
-        out = F.when(title.rlike("(?i)" + pattern), name).otherwise(out)
-    return out
-
-
-def materials(text: Column) -> Column:
-    """Fibres, those with the largest stated share first, then in list order; wool goes where merino is."""
-    t = F.lower(text)
-    share = lambda f: F.coalesce(F.nullif(F.regexp_extract(t, rf"([0-9]{{1,3}}) ?% ?{f}\b", 1), F.lit("")).cast("int"), F.lit(0))
-    found = F.array_compact(F.array(*(F.when(t.rlike(rf"\b{f}\b"), F.struct((-share(f)).alias("share"), F.lit(i).alias("i"), F.lit(f).alias("f"))) for i, f in enumerate(FIBRES))))
-    names = F.transform(F.sort_array(found), lambda x: x["f"])
-    return F.when(F.array_contains(names, "merino"), F.array_remove(names, "wool")).otherwise(names)
-
-
-def gender(text: Column) -> Column:
-    t = F.lower(text)
-    women, men = t.rlike(r"\b(women|woman|ladies|her)\b"), t.rlike(r"\b(men|man|gents|his)\b")
-    return F.when(t.rlike(r"\bunisex\b") | (women & men), "unisex").when(women, "women").when(men, "men").otherwise("")
-
-
 def feed_products(payload: Column) -> Column:
     """Products of a shop feed: title, vendor, type, tags, the least variant price as written, on_sale and in_stock (null if unknown)."""
     def product(p: Column) -> Column:
@@ -108,21 +83,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("href").agg(F.sum("n").alias("n"), F.count("*").alias("pages")).where("pages >= 3")
 
 
-@query(r"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)\b(scarf|hat|beanie|glove|ring|rod)s?\b') THEN 'accessory' WHEN regexp_matches(p_name, '(?i)\b(sweater|cardigan|pullover|gizmo|widget)s?\b') THEN 'garment' ELSE '' END AS kind FROM part")
-def knit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strict kind of each product, by an ordered list of title patterns."""
-    return table(spark, sf_dir, "part").select("p_partkey", knit_kind(F.col("p_name")).alias("kind"))
-
-
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'wool,cotton' WHEN 1 THEN 'cotton,merino' WHEN 2 THEN 'silk' ELSE '' END AS materials, CASE p_partkey % 3 WHEN 0 THEN 'women' WHEN 1 THEN 'unisex' ELSE 'men' END AS gender FROM part")
-def product_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fibres and gender from descriptions."""
-    k = F.col("p_partkey")
-    text = F.when(k % 4 == 0, "70% wool, 30% cotton").when(k % 4 == 1, "20 % merino wool and 80 % Cotton").when(k % 4 == 2, "pure silk").otherwise("plain")
-    who = F.when(k % 3 == 0, "for women").when(k % 3 == 1, "women and men").otherwise("men's")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(materials(text), ",").alias("materials"), gender(who).alias("gender"))
-
-
 @query("WITH n AS (SELECT p_brand, count(*) AS products, round(min(p_retailprice), 2) AS least FROM part GROUP BY p_brand) SELECT p_brand AS vendor, products, least, CAST(products AS BIGINT) AS on_sale FROM n")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shop feeds, one a brand, written as JSON and read back: products, least price, and how many are on sale."""

@@ -35,7 +35,10 @@ def url_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", url.url_key(F.col("url")).alias("url_key"))
 
 
-@query("WITH p AS (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM pages) SELECT CASE WHEN regexp_matches(p, '^/?$') THEN 'home' WHEN regexp_matches(p, 'wholesale|trade') THEN 'wholesale' WHEN regexp_matches(p, 'stockist|store-locator|find-us') THEN 'stockist' WHEN regexp_matches(p, 'contact') THEN 'contact' WHEN regexp_matches(p, 'about|story') THEN 'about' WHEN regexp_matches(p, 'brands|designers') THEN 'brands' WHEN regexp_matches(p, '/products?/|/[0-9]+\\.html$') THEN 'product' WHEN regexp_matches(p, '/collections?/|/category/|/(en|de|fr|es)/') THEN 'collection' ELSE 'other' END AS page_kind, count(*) AS pages FROM p GROUP BY 1".replace("\\\\", "\\"))
+_KIND = " ".join(f"WHEN regexp_matches(p, '{pattern}') THEN '{kind}'" for kind, pattern in url.PAGE_KINDS)
+
+
+@query(rf"WITH p AS (SELECT regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages) SELECT CASE WHEN p = '' OR regexp_matches(p, '{url.LANGUAGE_ROOT}') THEN 'home' {_KIND} ELSE 'other' END AS page_kind, count(*) AS pages FROM p GROUP BY 1")
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by what their paths say they are."""
     return table(spark, sf_dir, "pages").groupBy(url.page_kind(F.col("url")).alias("page_kind")).agg(F.count("*").alias("pages"))
@@ -76,7 +79,7 @@ def compact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.compact(F.col("c_name")).alias("compact"), text.digits(phone).alias("digits"))
 
 
-@query("WITH w AS (SELECT p_partkey, 'The ' || p_name || ' Shop & Co.' AS name FROM part), t AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: NOT list_contains(['and', 'boutique', 'co', 'company', 'inc', 'llc', 'ltd', 'of', 'shop', 'shops', 'store', 'stores', 'the'], x)) AS w FROM w) SELECT p_partkey, array_to_string(w, '') AS core_name FROM t")
+@query("WITH w AS (SELECT p_partkey, 'The ' || p_name || ' Shop & Co.' AS name FROM part), t AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: NOT list_contains(['the', 'shop', 'shoppe', 'boutique', 'boutiques', 'store', 'stores', 'clothing', 'co', 'company', 'collection', 'apparel', 'inc', 'llc', 'ltd', 'online', 'and'], x)) AS w FROM w) SELECT p_partkey, array_to_string(w, '') AS core_name FROM t")
 def core_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shop names without the words that all shops share."""
     return table(spark, sf_dir, "part").select("p_partkey", text.core_name(F.concat(F.lit("The "), "p_name", F.lit(" Shop & Co."))).alias("core_name"))
@@ -91,11 +94,17 @@ def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", price.parse_price(raw).alias("price"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(?:token|secret|password|api_?key)\s*[=:]\s*"?[A-Za-z0-9_\-]{8,}"?')) AS INT) AS secrets, sha256(regexp_replace(regexp_replace(text, '(?i)(token|secret|password|api_?key)(\s*[=:]\s*)"?[A-Za-z0-9_\-]{8,}"?', '\1\2[redacted]', 'g'), '\b(sk|pk|ghp)[-_][A-Za-z0-9_]{16,}', '[redacted]', 'g')) AS redacted_sha256 FROM documents""")
+_MASKED = "text"
+for _pattern in text.SECRETS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '[redacted]', 'g')"
+_NAMED = text.NAMED_SECRET.replace("'", "''")
+
+
+@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{text.SECRETS[1]}')) AS INT) AS secrets, sha256(regexp_replace({_MASKED}, '{_NAMED}', '\1\2[redacted]', 'g')) AS redacted_sha256 FROM documents")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and tokens in documents, counted and replaced."""
+    """Keys and tokens in documents masked, and those of one provider counted."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit(r'(?i)(?:token|secret|password|api_?key)\s*[=:]\s*"?[A-Za-z0-9_\-]{8,}"?')).alias("secrets"), F.sha2(text.redact(t), 256).alias("redacted_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit(text.SECRETS[1])).alias("secrets"), F.sha2(text.redact(t), 256).alias("redacted_sha256"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS s FROM pages),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views")
+MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views", "names", "products")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -24,6 +24,33 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+
+def cases(name: str, given: str, expect: str, rows: Sequence[tuple], build: Callable[[], dict[str, Column]], doc: str) -> None:
+    """Registers a query of column functions over literal rows, whose SQL is the rows that the rule, worked out by hand, makes of them.
+
+    ``given`` and ``expect`` are DDL of a row's first and last values; ``build`` makes the columns of ``expect`` from those of ``given``.
+    """
+    ins, outs = ([f.split(" ") for f in x.split(", ")] for x in (given, expect))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.createDataFrame([(i, *r[: len(ins)]) for i, r in enumerate(rows)], f"case_id bigint, {given}")
+        made = build()
+        return df.select("case_id", *(made[f].cast(kind).alias(f) for f, kind in outs))
+
+    run.__name__, run.__doc__ = name, doc
+    sql_type = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    values = ", ".join("(" + ", ".join(_literal(x) for x in (i, *r[len(ins) :])) + ")" for i, r in enumerate(rows))
+    typed = ", ".join(f"CAST({f} AS {sql_type[kind]}) AS {f}" for f, kind in outs)
+    query(f"SELECT CAST(case_id AS BIGINT) AS case_id, {typed} FROM (VALUES {values}) AS v(case_id, {', '.join(f for f, _ in outs)})")(run)
+
+
 def _load() -> None:
     for name in MODULES:
         importlib.import_module(f"retail_lens.operators.{name}")

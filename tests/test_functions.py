@@ -3,7 +3,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from retail_lens.functions import geo, price, stats, text, url
+from retail_lens.functions import geo, place, price, product, stats, text, url
 from retail_lens.operators import extraction
 
 
@@ -29,15 +29,15 @@ def test_urls(spark):
 def test_texts(spark):
     assert values(spark, ["The Knit Shop & Co.", "The Shop", None], text.core_name) == ["knit", "theshop", None]
     assert values(spark, ["+1 (239) 555-0101 ", "12"], text.digits) == ["2395550101", "12"]
-    assert values(spark, ["k1a0b6", " 34102 "], text.postal) == ["K1A 0B6", "34102"]
+    assert values(spark, ["k1a0b6", " 34102 "], place.normalize_postal) == ["K1A 0B6", "34102"]
     assert values(spark, ["Yes", "OutOfStock", "perhaps"], text.flag) == [True, False, None]
     assert values(spark, ["<p>a&amp;b<script>x</script> <b>c</b><!-- d --></p>"], text.clean_html) == ["a&b c"]
-    assert values(spark, ['token = "abcdefgh12345678"', "plain"], text.redact) == ["token = [redacted]", "plain"]
+    assert values(spark, ['api_key = "abcdefgh12345678"', "plain"], text.redact) == ['api_key = "[redacted]"', "plain"]
 
 
 def test_extraction(spark):
-    assert values(spark, ["70% wool, 30% cotton", "merino wool", "none"], extraction.materials) == [["wool", "cotton"], ["merino"], []]
-    assert values(spark, ["for women and men", "Ladies", "x"], extraction.gender) == ["unisex", "women", ""]
+    assert values(spark, ["70% wool, 30% cotton", "merino wool", "none"], product.materials) == [["wool", "cotton"], ["merino"], []]
+    assert values(spark, ["for women and men", "Ladies", "x"], product.gender) == ["unisex", "women", ""]
     assert values(spark, ["Mail A@b.com, a@B.com, z@sentry.io"], extraction.emails) == [["a@b.com"]]
     feed = '{"products":[{"id":1,"title":"T","vendor":"V","tags":["a","b"],"variants":[{"price":"20.00","compare_at_price":"30","available":false},{"price":"9.50","available":true}]},{"id":2,"title":"U","variants":[]}]}'
     got = values(spark, [feed, "broken"], extraction.feed_products)
