@@ -167,7 +167,8 @@ def as_text(v: Column) -> Column:
         first = F.when(x.rlike(r"^\s*\["), F.get_json_object(x, "$[0]")).otherwise(x)
         return F.when(first.rlike(r"^\s*\{"), F.coalesce(F.nullif(F.get_json_object(first, "$.name"), F.lit("")), F.get_json_object(first, "$.@value"))).otherwise(first)
 
-    return F.trim(F.coalesce(step(step(step(v))), F.lit("")))
+    once = lambda x: F.get(F.transform(F.array(x), step), F.lit(0))  # noqa: E731  a lambda's variable is not put in by copy
+    return F.trim(F.coalesce(once(once(once(v))), F.lit("")))
 
 
 def currency_code(v: Column) -> Column:

@@ -96,20 +96,6 @@ def mode_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("brand_key").agg(F.min_by("vendor", F.struct(-F.col("n"), "first")).alias("spelling"), F.max("n").alias("n"), F.count("*").alias("spellings"))
 
 
-@query(f"""
-WITH {LISTINGS_SQL}, v AS (SELECT domain, regexp_replace(lower(vendor), '[^a-z0-9]+', '', 'g') AS brand_key, count(*) AS n FROM listings GROUP BY 1, 2),
-s AS (SELECT domain, sum(n) AS named, max(n) AS top, count(*) FILTER (WHERE brand_key <> 'brand' || CAST(1 + length(domain) % 25 AS VARCHAR)) AS outside, sum(n) FILTER (WHERE brand_key = 'brand' || CAST(1 + length(domain) % 25 AS VARCHAR)) AS own FROM v GROUP BY 1)
-SELECT domain, CAST(outside AS BIGINT) AS outside_brands, round(top / named, 4) AS top_share, CASE WHEN coalesce(own, 0) / named >= 0.9 THEN 'own_brand' WHEN outside >= 3 AND top / named <= 0.5 THEN 'multi_brand' ELSE 'unknown' END AS store_type FROM s""")
-def brand_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a store's vendors make it a shop of many brands, of its own, or neither."""
-    v = listings(spark, sf_dir).groupBy("domain", F.regexp_replace(F.lower("vendor"), "[^a-z0-9]+", "").alias("brand_key")).agg(F.count("*").alias("n"))
-    own = F.col("brand_key") == F.concat(F.lit("brand"), (1 + F.length("domain") % 25).cast("string"))
-    s = v.groupBy("domain").agg(F.sum("n").alias("named"), F.max("n").alias("top"), F.count_if(~own).alias("outside_brands"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("own"))
-    share = F.col("top") / F.col("named")
-    kind = F.when(F.col("own") / F.col("named") >= 0.9, "own_brand").when((F.col("outside_brands") >= 3) & (share <= 0.5), "multi_brand").otherwise("unknown")
-    return s.select("domain", "outside_brands", F.round(share, 4).alias("top_share"), kind.alias("store_type"))
-
-
 @query(f"""
 WITH {LISTINGS_SQL}, k AS (SELECT vendor, product_type = 'LARGE' AS category, CASE WHEN title LIKE 'small%' THEN NULL ELSE title LIKE 'red%' END AS material, CASE WHEN price BETWEEN 905 AND 985 THEN price <= 950 END AS band FROM listings),
 y AS (SELECT vendor, CAST(category AS INT) + coalesce(CAST(material AS INT), 0) + coalesce(CAST(band AS INT), 0) AS yes, 1 + CAST(material IS NOT NULL AS INT) + CAST(band IS NOT NULL AS INT) AS known FROM k)

@@ -13,7 +13,6 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?1? ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 JUNK_MAIL = ("sentry.io", "wixpress.com", "example.org")
 FEED_SCHEMA = "products array<struct<id:bigint, title:string, body_html:string, published_at:string, vendor:string, product_type:string, tags:array<string>, variants:array<struct<price:string, compare_at_price:string, available:boolean>>>>"
-PLATFORMS = (("shopify", "cdn.shopify.com"), ("woocommerce", "wp-content/plugins/woocommerce"), ("squarespace", "static1.squarespace.com"), ("wix", "wixstatic.com"), ("plain", "<style>p{margin:0}</style>"))
 
 
 def emails(text: Column) -> Column:
@@ -26,13 +25,6 @@ def phones(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PHONE), 0), lambda p: F.right(F.regexp_replace(p, "[^0-9]", ""), F.lit(10))))
 
 
-def platform(html: Column) -> Column:
-    out = F.lit("")
-    for name, mark in reversed(PLATFORMS):
-        out = F.when(F.contains(F.lower(html), F.lit(mark)), name).otherwise(out)
-    return out
-
-
 def feed_products(payload: Column) -> Column:
     """Products of a shop feed: title, vendor, type, tags, the least variant price as written, on_sale and in_stock (null if unknown)."""
     def product(p: Column) -> Column:
@@ -62,12 +54,6 @@ def contact_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(phones(F.col("text"))).alias("phone"))
 
 
-@query("SELECT CASE WHEN contains(lower(html), 'cdn.shopify.com') THEN 'shopify' WHEN contains(lower(html), '<style>p{margin:0}</style>') THEN 'plain' ELSE '' END AS platform, count(*) AS pages FROM pages GROUP BY 1")
-def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the platform whose marks they bear."""
-    return table(spark, sf_dir, "pages").groupBy(platform(F.col("html")).alias("platform")).agg(F.count("*").alias("pages"))
-
-
 @query(r"SELECT page_id, regexp_extract(html, '<html[^>]*\blang=\"([a-z]+)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS links, length(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title_chars FROM pages")
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, links and title of pages."""

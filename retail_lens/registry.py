@@ -6,9 +6,10 @@ import importlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views", "names", "products")
+MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views", "names", "products", "judgement", "feeds")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -32,23 +33,28 @@ def _literal(x: object) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
 
 
-def cases(name: str, given: str, expect: str, rows: Sequence[tuple], build: Callable[[], dict[str, Column]], doc: str) -> None:
-    """Registers a query of column functions over literal rows, whose SQL is the rows that the rule, worked out by hand, makes of them.
+def fixture(name: str, given: str, rows: Sequence[tuple], expect: str, expected: Sequence[tuple], build: Callable[[DataFrame], DataFrame], doc: str) -> None:
+    """Registers a query over literal rows, whose SQL is the rows that the rule, worked out by hand, makes of them.
 
-    ``given`` and ``expect`` are DDL of a row's first and last values; ``build`` makes the columns of ``expect`` from those of ``given``.
+    ``given`` and ``expect`` are DDL; ``build`` makes a frame with the columns of ``expect`` of one with those of ``given``.
     """
-    ins, outs = ([f.split(" ") for f in x.split(", ")] for x in (given, expect))
+    outs = [f.split(" ") for f in expect.split(", ")]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.createDataFrame([(i, *r[: len(ins)]) for i, r in enumerate(rows)], f"case_id bigint, {given}")
-        made = build()
-        return df.select("case_id", *(made[f].cast(kind).alias(f) for f, kind in outs))
+        return build(spark.createDataFrame(list(rows), given)).select(*(F.col(f).cast(kind).alias(f) for f, kind in outs))
 
     run.__name__, run.__doc__ = name, doc
     sql_type = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
-    values = ", ".join("(" + ", ".join(_literal(x) for x in (i, *r[len(ins) :])) + ")" for i, r in enumerate(rows))
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in expected)
     typed = ", ".join(f"CAST({f} AS {sql_type[kind]}) AS {f}" for f, kind in outs)
-    query(f"SELECT CAST(case_id AS BIGINT) AS case_id, {typed} FROM (VALUES {values}) AS v(case_id, {', '.join(f for f, _ in outs)})")(run)
+    query(f"SELECT {typed} FROM (VALUES {values}) AS v({', '.join(f for f, _ in outs)})")(run)
+
+
+def cases(name: str, given: str, expect: str, rows: Sequence[tuple], build: Callable[[], dict[str, Column]], doc: str) -> None:
+    """A fixture of column functions: ``build`` makes the columns of ``expect``, a row's last values, from those of ``given``, its first."""
+    n, outs = len(given.split(", ")), [f.split(" ")[0] for f in expect.split(", ")]
+    numbered = [(i, *r[:n]) for i, r in enumerate(rows)], [(i, *r[n:]) for i, r in enumerate(rows)]
+    fixture(name, f"case_id bigint, {given}", numbered[0], f"case_id bigint, {expect}", numbered[1], lambda df: df.select("case_id", *(x.alias(k) for k, x in build().items() if k in outs)), doc)
 
 
 def _load() -> None:
