@@ -12,8 +12,3 @@ def haversine_miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> C
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)
     return 2 * EARTH_MILES * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-
-
-def grid_cell(lat: Column, lng: Column, degrees: float) -> tuple[Column, Column]:
-    """Row and column of a grid over the sphere's coordinates."""
-    return F.floor(lat / degrees).cast("long"), F.floor(lng / degrees).cast("long")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import LISTINGS_SQL, RULES, STORES_SQL, listings, stores, table
-from ..functions.geo import grid_cell, haversine_miles
+from ..functions.geo import EARTH_MILES, haversine_miles
 from ..registry import query
 
-#: Degrees of a grid cell: a radius of ``near_miles`` reaches into the next cell at most, up to 60 degrees of latitude.
-CELL = 0.5
-
 
 def located(df: DataFrame, key: Column, a: int, b: int) -> DataFrame:
     """Coordinates that a key stands for, as the tables hold none."""
@@ -24,16 +23,28 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return shops, people
 
 
-def within_radius(left: DataFrame, right: DataFrame, miles: float, cell: float = CELL) -> DataFrame:
+def _cells(row: Column, lng: Column, miles: float, high: float) -> tuple[Column, Column]:
+    """(column of a longitude, number of columns) in a row of the grid: columns are at least as wide as ``miles`` reach from that row or its neighbours."""
+    edge = F.radians(F.least(F.greatest(F.abs(row * high - 90 - high), F.abs(row * high - 90 + 2 * high)), F.lit(90.0)))
+    reach = F.lit(math.sin(min(miles / EARTH_MILES, math.pi) / 2)) / F.greatest(F.cos(edge), F.lit(1e-9))
+    n = F.when(reach >= 1, 1).otherwise(F.greatest(F.floor(math.pi / F.asin(F.least(reach, F.lit(1.0))) * (1 - 1e-9)), F.lit(1))).cast("long")
+    return F.pmod(F.floor((lng + 180) / 360 * n).cast("long"), n), n
+
+
+def within_radius(left: DataFrame, right: DataFrame, miles: float) -> DataFrame:
     """Pairs of ``left`` (lat, lng) and ``right`` (c_lat, c_lng) at most ``miles`` apart, with the distance.
 
-    A join on grid cells: the right side stands in its own cell and the eight around it, so no pair outside them is compared.
+    A join on the cells of a grid: rows are as high as the radius, and each row's columns as wide as it is there, around the globe.
+    The right side stands in its own cell and those around it, so no pair outside them is compared, and none is missed at the
+    poles or the date line. Null coordinates are near nothing.
     """
-    row, col = grid_cell(F.col("c_lat"), F.col("c_lng"), cell)
-    around = F.array(*(F.struct((row + i).alias("row"), (col + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    row0, col0 = grid_cell(F.col("lat"), F.col("lng"), cell)
-    right = right.withColumn("cell", F.explode(around))
-    near = left.withColumn("cell", F.struct(row0.alias("row"), col0.alias("col"))).join(right, "cell").drop("cell")
+    high = math.degrees(min(miles / EARTH_MILES, math.pi)) * (1 + 1e-9)
+    row_of = lambda lat: F.floor((lat + 90) / high).cast("long")
+    right = right.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: row_of(F.col("c_lat")) + i)))
+    col, n = _cells(F.col("row"), F.col("c_lng"), miles, high)
+    right = right.withColumn("col", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(col + i, n)))))
+    left = left.withColumn("row", row_of(F.col("lat"))).withColumn("col", _cells(F.col("row"), F.col("lng"), miles, high)[0])
+    near = left.join(right, ["row", "col"]).drop("row", "col")
     return near.withColumn("miles", haversine_miles(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))).where(F.col("miles") <= miles)
 
 
@@ -96,13 +107,13 @@ def anti_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores(spark, sf_dir).join(known, "s_suppkey", "left_anti").select("domain", "state")
 
 
-@query(f"WITH {LISTINGS_SQL}, ref AS (SELECT * FROM (VALUES ('LARGE', 950.0), ('SMALL', 1010.0), ('default', 1000.0)) t(category, retail)), m AS (SELECT product_type, median(price) AS price FROM listings GROUP BY 1) SELECT product_type, round(price / coalesce(retail, (SELECT retail FROM ref WHERE category = 'default')), 2) AS ratio, CASE WHEN round(price / coalesce(retail, 1000.0), 2) < 0.99 THEN 'below' WHEN round(price / coalesce(retail, 1000.0), 2) > 1.02 THEN 'above' ELSE 'fits' END AS fit FROM m LEFT JOIN ref ON category = product_type")
+@query(f"WITH {LISTINGS_SQL}, ref AS (SELECT * FROM (VALUES ('LARGE', 950.0), ('SMALL', 1010.0), ('default', 1000.0)) t(category, retail)), m AS (SELECT product_type, median(price) AS price FROM listings GROUP BY 1) SELECT product_type, round(price / coalesce(retail, (SELECT retail FROM ref WHERE category = 'default')), 2) AS ratio, CASE WHEN round(price / coalesce(retail, 1000.0), 2) < 0.75 THEN 'below' WHEN round(price / coalesce(retail, 1000.0), 2) > 1.35 THEN 'above' ELSE 'fits' END AS fit FROM m LEFT JOIN ref ON category = product_type")
 def price_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median price of each type against its reference price, or the default one."""
     ref = spark.createDataFrame([("LARGE", 950.0), ("SMALL", 1010.0)], "product_type string, retail double")
     m = listings(spark, sf_dir).groupBy("product_type").agg(F.percentile("price", F.lit(0.5)).alias("price"))
     r = m.join(F.broadcast(ref), "product_type", "left").withColumn("ratio", F.round(F.col("price") / F.coalesce("retail", F.lit(1000.0)), 2))  # a fixed list
-    return r.select("product_type", "ratio", F.when(F.col("ratio") < 0.99, "below").when(F.col("ratio") > 1.02, "above").otherwise("fits").alias("fit"))
+    return r.select("product_type", "ratio", F.when(F.col("ratio") < 0.75, "below").when(F.col("ratio") > 1.35, "above").otherwise("fits").alias("fit"))
 
 
 @query("WITH i AS (SELECT s_suppkey, unnest([s_suppkey * 3, s_suppkey, s_suppkey * 5]) AS id, unnest([0, 1, 2]) AS pos FROM supplier), j AS (SELECT s_suppkey, first(c_name ORDER BY pos) AS name FROM i JOIN customer ON c_custkey = id WHERE c_mktsegment <> 'MACHINERY' GROUP BY s_suppkey) SELECT s.s_suppkey AS s_suppkey, coalesce(name, '') AS name FROM supplier s LEFT JOIN j ON j.s_suppkey = s.s_suppkey")

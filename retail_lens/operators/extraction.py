@@ -9,6 +9,8 @@ from ..catalog import table
 from ..functions import price
 from ..registry import query
 
+#: Keys of one page of a feed.
+PAGE = 5000
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"\+?1? ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 JUNK_MAIL = ("sentry.io", "wixpress.com", "example.org")
@@ -71,9 +73,9 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH n AS (SELECT p_brand, count(*) AS products, round(min(p_retailprice), 2) AS least FROM part GROUP BY p_brand) SELECT p_brand AS vendor, products, least, CAST(products AS BIGINT) AS on_sale FROM n")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shop feeds, one a brand, written as JSON and read back: products, least price, and how many are on sale."""
+    """Shop feeds in pages of neighbouring products of a brand, written as JSON and read back: products, least price, and how many are on sale."""
     variant = F.struct(F.format_string("$%.2f", F.col("p_retailprice")).alias("price"), F.format_string("$%.2f", F.col("p_retailprice") + 10).alias("compare_at_price"), F.lit(True).alias("available"))
     product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), F.array(variant, variant).alias("variants"))
-    feeds = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(product).alias("products"))).alias("payload"))
+    feeds = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / PAGE).alias("page")).agg(F.to_json(F.struct(F.collect_list(product).alias("products"))).alias("payload"))
     p = feeds.select(F.inline(feed_products(F.col("payload"))))
     return p.groupBy("vendor").agg(F.count("*").alias("products"), F.round(F.min("price"), 2).alias("least"), F.count_if("on_sale").alias("on_sale"))

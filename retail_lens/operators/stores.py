@@ -58,14 +58,14 @@ def knit_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).where("knit_kind <> ''").join(read, "domain").select("domain", "listing_id", "knit_kind", "on_final_list")
 
 
-@query(f"""WITH {LISTINGS_SQL}, v AS (SELECT domain, list_sort(list(price)) AS a FROM listings WHERE product_type = 'PROMO' GROUP BY domain),
+@query(f"""WITH {LISTINGS_SQL}, v AS (SELECT domain, list_sort(list(price)) AS a FROM listings GROUP BY domain),
 n AS (SELECT domain, a, len(a) AS n, unnest([1, 2, 3]) AS i FROM v),
 j AS (SELECT *, least(greatest(i * (n + 1) // 4, 1), n - 1) AS j FROM n),
 q AS (SELECT domain, n, i, CASE WHEN n < 4 THEN CASE i WHEN 1 THEN a[1] WHEN 3 THEN a[n] ELSE (a[(n - 1) // 2 + 1] + a[n // 2 + 1]) / 2 END ELSE round((a[j] * (4 - (i * (n + 1) - 4 * j)) + a[j + 1] * (i * (n + 1) - 4 * j)) / 4, 3) END AS q FROM j)
 SELECT domain, CAST(max(n) AS INT) AS products, max(q) FILTER (WHERE i = 1) AS q1, max(q) FILTER (WHERE i = 2) AS q2, max(q) FILTER (WHERE i = 3) AS q3 FROM q GROUP BY domain""")
 def quartiles_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exclusive price quartiles of each store's promoted products."""
-    return _quartiles(listings(spark, sf_dir).where("product_type = 'PROMO'"))
+    """Exclusive price quartiles of all of each store's products."""
+    return _quartiles(listings(spark, sf_dir))
 
 
 @query(f"""WITH {LISTINGS_SQL}, v AS (SELECT domain, list_sort(list(price)) AS a FROM listings WHERE knit_kind <> '' GROUP BY domain),
@@ -150,17 +150,17 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.selectExpr("stack(4, 'found', found, 1, 'read', read, 2, 'many_brands', many_brands, 3, 'final', final, 4) AS (stage, stores, step)")
 
 
-@query(f"WITH {LISTINGS_SQL}, n AS (SELECT domain, count(DISTINCT vendor) AS v FROM listings WHERE price > 990 GROUP BY domain) SELECT CASE WHEN v <= 1 THEN '1' WHEN v <= 2 THEN '2' WHEN v <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS stores FROM n GROUP BY 1")
+@query(f"WITH {LISTINGS_SQL}, n AS (SELECT domain, count(DISTINCT vendor) AS v FROM listings GROUP BY domain) SELECT CASE WHEN v <= 1 THEN '1' WHEN v <= 2 THEN '2' WHEN v <= 4 THEN '3-4' ELSE '5+' END AS bucket, count(*) AS stores FROM n GROUP BY 1")
 def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores by how many vendors of dear products they have."""
-    v = listings(spark, sf_dir).where("price > 990").groupBy("domain").agg(F.countDistinct("vendor").alias("v"))
+    """Stores by how many vendors they have."""
+    v = listings(spark, sf_dir).groupBy("domain").agg(F.countDistinct("vendor").alias("v"))
     return v.groupBy(F.when(F.col("v") <= 1, "1").when(F.col("v") <= 2, "2").when(F.col("v") <= 4, "3-4").otherwise("5+").alias("bucket")).agg(F.count("*").alias("stores"))
 
 
-@query(f"WITH {LISTINGS_SQL} SELECT domain, listing_id, CASE WHEN price BETWEEN 905 AND 985 THEN price END AS price_usd FROM listings WHERE listing_id % 10 = 0")
+@query(f"WITH {LISTINGS_SQL} SELECT domain, listing_id, CASE WHEN price BETWEEN 905 AND 985 THEN price END AS price_usd FROM listings")
 def price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of ``price_usd``: its SQL asks for parts of whole tens only."""
-    return price_usd(spark, sf_dir).where("listing_id % 10 = 0")
+    """Every listing with its price, where that is in the permitted window."""
+    return price_usd(spark, sf_dir)
 
 
 @query(f"WITH {LISTINGS_SQL} SELECT domain, listing_id, CASE WHEN price BETWEEN 905 AND 985 THEN price END AS price_usd FROM listings")

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..catalog import LISTINGS_SQL, STORES_SQL, listings, stores, table
 from ..registry import query
 
-_CARRY_SQL = f"{LISTINGS_SQL}, {STORES_SQL}, c AS (SELECT domain, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS vendors, count(DISTINCT vendor) AS brands, round(avg(price), 2) AS mean_price FROM listings WHERE price > 990 GROUP BY domain)"
+_CARRY_SQL = f"{LISTINGS_SQL}, {STORES_SQL}, c AS (SELECT domain, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS vendors, count(DISTINCT vendor) AS brands, round(avg(price), 2) AS mean_price FROM listings GROUP BY domain)"
 
 
 def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each store's dear brands, as a sorted array, with their number and mean price."""
-    l = listings(spark, sf_dir).where("price > 990")  # noqa: E741
-    return l.groupBy("domain").agg(F.sort_array(F.collect_set("vendor")).alias("vendors"), F.countDistinct("vendor").alias("brands"), F.round(F.avg("price"), 2).alias("mean_price"))
+    """Each store's brands, as a sorted array, with their number and mean price."""
+    return listings(spark, sf_dir).groupBy("domain").agg(F.sort_array(F.collect_set("vendor")).alias("vendors"), F.countDistinct("vendor").alias("brands"), F.round(F.avg("price"), 2).alias("mean_price"))
 
 
 @query(f"WITH {_CARRY_SQL} SELECT s.domain AS domain, state, brands FROM stores s JOIN c ON c.domain = s.domain WHERE (list_contains(string_split(vendors, ','), 'Brand#7') OR list_contains(string_split(vendors, ','), 'Brand#9')) AND store_type <> 'own_brand' AND (contains(lower(state), '1') OR contains(lower(s.domain), '1') OR contains(lower(vendors), 'brand#11'))")
@@ -52,10 +51,10 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count("*").alias("links"), done.alias("processed"), skipped.alias("skipped"), (F.count("*") == done + skipped).alias("balanced"))
 
 
-@query("SELECT n_regionkey, CASE WHEN count(DISTINCT c_nationkey % 2) = 1 THEN 'C' || CAST(min(c_nationkey % 2) AS VARCHAR) ELSE 'mixed' END AS currency FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0 GROUP BY n_regionkey")
+@query("SELECT n_regionkey, CASE WHEN count(DISTINCT c_nationkey % 2) = 1 THEN 'C' || CAST(min(c_nationkey % 2) AS VARCHAR) ELSE 'mixed' END AS currency FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey")
 def single_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one currency of a region's customers, or that there are several."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*"))
     money = F.col("n_nationkey") % 2
     return c.join(table(spark, sf_dir, "nation"), "n_nationkey").groupBy("n_regionkey").agg(F.when(F.min(money) == F.max(money), F.concat(F.lit("C"), F.min(money).cast("string"))).otherwise("mixed").alias("currency"))
 

@@ -49,10 +49,16 @@ def last_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH e AS (SELECT user_id % 10 AS net, user_id AS host, epoch_us(ts) AS t FROM events WHERE event_type = 'error'), w AS (SELECT a.net AS net, a.t AS t, count(DISTINCT b.host) AS hosts FROM e a JOIN e b ON a.net = b.net AND b.t BETWEEN a.t - 36000000000 AND a.t GROUP BY 1, 2) SELECT net, count(*) AS refusals, CAST(count(*) FILTER (WHERE hosts >= 2) AS BIGINT) AS limited FROM w GROUP BY net")
 def refusal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refusals at which at least two hosts of a network had refused within ten hours: a range frame over time."""
+    """Refusals at which at least two hosts of a network had refused within ten hours: a range frame over time.
+
+    Time is cut in slices as long as the frame, and each slice has the rows of the one before it too: a busy network is many tasks'.
+    """
     e = events(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 10).alias("net"), F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    frame = Window.partitionBy("net").orderBy("t").rangeBetween(-36_000_000_000, 0)
-    w = e.withColumn("hosts", F.size(F.collect_set("host").over(frame))).groupBy("net", "t").agg(F.max("hosts").alias("hosts"))
+    long = 36_000_000_000
+    slot = F.floor(F.col("t") / long)
+    e = e.withColumn("s", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own"))))).select("net", "host", "t", "s.slot", "s.own")
+    frame = Window.partitionBy("net", "slot").orderBy("t").rangeBetween(-long, 0)
+    w = e.withColumn("hosts", F.size(F.collect_set("host").over(frame))).where("own").groupBy("net", "t").agg(F.max("hosts").alias("hosts"))
     return w.groupBy("net").agg(F.count("*").alias("refusals"), F.count_if(F.col("hosts") >= 2).alias("limited"))
 
 

@@ -1,10 +1,11 @@
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from retail_lens.functions import geo, place, price, product, stats, text, url
-from retail_lens.operators import extraction
+from retail_lens.operators import customers, extraction, similarity
 
 
 def values(spark, inputs, f):
@@ -54,6 +55,29 @@ def test_exclusive_quartiles(spark, n):
     assert list(row) == expect
 
 
+@pytest.mark.parametrize("miles", [1.0, 15.0, 100.0, 900.0, 7000.0])
+def test_radius_join_finds_every_pair(spark, miles):
+    """Against all pairs, with points at the poles, on both sides of the date line, and without coordinates."""
+    rng = random.Random(int(miles))
+    spots = [(90.0, 0.0), (89.9, 170.0), (-90.0, 5.0), (0.0, 180.0), (0.0, -180.0), (0.1, -179.95), (60.0, 179.99), (60.0, -179.99), (None, 1.0)]
+    spots += [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(26 + rng.uniform(-1, 1), -81 + rng.uniform(-1, 1)) for _ in range(30)]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "a int, lat double, lng double")
+    right = left.select(F.col("a").alias("b"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    far = geo.haversine_miles(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
+    want = sorted((r.a, r.b) for r in left.crossJoin(right).where(far <= miles).collect())
+    assert sorted((r.a, r.b) for r in customers.within_radius(left, right, miles).collect()) == want
+
+
+def test_containment_of_claims_of_any_length(spark):
+    docs = ["The quick  brown Fox jumps over the lazy dog today", "quick brown", "unquick brown foxes jump", None, "", "a b c d e f g h i j k"]
+    claims = ["quick brown", "own", "brown fox jumps", "ck brown fox jum", "b c d e f g h i", "B C D E F G H", "dog", "", "the lazy cat", "k brown foxes ju"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(claims)), "item_id long, text string")
+    plain = lambda t: " ".join(t.lower().split())
+    want = sorted((i, j) for i, t in enumerate(docs) for j, x in enumerate(claims) if t is not None and plain(x) and plain(x) in plain(t))
+    assert sorted((r.doc_id, r.item_id) for r in similarity.contained(d, b).collect()) == want
+
+
 def test_haversine(spark):
     d = spark.range(1).select(geo.haversine_miles(F.lit(26.14), F.lit(-81.79), F.lit(25.76), F.lit(-80.19)), geo.haversine_miles(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0))).first()
     assert round(d[0]) in range(101, 106) and d[1] == 0
