@@ -69,6 +69,11 @@ cases("search_requests", "items string, terms string, place string, country stri
     "count_kept": F.when(c("count") > 0, c("count")), "refused": (F.trim("prompt") == "") | (F.length(F.trim("prompt")) > 300) | ~c("prompt").rlike(r"\p{L}{3}"),
 }, "Search requests, and those refused without asking (C22, PF14).")
 
+cases("run_caps", "stores bigint, new_only boolean", "agent_runs bigint, places bigint, searches bigint, budget double", [
+    (8, False, 2, 10, 5, 0.13), (100, False, 14, 100, 25, 0.88), (100, True, 21, 100, 25, 1.31), (5000, True, 200, 300, 100, 12.5), (1, True, 3, 10, 5, 0.19),
+], lambda: (lambda runs: {"agent_runs": runs, "places": F.least(F.lit(300), F.greatest(F.lit(10), c("stores"))), "searches": F.least(F.lit(100), F.greatest(F.lit(5), F.floor(c("stores") / 4))), "budget": F.round(runs.cast("decimal(10,0)") * F.lit("0.0625").cast("decimal(6,4)"), 2)})(
+    F.least(F.lit(200), F.when(c("new_only"), F.ceil((F.ceil(c("stores") / 8) + 1) * 1.5)).otherwise(F.ceil(c("stores") / 8) + 1))), "Caps of a search for so many stores (M12).")
+
 cases("store_verdicts", "status string, vendors string, existing string, judged string, confidence double", "store_type string, type_source string", [
     ("blocked", "multi_brand", "", "", None, "", ""), ("ok", "multi_brand", "own_brand", "", None, "multi_brand", "vendors"), ("ok", "unknown", "own_brand", "", None, "own_brand", "llm"), ("ok", "unknown", "unknown", "multi_brand", 0.9, "unknown", ""), ("ok", "unknown", "", "multi_brand", 0.6, "multi_brand", "llm"), ("ok", "unknown", "", "multi_brand", 0.59, "unknown", ""), ("ok", "unknown", "", "", None, "unknown", ""),
 ], lambda: {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +62,89 @@ def write_duckdb(df: DataFrame, path: str, table: str) -> None:
         db.execute(f'CREATE OR REPLACE TABLE "{table}" AS SELECT * FROM read_parquet(\'{path}.{table}.parquet/*.parquet\')')
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON array of a table, rows streamed a partition at a time; a file of the driver, for results of one run."""
+    text = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for n, r in enumerate(text.toLocalIterator()):
+            out.write((",\n" if n else "\n") + r["j"])
+        out.write("\n]\n")
+
+
+#: Rows of a sheet besides its header; a longer table goes on in the next sheet.
+SHEET_ROWS = 1_048_575
+_ROW = '<row>{}</row>'
+
+
+def write_xlsx(tables: dict[str, DataFrame], path: str, sheet_rows: int = SHEET_ROWS) -> None:
+    """One workbook with a sheet a table: a bold, frozen header, texts as ``sheet_text`` makes them, numbers as numbers. A file of the driver; rows are streamed."""
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda v, style="": "<c/>" if v is None else f'<c t="b"><v>{int(v)}</v></c>' if isinstance(v, bool) else f"<c><v>{v!r}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"{style}><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    names: list[str] = []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        for table, df in tables.items():
+            rows, part = sheet_text(flat(df)).toLocalIterator(), 0
+            head = "".join(cell(n, ' s="1"') for n in df.columns)
+            row = next(rows, None)
+            while row is not None or part == 0:
+                part += 1
+                names.append(table if part == 1 else f"{table}_{part}")
+                with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
+                    out.write(f'<worksheet xmlns="{ns}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{_ROW.format(head)}'.encode())
+                    for _ in range(sheet_rows):
+                        if row is None:
+                            break
+                        out.write(_ROW.format("".join(map(cell, row))).encode())
+                        row = next(rows, None)
+                    out.write(b"</sheetData></worksheet>")
+        ids = range(1, len(names) + 1)
+        sheets = "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}" r:id="r{i}"/>' for i, n in zip(ids, names, strict=True))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in ids)
+        pack = "http://schemas.openxmlformats.org/package/2006"
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pack}/relationships">{links}<Relationship Id="s" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{pack}/relationships"><Relationship Id="w" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in ids)
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
+
+
+#: Segments in the order in which an analysis lists them.
+SEGMENTS = ("retail_partner", "existing_customer", "competitor", "check", "not_a_fit", "not_read", "unknown")
+
+
+def write_summary(inputs: DataFrame, summary: DataFrame, path: str, key: str = "input_id") -> None:
+    """One row an input, in the order of ``key``: the input's own columns first, then those of the summary; inputs without one stay."""
+    extra = [x for x in summary.columns if x not in inputs.columns]
+    both = inputs.join(summary.select(key, *extra), key, "left").select(*inputs.columns, *extra).orderBy(key)
+    flat(both).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
+
+
+def write_analysis(stores: DataFrame, path: str) -> None:
+    """Stores by segment, then the highest score, then domain."""
+    order = F.array_position(F.array(*(F.lit(x) for x in SEGMENTS)), F.col("segment"))
+    flat(stores.orderBy(order, F.desc("score"), "domain")).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
+
+
+def write_manifest(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Rows of each table of a run, as JSON beside a Markdown table; returns them. Only counts come to the driver."""
+    counts = {name: df.count() for name, df in tables.items()}
+    with open(f"{path}.json", "w", encoding="utf-8") as out:
+        json.dump(counts, out, indent=1)
+    with open(f"{path}.md", "w", encoding="utf-8") as out:
+        out.write("| Table | Rows |\n|---|---|\n" + "".join(f"| {n} | {k:,} |\n" for n, k in counts.items()))
+    return counts
+
+
+def map_records(df: DataFrame, by: str) -> DataFrame:
+    """One JSON record a value of ``by``, with its rows nested: what a map of stores reads."""
+    rest = [x for x in df.columns if x != by]
+    return df.groupBy(by).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rest)))).alias("rows"), F.count("*").alias("n"))
+
+
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
+    "json": write_json,
     "jsonl": lambda df, path: df.write.mode("overwrite").json(path, ignoreNullFields=False),
     "csv": lambda df, path: flat(df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue=""),
     "tsv": lambda df, path: flat(df).write.mode("overwrite").csv(path, header=True, sep="\t", escape='"', emptyValue="", nullValue=""),

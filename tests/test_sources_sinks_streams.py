@@ -88,3 +88,45 @@ def test_stream_refusals_and_latest(spark, landing, tmp_path):
     last = spark.read.parquet(str(tmp_path / "last" / "2"))
     assert last.count() == events.select("user_id").distinct().count()
     assert last.agg(F.sum("event_id")).first() == events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).agg(F.sum("m.event_id")).first()
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "=1+1", 0.5, True, ["a"]), (2, "ü <x> & \x07y", None, False, []), (3, None, 2.0, None, None)], "n long, t string, d double, b boolean, l array<string>").coalesce(1)
+    writers.write_xlsx({"stores": df, "empty": df.limit(0)}, f"{tmp_path}/w.xlsx", sheet_rows=2)
+    got = readers.read_file(spark, f"{tmp_path}/w.xlsx")
+    assert got.columns == ["n", "t", "d", "b", "l"]
+    assert [tuple(r) for r in got.collect()] == [("1", "'=1+1", "0.5", "1", '["a"]'), ("2", "ü <x> & y", None, "0", "[]")], "the third row is on the next sheet"
+    writers.write_json(df, f"{tmp_path}/t.json")
+    assert [r["n"] for r in spark.read.json(f"{tmp_path}/t.json", multiLine=True).orderBy("n").collect()] == [1, 2, 3]
+    assert writers.write_manifest({"t": df}, f"{tmp_path}/m") == {"t": 3}
+    assert readers.largest_run(spark, str(tmp_path), named="x") == "x"
+    assert {r["b"]: r["n"] for r in writers.map_records(df.select(F.coalesce("b", F.lit(False)).alias("b"), "n"), "b").collect()} == {True: 1, False: 2}
+
+
+def test_operator_files(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"stores":[{"Store Name":"Tango","URL":"https://www.tango.com/x","Phone":"+1 (239) 555-0101","Prov/State":"florida","Zip":"34102","Latitude":"26.14°","lon":-81.79},{"name":"Insta","website":"instagram.com/x","Prov/State":"?"}]}')
+    got = [tuple(r) for r in readers.read_stockists(spark, f"{tmp_path}/s.json").collect()]
+    assert got == [("Tango", "tango.com", "2395550101", "", "FL", "34102", "", 26.14, -81.79), ("Insta", "", "", "", "", "", "", None, None)]
+    (tmp_path / "p.csv").write_text("Category,Wholesale USD,Retail\nSweater,$45.00,98\n,1,2\nHat,,x\n")
+    assert [tuple(r) for r in readers.read_price_points(spark, f"{tmp_path}/p.csv").collect()] == [("sweater", 45.0, 98.0), ("hat", None, None)]
+    (tmp_path / "locators").mkdir()
+    for brand in ("ann", "lee"):
+        (tmp_path / "locators" / f"{brand}.json").write_text('[{"name":"S","city":"C","latitude":1.5}]')
+    assert sorted((r["brand"], r["name"], r["latitude"]) for r in readers.read_locators(spark, f"{tmp_path}/locators").collect()) == [("ann", "S", 1.5), ("lee", "S", 1.5)]
+    df, where = readers.optional(spark, readers.read_price_points, "category string, wholesale double, retail double", f"{tmp_path}/none.csv", f"{tmp_path}/p.csv")
+    assert where.endswith("p.csv") and df.count() == 2
+    assert readers.optional(spark, readers.read_price_points, "category string", f"{tmp_path}/none.csv")[0].count() == 0
+    cells = spark.createDataFrame([("see https://a.com/x, ok",), ("a.com",), ("no link here",)], "c string")
+    assert [r[0] for r in cells.select(readers.link_in_cell(cells["c"])).collect()] == ["https://a.com/x", "a.com", "no link here"]
+    (tmp_path / "t.txt").write_text(" ".join(f"https://a{i}.com" for i in range(1500)) + "\nhttps://b.com\n")
+    ids = [r["input_id"] for r in readers.read_text(spark, f"{tmp_path}/t.txt").collect()]
+    assert len(set(ids)) == 1501 and ids == sorted(ids)
+    for run, size in (("2026-01-01", 5), ("2026-02-01", 50), ("2026-03-01", 5)):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "products.jsonl").write_text("x" * size)
+    assert readers.largest_run(spark, f"{tmp_path}/runs") == "2026-02-01"
+    inputs, summary = spark.createDataFrame([(2, "b"), (1, "a")], "input_id long, url string"), spark.createDataFrame([(1, "ok")], "input_id long, status string")
+    writers.write_summary(inputs, summary, f"{tmp_path}/summary")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/summary", header=True).collect()] == [("1", "a", "ok"), ("2", "b", None)]
