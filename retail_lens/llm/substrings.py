@@ -1,7 +1,14 @@
-"""Substring deduplication: of passages of at least 20 words that recur in a corpus, only the first occurrence stays."""
+"""Substring deduplication: of passages of at least 20 words that recur in a corpus, only the first occurrence stays.
+
+Passages are matched by suffix automata. The reference of a corpus against itself is what is in it for the first time and comes
+again; it is cut in shards of a bounded size, an automaton is made of each, and the passages of later documents are streamed
+through the automaton of their shard for matching statistics. Hashes of windows only tell which passages are sent where.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +20,12 @@ from .words import Words, chunks, grams, within
 
 #: Words of a window, and of the n-grams whose least hash in a window is its anchor.
 WINDOW, ANCHOR = 20, 8
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc_id", "copy", "start", "stop")])
+#: Windows of a reference document that go to one shard together; windows of a shard, about; and windows that one copy of its automaton streams, about.
+PIECE, SHARD, STREAM = 2_000, 20_000, 100_000
+#: Characters of streamed passages whose matches a task remembers, for their copies.
+REMEMBERED = 16 << 20
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc_id", "copy", "start", "stop", "ref_doc", "ref_copy", "ref_start")])
+PASSAGE = T.StructType([T.StructField("shard", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType())])
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
@@ -101,31 +113,184 @@ def _windows(batch: pa.RecordBatch, window: int, anchor: int) -> pa.Table:
     h1, h2, doc, copy, start = (x[order] for x in (h1, h2, doc, copy, start))
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    late = doc > doc[new][np.cumsum(new) - 1]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]  # each window's first occurrence in the batch
+    late = doc > doc[lead]
     first = ~late
     first[1:] &= new[1:] | (copy[1:] != copy[:-1])
-    d, c, s = doc[late], copy[late], start[late]
+    d, c, s, rd, rc, rs = (x[late] for x in (doc, copy, start, doc[lead], copy[lead], start[lead]))
     order = np.lexsort((s, c, d))
-    d, c, s = d[order], c[order], s[order]
+    d, c, s, rd, rc, rs = (x[order] for x in (d, c, s, rd, rc, rs))
     head = np.ones(len(d), bool)
-    head[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)
+    head[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1) | (rd[1:] != rd[:-1]) | (rc[1:] != rc[:-1]) | (rs[1:] != rs[:-1] + 1)
     begin = np.flatnonzero(head)
-    runs = (d[begin], c[begin], s[begin], s[np.append(begin[1:], len(d)) - 1] + 1 if len(d) else s)
-    salt = grams(runs[0].astype(np.uint64) * np.uint64(31) + runs[2].astype(np.uint64), 1)
-    columns = {"h1": np.concatenate((h1[first], salt)).view(np.int64), "h2": np.concatenate((h2[first], salt)).view(np.int64), "doc_id": np.concatenate((doc[first], runs[0])), "copy": np.concatenate((copy[first], runs[1])), "start": np.concatenate((start[first], runs[2]))}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"stop": pa.array(np.concatenate((np.zeros(int(first.sum()), np.int64), runs[3])), pa.int64())})
+    stop = s[np.append(begin[1:], len(d)) - 1] + 1 if len(d) else s
+    salt = grams(d[begin].astype(np.uint64) * np.uint64(31) + s[begin].astype(np.uint64), 1)
+    none = np.zeros(int(first.sum()), np.int64)
+    columns = {
+        "h1": (h1[first], salt), "h2": (h2[first], salt), "doc_id": (doc[first], d[begin]), "copy": (copy[first], c[begin]), "start": (start[first], s[begin]),
+        "stop": (none, stop), "ref_doc": (none, rd[begin]), "ref_copy": (none, rc[begin]), "ref_start": (none, rs[begin]),
+    }
+    return pa.table({k: pa.array(np.concatenate(v).view(np.int64), pa.int64()) for k, v in columns.items()})
+
+
+class Automaton:
+    """The suffix automaton of passages of word codes. A state stands for words that end at the same places; it knows the first document that they stand in."""
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.doc = [-1], [0], [0]
+
+    def _state(self, following: dict[int, int], link: int, length: int, doc: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.length.append(length)
+        self.doc.append(doc)
+        return len(self.link) - 1
+
+    def _split(self, p: int, q: int, code: int) -> int:
+        """The state of q's words that are at most one longer than p's: q itself, or a copy that the links and transitions now go to."""
+        if self.length[q] == self.length[p] + 1:
+            return q
+        copy = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.doc[q])
+        self.link[q] = copy
+        while p >= 0 and self.next[p].get(code) == q:
+            self.next[p][code] = copy
+            p = self.link[p]
+        return copy
+
+    def add(self, codes: list[int], doc: int) -> None:
+        """Adds a passage. Passages come in the order of their documents."""
+        nexts, link, last = self.next, self.link, 0
+        for code in codes:
+            known = nexts[last].get(code)
+            if known is not None:
+                last = self._split(last, known, code)
+                continue
+            p, new = last, self._state({}, 0, self.length[last] + 1, doc)
+            while p >= 0 and code not in nexts[p]:
+                nexts[p][code] = new
+                p = link[p]
+            if p >= 0:
+                link[new] = self._split(p, nexts[p][code], code)
+            last = new
+
+    def first_docs(self, codes: list[int], window: int) -> list[tuple[int, int]]:
+        """(start of a window, first document with it) of all windows of a passage that the automaton has, by its matching statistics."""
+        nexts, link, length, doc = self.next, self.link, self.length, self.doc
+        state = matched = 0
+        out = []
+        for i, code in enumerate(codes):
+            while code not in nexts[state]:
+                if not state:
+                    break
+                state = link[state]
+                matched = length[state]
+            else:
+                state = nexts[state][code]
+                matched += 1
+                if matched >= window:
+                    while length[link[state]] >= window:  # shorter words of these end in the same places, and more
+                        state = link[state]
+                    matched = min(matched, length[state])
+                    out.append((i - window + 1, doc[state]))
+        return out
+
+
+def _passages(batch: pa.RecordBatch, window: int) -> pa.Table | None:
+    """The words of the windows that ``needed`` lists of each document, those next to each other as one passage; a reference passage for each copy of its automaton."""
+    ids, copies, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy", "needed"))
+    out: list[list] = [[] for _ in PASSAGE.names]
+    for at, part in chunks(batch.column(batch.schema.get_field_index("text"))):
+        w = Words(part)
+        for r in range(len(part)):
+            x = lists[at + r].values
+            kind, start, stop, shard, salt = (x.field(f).to_numpy() for f in ("kind", "start", "stop", "shard", "salt"))
+            order = np.lexsort((stop, start, salt, shard, kind))
+            kind, start, stop, shard, salt = (v[order] for v in (kind, start, stop, shard, salt))
+            i = 0
+            while i < len(order):
+                j, end = i + 1, int(stop[i])
+                while j < len(order) and (kind[j], shard[j], salt[j]) == (kind[i], shard[i], salt[i]) and start[j] <= end:
+                    end = max(end, int(stop[j]))
+                    j += 1
+                base = int(w.first[r])
+                text = b" ".join(w.words(base + int(start[i]), min(base + end + window - 1, int(w.first[r + 1]))))
+                for k in range(int(salt[i])) if kind[i] == 0 else (int(salt[i]),):
+                    for column, v in zip(out, (int(shard[i]), k, int(kind[i]), ids[at + r].as_py(), copies[at + r].as_py(), int(start[i]), text), strict=True):
+                        column.append(v)
+                i = j
+    return pa.table([pa.array(v, pa.binary() if n == "text" else pa.int64()) for n, v in zip(PASSAGE.names, out, strict=True)], names=PASSAGE.names)
+
+
+def _matched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, copy, start, stop): runs of windows of streamed passages whose words also start in a smaller doc_id. Each shard's reference comes before what it is for."""
+    at, automaton, codes, seen, room = None, Automaton(), {}, {}, REMEMBERED
+    for batch in batches:
+        found: list[list[int]] = [[], [], [], []]
+        for shard, salt, kind, doc, copy, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (shard, salt) != at:
+                at, automaton, codes, seen, room = (shard, salt), Automaton(), {}, {}, REMEMBERED
+            if kind == 0:
+                automaton.add([codes.setdefault(x, len(codes)) for x in text.split(" ")], doc)
+                continue
+            known = seen.get(text)
+            if known is None:
+                known = automaton.first_docs([codes.get(x, -1) for x in text.split(" ")], window)
+                if room >= len(text):
+                    seen[text] = known
+                    room -= len(text)
+            run = None
+            for i, first in known:
+                if first < doc:
+                    if run is not None and found[3][run] == start + i:
+                        found[3][run] += 1
+                    else:
+                        run = len(found[0])
+                        for column, v in zip(found, (doc, copy, start + i, start + i + 1), strict=True):
+                            column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["doc_id", "copy", "start", "stop"])
+
+
+def _routes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc_id, copy, start, stop, ref_doc, ref_copy, ref_start, block): runs of windows that may stand in an earlier document too, and where; cut at the ends of its blocks of PIECE windows."""
+    seen = _recurring(docs, window, anchor)
+    found = common.map_batches(docs.join(seen, ["doc_id", "copy"]), lambda b: _windows(b, window, anchor), FOUND)
+    least = F.min(F.struct("doc_id", "copy", "start")).over(Window.partitionBy("h1", "h2"))
+    late = found.withColumn("least", least).where("doc_id > least.doc_id or stop > 0")
+    ref = lambda c, own: F.when(F.col("stop") > 0, F.col(c)).otherwise(F.col(f"least.{own}")).alias(c)
+    late = late.select("doc_id", "copy", "start", F.greatest("stop", F.col("start") + 1).alias("stop"), ref("ref_doc", "doc_id"), ref("ref_copy", "copy"), ref("ref_start", "start"))
+    last = F.col("ref_start") + F.col("stop") - F.col("start") - 1
+    cut = late.withColumn("block", F.explode(F.sequence(F.expr(f"ref_start div {PIECE}"), F.floor(last / PIECE))))
+    begin = F.greatest(F.col("ref_start"), F.col("block") * PIECE)
+    end = F.least(F.col("ref_start") + F.col("stop") - F.col("start"), (F.col("block") + 1) * PIECE)
+    shift = F.col("start") - F.col("ref_start")
+    out = common.materialize(cut.select("doc_id", "copy", (begin + shift).alias("start"), (end + shift).alias("stop"), "ref_doc", "ref_copy", begin.alias("ref_start"), "block"), "routes")
+    common.drop(seen)
+    common.release(docs.sparkSession)
+    return out
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, copy, runs): runs (start, stop) of starts of windows whose words also start in a smaller doc_id. ``docs`` are ``_numbered``.
 
-    Repeats inside one document are not looked for; ``remove_repeats`` finds those by itself.
+    A shard's automaton is made where its passages are streamed, once for each STREAM windows, so a passage that very many documents
+    share is many tasks'. Repeats inside one document are not looked for; ``remove_repeats`` finds those by itself.
     """
-    seen = _recurring(docs, window, anchor)
-    found = common.map_batches(docs.join(seen, ["doc_id", "copy"]), lambda b: _windows(b, window, anchor), FOUND)
-    late = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("doc_id > least or stop > 0")
-    runs = late.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("runs"))
+    routes = _routes(docs, window, anchor)
+    refs = routes.groupBy("ref_doc", "ref_copy", "block", "ref_start").agg(F.max(F.col("stop") - F.col("start")).alias("n"))
+    shards = 1 + (routes.agg(F.approx_count_distinct(F.xxhash64("ref_doc", "ref_copy", "ref_start"))).first()[0] or 0) // SHARD
+    shard = F.pmod(F.xxhash64("ref_doc", "ref_copy", "block"), F.lit(shards))
+    sizes = common.materialize(routes.groupBy(shard.alias("shard")).agg((1 + F.floor(F.sum(F.col("stop") - F.col("start")) / STREAM)).alias("copies")), "shards")
+    need = lambda df, kind, doc, copy, start, stop, salt: df.withColumn("shard", shard).join(sizes, "shard").select(F.col(doc).alias("doc_id"), F.col(copy).alias("copy"), F.struct(F.lit(kind).cast("long").alias("kind"), start.alias("start"), stop.alias("stop"), "shard", salt.cast("long").alias("salt")).alias("need"))
+    reference = need(refs, 0, "ref_doc", "ref_copy", F.col("ref_start"), F.col("ref_start") + F.col("n"), F.col("copies"))
+    stream = need(routes, 1, "doc_id", "copy", F.col("start"), F.col("stop"), F.pmod(F.xxhash64("doc_id", "copy"), F.col("copies")))
+    needed = reference.union(stream).groupBy("doc_id", "copy").agg(F.collect_list("need").alias("needed"))
+    passages = common.map_batches(docs.join(needed, ["doc_id", "copy"]), lambda b: _passages(b, window), PASSAGE)
+    dealt = passages.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "copy", "start")
+    matched = dealt.mapInArrow(lambda batches: _matched(batches, window), "doc_id long, copy long, start long, stop long")
+    runs = matched.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     out = common.materialize(runs, "repeats")
+    common.drop(routes)
     common.release(docs.sparkSession)
     return out
 
@@ -138,8 +303,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     depend on what else is. Null, empty and shorter texts lose nothing. Rows that repeat a doc_id take
     nothing from each other, equal or not: of a window in both, one stays in each. A row without a doc_id loses its own repeats alone.
 
-    Windows that may recur are found by an anchor that equal windows share; only those with an anchor of several documents are
-    hashed (128 bits), reduced to the first of each batch, and compared. No passage is dropped for being frequent.
+    Windows that may recur are found by an anchor that equal windows share and by hashes (two of 64 bits, independent of each
+    other), which send passages to the automaton of their first occurrence; there words are compared, so no hash takes a word away.
+    Repeats inside one document are told by both hashes alone. No passage is dropped for being frequent.
     """
     docs = _numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     runs = repeated_windows(docs, window, anchor)

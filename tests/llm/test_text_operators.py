@@ -78,6 +78,29 @@ def test_remove_repeats(spark, rows, docs):
     assert substrings.remove_repeats(helpers.frame(spark, [])).count() == 0
 
 
+def test_automaton_knows_all_passages_and_their_first_documents():
+    rng = random.Random(8)
+    for letters, window in ((2, 3), (3, 2), (5, 4)):
+        passages = [(doc, [rng.randrange(letters) for _ in range(rng.randint(1, 40))]) for doc in range(12) for _ in range(2)]
+        a = substrings.Automaton()
+        for doc, codes in passages:
+            a.add(codes, doc)
+        for _ in range(30):
+            probe = [rng.randrange(-1, letters) for _ in range(rng.randint(0, 30))]
+            first = lambda g: min((d for d, c in passages if any(c[j : j + len(g)] == g for j in range(len(c)))), default=None)
+            want = [(i, d) for i in range(len(probe) - window + 1) if (d := first(probe[i : i + window])) is not None]
+            assert a.first_docs(probe, window) == want
+
+
+def test_remove_repeats_with_small_shards(spark, rows, docs, monkeypatch):
+    """Blocks, shards and copies of automata that split passages everywhere give the same."""
+    monkeypatch.setattr(substrings, "PIECE", 7)
+    monkeypatch.setattr(substrings, "SHARD", 5)
+    monkeypatch.setattr(substrings, "STREAM", 10)
+    monkeypatch.setattr(substrings, "REMEMBERED", 300)
+    assert by_id(substrings.remove_repeats(docs), "n_words", "n_removed", "kept") == helpers.kept_words(rows)
+
+
 @pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 30])
 def test_decontamination(spark, rows, docs, block_words):
     items = [(9, " ".join(rows[4][1].split()[:45])), (10, " ".join(rows[4][1].split()[:30])), (1, rows[2][1]), (2, " ".join((rows[3][1] or "").split()[:6])), (3, None), (4, ""), (5, "One, two"), (6, "never seen in any of the texts")]
