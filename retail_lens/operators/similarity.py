@@ -81,9 +81,9 @@ def contained(docs: DataFrame, claims: DataFrame) -> DataFrame:
     keyed = keyed.select("item_id", "claim", "n", F.xxhash64(F.slice("w", F.lit(2), F.col("n"))).alias("key"))
     sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most six
     d = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    keys = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("key"))))
+    keys = lambda n: F.when(F.size("w") >= n, F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))), lambda h: F.struct(F.lit(n).alias("n"), h.alias("key"))))
     none = F.array().cast("array<struct<n:int,key:bigint>>")
-    met = d.select("doc_id", F.explode(F.array_distinct(F.concat(none, *(F.coalesce(keys(n), none) for n in sizes)))).alias("k")).select("doc_id", "k.n", "k.key")
+    met = d.select("doc_id", F.explode(F.concat(none, *(F.coalesce(keys(n), none) for n in sizes))).alias("k")).select("doc_id", "k.n", "k.key")
     near = met.join(keyed, ["n", "key"]).select("doc_id", "item_id", "claim").distinct()
     texts = d.select("doc_id", F.array_join("w", " ").alias("t"))
     out = near.join(texts, "doc_id").where(F.col("t").contains(F.col("claim"))).select("doc_id", "item_id")
