@@ -119,16 +119,19 @@ def _sets(docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     return common.materialize(common.map_batches(docs.select("doc_id", "text"), run, SETS), "sets")
 
 
-def _meetings(sets: DataFrame, per_cent: int) -> DataFrame:
-    """(token, doc_id, n): prefix shingles that several documents have, of documents that share enough of them to be similar to any."""
+def _meetings(sets: DataFrame, gone: DataFrame, per_cent: int) -> DataFrame:
+    """(token, doc_id, n): prefix shingles that several documents have, of documents that share enough of them to be similar to any.
+
+    The documents ``gone`` are left out where a document is one row of two numbers: before, their prefixes would be shuffled.
+    """
     rows = sets.select("doc_id", "n", F.explode("prefix").alias("token"))
     again = common.materialize(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "tokens")
     met = common.materialize(rows.join(again, "token"), "met")
     common.drop(again)
     common.release(sets.sparkSession)
     smallest = F.ceil(F.col("n") * per_cent / 100)
-    enough = met.groupBy("doc_id").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= 1 + F.floor(smallest / SHARE))
-    kept = common.materialize(enough.select("doc_id"), "enough")
+    enough = met.groupBy("doc_id").agg(F.count("*").alias("met"), F.min("n").alias("n")).where(F.col("met") >= 1 + F.floor(smallest / SHARE))
+    kept = common.materialize(enough.select("doc_id").join(gone, "doc_id", "left_anti"), "enough")
     few = common.materialize(met.join(kept, "doc_id", "left_semi"), "met")
     common.drop(met)
     return few
@@ -260,16 +263,16 @@ def jaccard_classes(docs: DataFrame, width: int = 5, per_cent: int = 80, key: st
     wordy = sets.where("n > 0 and doc_id is not null")
     classes = wordy.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("signature", "first")
     copies = common.materialize(wordy.select("doc_id", "signature").join(common.materialize(classes, "classes"), "signature").where("doc_id <> first").select("doc_id", "signature", "first"), "copies")
-    firsts = wordy.join(copies, ["doc_id", "signature"], "left_anti")
     copies = copies.select("doc_id", "first").distinct()
-    met = _meetings(firsts, per_cent)
+    several = common.materialize(wordy.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
+    gone = copies.select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    met = _meetings(wordy, gone, per_cent)
     ends = common.materialize(met.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "ends")
     star = met.join(ends, "token").select("doc_id", F.explode(F.array("low", "high")).alias("end")).where("doc_id <> end")
     near = _pairs_bounded(star.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct(), sets, per_cent)
     # near copies are a share of the corpus, so finding their texts is a shuffle at every size
     links = _verified(common.materialize(near.distinct(), "near"), docs, width, per_cent, hint="merge")
     # a doc_id with several texts joins the groups of copies that they are in
-    several = common.materialize(wordy.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
     if not several.isEmpty():
         ties = copies.join(several, "doc_id", "left_semi").union(copies.join(several.withColumnRenamed("doc_id", "first"), "first", "left_semi").select("doc_id", "first"))
         links = links.union(ties.select("doc_id", "first"))

@@ -1,6 +1,6 @@
 """Operators do the whole job in cases that small tables don't have."""
 
-from retail_lens.llm import common, substrings, warc
+from retail_lens.llm import common, jaccard, substrings, warc
 from tests.llm import helpers
 
 
@@ -49,3 +49,12 @@ def test_warc_is_read_whole_though_splits_change_meanwhile(spark):
             assert sorted((int(r.record_id), bytes(r.payload).decode()) for r in back.collect()) == [(p[0], p[2]) for p in pages]
     finally:
         spark.conf.unset(splits)
+
+
+def test_a_short_and_a_long_text_of_one_doc_id_both_keep_their_links(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, words("a", 40)), (1, words("b", 3000)), (2, words("a", 41)), (3, words("b", 3000) + " end"), (4, words("c", 30)), (5, words("c", 30)), (5, words("d", 50)), (6, words("d", 51)), (7, words("e", 30))]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_classes(frame).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 4), (7, 7)]
