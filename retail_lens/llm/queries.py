@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, jaccard, language, licenses, packing, pii, substrings, urls, warc
+from . import audit, decontamination, fim, fingerprint, jaccard, language, licenses, packing, pii, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_fim": fim.op11_fim,
+        "op13_audit": audit.op13_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op6_substrings": substrings.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_decontamination": decontamination.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op6_substrings": substrings.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_decontamination": decontamination.ORACLE, "op11_fim": fim.ORACLE, "op13_audit": audit.ORACLE}
