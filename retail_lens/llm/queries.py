@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontamination, fim, fingerprint, jaccard, language, licenses, packing, pii, substrings, urls, warc
+from . import audit, decontamination, fim, fingerprint, jaccard, language, licenses, packing, pii, sharding, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_fim": fim.op11_fim,
+        "op12_sharding": sharding.op12_sharding,
         "op13_audit": audit.op13_audit,
     }
 
