@@ -87,17 +87,27 @@ m AS (SELECT s.domain AS domain, 1 AS tier, seq FROM s JOIN c ON s.domain = c.do
 r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY tier, seq) AS k FROM m)"""
 
 
-@query(f"WITH {_MATCH_SQL} SELECT domain, tier, seq FROM r WHERE k = 1")
-def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer that a store is: by domain, else by phone, else by name in one state; the first in list order. Each tier is a hash join."""
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each store (s_suppkey, domain) the best match (m: tier, seq); each tier is a hash join."""
     text = lambda c: c.cast("string")
     key, seq = F.col("s_suppkey"), F.col("c_custkey")
     shop = lambda k: F.concat(F.lit("shop"), text(k), F.lit(".example.com"))
-    s = table(spark, sf_dir, "supplier").select(shop(key).alias("domain"), F.lpad(text(key * 7 % 1000), 10, "0").alias("phone"), F.concat(F.lit("shop"), text(key % 50)).alias("core"), F.col("s_nationkey").alias("state"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", shop(key).alias("domain"), F.lpad(text(key * 7 % 1000), 10, "0").alias("phone"), F.concat(F.lit("shop"), text(key % 50)).alias("core"), F.col("s_nationkey").alias("state"))
     c = table(spark, sf_dir, "customer").select(seq.alias("seq"), F.when(seq % 11 == 0, shop(F.floor(seq / 11))).alias("domain"), F.when(seq % 3 == 0, F.lpad(text(seq), 10, "0")).alias("phone"), F.concat(F.lit("shop"), text(seq % 60)).alias("core"), F.col("c_nationkey").alias("state"))
-    tiers = [s.join(c.select("seq", *on), on).groupBy("domain").agg(F.min("seq").alias("seq")).select("domain", F.lit(tier).alias("tier"), "seq") for tier, on in enumerate((["domain"], ["phone"], ["core", "state"]), 1)]
-    best = tiers[0].unionAll(tiers[1]).unionAll(tiers[2]).groupBy("domain").agg(F.min(F.struct("tier", "seq")).alias("m"))
-    return best.select("domain", "m.tier", "m.seq")
+    own = ["s_suppkey", s["domain"]]
+    tiers = [s.join(c.select("seq", *on), on).groupBy(*own).agg(F.min("seq").alias("seq")).select("s_suppkey", "domain", F.lit(tier).alias("tier"), "seq") for tier, on in enumerate((["domain"], ["phone"], ["core", "state"]), 1)]
+    return tiers[0].unionAll(tiers[1]).unionAll(tiers[2]).groupBy("s_suppkey", "domain").agg(F.min(F.struct("tier", "seq")).alias("m"))
+
+
+def matched_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, seq): the customer that a store is."""
+    return _tiers(spark, sf_dir).select("s_suppkey", "m.seq")
+
+
+@query(f"WITH {_MATCH_SQL} SELECT domain, tier, seq FROM r WHERE k = 1")
+def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer that a store is: by domain, else by phone, else by name in one state; the first in list order. Each tier is a hash join."""
+    return _tiers(spark, sf_dir).select("domain", "m.tier", "m.seq")
 
 
 @query(f"WITH {STORES_SQL} SELECT domain, state FROM stores WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
