@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import BASKETS_SQL, LISTINGS_SQL, RULES, STORES_SQL, baskets, listings, stores
-from ..functions.stats import percentile_rank
+from ..catalog import BASKETS_SQL, LISTINGS_SQL, RULES, STORES_SQL, baskets, listings, stores, table
+from ..ranks import percentile_ranks, quantile, ranked
 from ..registry import query
+from ..scratch import saved
+from .similarity import tfidf
+
+# Stores and products from which a brand can be judged.
+ENOUGH_STORES, ENOUGH_PRODUCTS = 8, 30
 
 _PAIRS_SQL = f"""{BASKETS_SQL},
 sizes AS (SELECT brand_key, count(*) AS n FROM baskets GROUP BY brand_key),
@@ -75,11 +80,49 @@ def brand_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pair_counts(baskets(spark, sf_dir)).where((F.col("a") == home) | (F.col("b") == home))
     near = p.select(F.when(F.col("a") == home, F.col("b")).otherwise(F.col("a")).alias("brand_key"), (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
     j = brand_facts(spark, sf_dir).join(near, "brand_key").withColumn("knit_share", F.col("knit_products") / F.col("products"))
-    whole = Window.partitionBy()  # one row a brand, after the aggregation
-    ranks = [percentile_rank(F.col(c), Window.orderBy(c), Window.partitionBy(c), whole) for c in ("jaccard", "products", "knit_share")]
-    ranked = j.select("brand_key", "stores", "products", "jaccard", *(r.alias(f"r{i}") for i, r in enumerate(ranks)))
-    total = F.col("r0") + F.col("r1") + F.col("r2")
-    return ranked.orderBy(total.desc(), "brand_key").limit(20).select("brand_key", "stores", "products", F.round("jaccard", 6).alias("jaccard"), F.round(total / 3, 6).alias("score"))
+    names = ["jaccard", "products", "knit_share"]
+    ranks = percentile_ranks(j.select("brand_key", *(F.col(c).cast("double").alias(c) for c in names)), "brand_key", names)
+    total = sum((F.col(f"rank_{c}") for c in names), F.lit(0.0))
+    ranked = j.join(ranks, "brand_key").orderBy(total.desc(), "brand_key").limit(20)
+    return ranked.select("brand_key", "stores", "products", F.round("jaccard", 6).alias("jaccard"), F.round(total / 3, 6).alias("score"))
+
+
+_SCORE_SQL = f"""{LISTINGS_SQL}, {STORES_SQL},
+l AS (SELECT l.*, regexp_replace(lower(vendor), '[^a-z0-9]+', '', 'g') AS brand_key, store_type = 'multi_brand' AND status = 'ok' AS customer FROM listings l JOIN stores s ON s.domain = l.domain),
+f AS (SELECT brand_key, count(DISTINCT domain) AS stores, count(*) AS products, count(*) FILTER (WHERE knit_kind <> '') / count(*) AS knit_share, count(DISTINCT domain) FILTER (WHERE customer) / count(DISTINCT domain) AS customer_share, median(price) FILTER (WHERE knit_kind <> '') AS price FROM l GROUP BY brand_key),
+d AS (SELECT p_brand, string_agg(p_name || ' ' || lower(p_type), ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand),
+w AS (SELECT p_brand, regexp_extract_all(lower(text), '\\b\\w\\w+\\b') AS w FROM d),
+t AS (SELECT p_brand, unnest(w) AS term FROM w UNION ALL SELECT p_brand, w[i] || ' ' || w[i + 1] FROM (SELECT p_brand, w, unnest(range(1, len(w))) AS i FROM w)),
+tf AS (SELECT p_brand, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT p_brand, tf.term AS term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN df ON df.term = tf.term),
+m AS (SELECT p_brand, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), v AS (SELECT x.p_brand AS p_brand, term, w / norm AS w FROM x JOIN m ON m.p_brand = x.p_brand),
+c AS (SELECT regexp_replace(lower(a.p_brand), '[^a-z0-9]+', '', 'g') AS brand_key, round(sum(a.w * b.w), 3) AS text_similarity FROM v a JOIN v b ON b.term = a.term AND b.p_brand = 'Brand#7' WHERE a.p_brand <> 'Brand#7' GROUP BY 1),
+j AS (SELECT f.brand_key AS brand_key, stores, products, round(knit_share, 3) AS knit_share, round(customer_share, 3) AS customer_share, round(price / (SELECT price FROM f WHERE brand_key = 'brand7'), 2) AS price_position, text_similarity FROM f LEFT JOIN c ON c.brand_key = f.brand_key WHERE f.brand_key <> 'brand7' AND stores >= 8 AND products >= 30),
+k AS (SELECT *, -abs(ln(CASE WHEN price_position > 0 THEN price_position END)) AS closeness FROM j),
+r AS (SELECT *, {', '.join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {c} NULLS LAST) + (count({c}) OVER (PARTITION BY {c}) - 1) / 2) / count({c}) OVER () END AS r{i}" for i, c in enumerate(('knit_share', 'stores', 'customer_share', 'closeness', 'text_similarity')))} FROM k)"""
+
+
+@query(f"WITH {_SCORE_SQL} SELECT brand_key, stores, knit_share, customer_share, price_position, text_similarity, round(list_avg(list_filter([r0, r1, r2, r3, r4], lambda x: x IS NOT NULL)), 3) AS rank_score FROM r")
+def brand_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands with enough data by the mean of five percentile ranks: share of knitwear, stores, share of customers among them, closeness of price and of text to the home brand. What is unknown does not count."""
+    kept = stores(spark, sf_dir).select("domain", ((F.col("store_type") == "multi_brand") & (F.col("status") == "ok")).alias("customer"))
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "").alias("brand_key")
+    l = listings(spark, sf_dir).join(kept, "domain").withColumn("brand_key", key("vendor"))  # noqa: E741
+    per = l.groupBy("brand_key", "domain", "customer").agg(F.count("*").alias("n"), F.count_if(F.col("knit_kind") != "").alias("knit"))
+    f = per.groupBy("brand_key").agg(F.count("*").alias("stores"), F.sum("n").alias("products"), (F.sum("knit") / F.sum("n")).alias("knit_share"), F.avg(F.col("customer").cast("int")).alias("customer_share"))
+    price = ranked(l.where("knit_kind <> ''"), ["brand_key"], "price").groupBy("brand_key").agg(quantile("price", 0.5).alias("price"))
+    home = price.where(F.col("brand_key") == RULES.home_brand).select(F.col("price").alias("home"))
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    v = tfidf(part, "p_brand", "p_partkey", "text").withColumn("brand_key", key("p_brand"))
+    near = v.join(v.where(F.col("brand_key") == RULES.home_brand).select("term", F.col("weight").alias("w")), "term").groupBy("brand_key").agg(F.round(F.sum(F.col("weight") * F.col("w")), 3).alias("text_similarity"))
+    j = f.where((F.col("brand_key") != RULES.home_brand) & (F.col("stores") >= ENOUGH_STORES) & (F.col("products") >= ENOUGH_PRODUCTS)).join(price, "brand_key", "left").crossJoin(F.broadcast(home)).join(near, "brand_key", "left")  # one row
+    j = j.withColumns({"knit_share": F.round("knit_share", 3), "customer_share": F.round("customer_share", 3), "price_position": F.round(F.col("price") / F.col("home"), 2)})
+    j = saved(j.withColumn("closeness", -F.abs(F.log(F.when(F.col("price_position") > 0, F.col("price_position"))))), "brands")
+    names = ["knit_share", "stores", "customer_share", "closeness", "text_similarity"]
+    ranks = percentile_ranks(j.select("brand_key", *(F.col(c).cast("double").alias(c) for c in names)), "brand_key", names)
+    known = F.array_compact(F.array(*(F.col(f"rank_{c}") for c in names)))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    return j.join(ranks, "brand_key").select("brand_key", "stores", "knit_share", "customer_share", "price_position", "text_similarity", F.round(mean, 3).alias("rank_score"))
 
 
 @query("""

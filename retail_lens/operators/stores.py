@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import LISTINGS_SQL, RULES, STORES_SQL, listings, stores, table
-from ..functions.stats import quartile_exclusive, ratio
+from ..functions.stats import ratio
+from ..ranks import exclusive_quartile, quantile, ranked
 from ..registry import query
 
 _COUNTS_SQL = f"{LISTINGS_SQL}, {STORES_SQL}, counts AS (SELECT domain, count(*) AS products, CAST(count(*) FILTER (WHERE knit_kind <> '' AND price > 998) AS BIGINT) AS knit FROM listings GROUP BY domain)"
@@ -23,8 +24,8 @@ def qualifies() -> Column:
 
 
 def _quartiles(products: DataFrame) -> DataFrame:
-    a = products.groupBy("domain").agg(F.sort_array(F.collect_list("price")).alias("a"))
-    return a.select("domain", F.size("a").alias("products"), *(quartile_exclusive(F.col("a"), i, 3).alias(f"q{i}") for i in (1, 2, 3)))
+    r = ranked(products.select("domain", "price"), ["domain"], "price")
+    return r.groupBy("domain").agg(F.max("total").cast("int").alias("products"), *(exclusive_quartile("price", i, 3).alias(f"q{i}") for i in (1, 2, 3)))
 
 
 def exclusion() -> Column:
@@ -125,8 +126,10 @@ def fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LISTINGS_SQL} SELECT knit_kind, count(*) AS n, round(avg(price), 4) AS mean, round(stddev_samp(price), 4) AS std, min(price) AS least, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS q2, quantile_cont(price, 0.75) AS q3, max(price) AS greatest FROM listings GROUP BY knit_kind")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, mean, deviation, extremes and inclusive quartiles of prices by kind."""
-    p = lambda x: F.percentile("price", F.lit(x))
-    return listings(spark, sf_dir).groupBy("knit_kind").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.round(F.stddev("price"), 4).alias("std"), F.min("price").alias("least"), p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.75).alias("q3"), F.max("price").alias("greatest"))
+    l = listings(spark, sf_dir).select("knit_kind", "price")  # noqa: E741
+    plain = l.groupBy("knit_kind").agg(F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("mean"), F.round(F.stddev("price"), 4).alias("std"), F.min("price").alias("least"), F.max("price").alias("greatest"))
+    places = ranked(l, ["knit_kind"], "price").groupBy("knit_kind").agg(*(quantile("price", i / 4).alias(f"q{i}") for i in (1, 2, 3)))
+    return plain.join(places, "knit_kind").select("knit_kind", "n", "mean", "std", "least", "q1", "q2", "q3", "greatest")
 
 
 @query(f"WITH {LISTINGS_SQL} SELECT CAST(least(floor((price - 900) / 2.5), 39) AS BIGINT) AS bin, count(*) AS n FROM listings GROUP BY 1")
