@@ -29,8 +29,11 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 
 def letters(text: str) -> list[str]:
-    """Lower-case runs of letters of any script."""
-    return _LETTERS.findall(text.lower())
+    """Lower-case runs of letters of any script. Numbers that are no digits (as ½ and ②) are no letters, and part words."""
+    runs = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
 
 
 class Model:
