@@ -68,14 +68,14 @@ def best_fit(docs: DataFrame, length: str, key: str = "doc_id", permitted: tuple
     """Where each document's tokens go: doc_id, piece, start and length in the document; bin_id, bin_length and place in the bin.
 
     A document longer than the longest permitted length is cut into pieces of that length and a rest; nothing is dropped.
-    Pieces are dealt evenly, by a hash, into packs of about ``pack_pieces`` pieces, and each pack is packed by itself; only
-    lengths and ids are shuffled. Documents of null, zero or negative length have no piece. Rows that repeat
+    Pieces are numbered as they are written down and dealt evenly, by a hash of all that they are, into packs of about ``pack_pieces`` pieces, however many rows are
+    equal; each pack is packed by itself. Only lengths and ids are shuffled. Documents of null, zero or negative length have no piece. Rows that repeat
     one key are documents of their own, packed with each other; a null key stays null. bin_id names a bin among all packs.
     """
     longest = max(permitted)
     sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(length).cast("long").alias("n")).where("n > 0")
     cut = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(longest))).alias("piece", "start"))
-    pieces = common.materialize(cut.select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("start").cast("long").alias("start"), F.least(F.col("n") - F.col("start"), F.lit(longest)).cast("long").alias("length")), "pieces")
+    pieces = common.materialize(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("piece").cast("long").alias("piece"), F.col("start").cast("long").alias("start"), F.least(F.col("n") - F.col("start"), F.lit(longest)).cast("long").alias("length")), "pieces")
     packs = max(1, -(-pieces.count() // pack_pieces))
 
     def one(t: pa.Table) -> pa.Table:
@@ -84,7 +84,7 @@ def best_fit(docs: DataFrame, length: str, key: str = "doc_id", permitted: tuple
         made = {"bin_id": bins * packs + t.column("pack")[0].as_py(), "bin_length": np.array(sizes, np.int64)[bins], "at": places}
         return t.drop_columns("pack").append_column("bin_id", [made["bin_id"]]).append_column("bin_length", [made["bin_length"]]).append_column("at", [made["at"]])
 
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(packs)))
+    dealt = pieces.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("doc_id", "piece", "length", "row"), F.lit(packs)).alias("pack"))
     return dealt.groupBy("pack").applyInArrow(one, SCHEMA)
 
 
