@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op6_substrings": substrings.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_decontamination": decontamination.ORACLE, "op11_fim": fim.ORACLE, "op13_audit": audit.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE, "op6_substrings": substrings.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_decontamination": decontamination.ORACLE, "op11_fim": fim.ORACLE, "op13_audit": audit.ORACLE}

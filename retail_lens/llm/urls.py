@@ -56,28 +56,50 @@ def _without_dots(p: Column) -> Column:
     return F.when(p.rlike(r"/\.{1,2}(?:/|\z)"), F.array_join(F.aggregate(F.split(ends, "/", -1), none, step), "/")).otherwise(p)
 
 
+def _plain_escapes(c: Column) -> Column:
+    """Percent escapes of letters, digits and ``-._~`` taken back, and others in upper case: two spellings of one character are one."""
+    def one(part: Column) -> Column:
+        code = F.regexp_extract(part, r"\A([0-9A-Fa-f]{2})", 1)
+        char, rest = F.char(F.conv(code, 16, 10).cast("long")), F.substr(part, F.lit(3))
+        return F.when(code == "", F.concat(F.lit("%"), part)).when(char.rlike(r"\A[A-Za-z0-9._~-]\z"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), F.upper(code), rest))
+
+    parts = F.split(c, "%", -1)
+    return F.when(c.contains("%"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), one), ""))).otherwise(c)
+
+
 def canonical(url: Column) -> Column:
-    """The spelling under which equal URLs meet: scheme and host in lower case, no port that the scheme implies, no dot segments, ``/`` for an empty path, no fragment. Null without ``://``."""
+    """The spelling under which equal URLs meet: scheme and host in lower case, no port that the scheme implies, no escapes but those that a path needs, no dot segments, ``/`` for an empty path, no fragment. Null without ``://``."""
     scheme = common.ascii_lower(F.regexp_extract(url, r"(?s)\A(.*?)://", 1))
     site = F.when(scheme == "http", F.regexp_replace(host(url), r":80\z", "")).when(scheme == "https", F.regexp_replace(host(url), r":443\z", "")).otherwise(host(url))
     query = F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)
-    resolved = _without_dots(path(url))
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), site, F.when(resolved == "", "/").otherwise(resolved), query))
+    resolved = _without_dots(_plain_escapes(path(url)))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), site, F.when(resolved == "", "/").otherwise(resolved), _plain_escapes(query)))
+
+
+#: Comments, and elements whose text is no markup: up to their ends, or that of the page.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|title|textarea)\b.*?(?:</\1\s*>|\z)"
+
+
+def _absolute(base: Column, link: Column) -> Column:
+    """A link as it is meant on a page at ``base``."""
+    scheme, site = F.regexp_extract(base, r"(?s)\A(.*?)://", 1), F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
+    folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path(base), r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/")))
+    return F.when(link.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, link)).when(link.startswith("?"), F.concat(site, path(base), link)).otherwise(F.concat(folder, link))
 
 
 def page_links(url: Column, html: Column) -> Column:
-    """URLs that a page names as itself: canonical links and meta refreshes, made absolute."""
+    """URLs that a page names as itself: canonical links and meta refreshes, made absolute by the page's first ``base`` or its own address. Comments and scripts hold none."""
     def attribute(tag: Column, name: str) -> Column:
         got = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
         return _unescaped(F.coalesce(*(F.nullif(g, F.lit("")) for g in got)))
 
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?\s*canonical\b"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?\s*refresh\b"))
+    read = F.regexp_replace(html, UNREAD, " ")
+    links = F.filter(F.regexp_extract_all(read, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?\s*canonical\b"))
+    metas = F.filter(F.regexp_extract_all(read, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: t.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?\s*refresh\b"))
     targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: _unescaped(F.nullif(F.regexp_extract(t, r"(?is)url\s*=\s*['\"]?([^'\">\s]+)", 1), F.lit("")))))
-    scheme, site = F.regexp_extract(url, r"(?s)\A(.*?)://", 1), F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
-    folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path(url), r"(?s)\A(.*/)", 1), F.lit("")), F.lit("/")))
-    absolute = lambda t: F.when(t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(site, t)).when(t.startswith("?"), F.concat(site, path(url), t)).otherwise(F.concat(folder, t))
-    found = F.transform(F.filter(targets, lambda t: t.isNotNull() & (t != "") & ~t.startswith("#")), absolute)
+    own_base = F.get(F.filter(F.transform(F.regexp_extract_all(read, F.lit(r"(?is)<base\b[^>]*>"), 0), lambda t: attribute(t, "href")), lambda t: t.isNotNull()), F.lit(0))
+    bases = F.transform(F.array(F.coalesce(own_base, F.lit(""))), lambda b: F.when(b == "", url).otherwise(_absolute(url, b)))  # read once, as a lambda's variable
+    found = F.flatten(F.transform(bases, lambda base: F.transform(F.filter(targets, lambda t: t.isNotNull() & (t != "") & ~t.startswith("#")), lambda t: _absolute(base, t))))
     return F.when(html.rlike("(?i)canonical|http-equiv") & url.contains("://"), found)
 
 
@@ -109,3 +131,12 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, key
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for every URL of ``pages``."""
     return judge(common.table(spark, sf_dir, "pages"))
+
+
+#: Hosts, paths and rules, and verdicts by rules alone: the tables at hand have no page that names another address as its own.
+ORACLE = r"""
+WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(verdict, domain, prefix)),
+m AS (SELECT page_id, arg_max(domain || prefix, length(domain || prefix)) AS rule, arg_max(verdict, length(domain || prefix)) AS verdict FROM u JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id)
+SELECT u.page_id AS page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id
+"""
