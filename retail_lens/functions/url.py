@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels before a country's code that make a public suffix of two labels, and the countries that have them. This is a part of the public list.
-SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gob", "web")
-COUNTRY_SUFFIXES = ("uk", "au", "jp", "nz", "br", "id", "mx", "za", "in", "kr", "tr", "sg", "hk", "tw", "il", "ar", "my", "ph", "th", "cn")
+# A part of the public suffix list, as that writes its rules: suffixes of two labels, wildcards and exceptions. Other last labels are suffixes by themselves.
+PUBLIC_SUFFIXES = (
+    "com.ar", "edu.ar", "gob.ar", "net.ar", "org.ar", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "com.br", "edu.br", "gov.br", "net.br", "org.br", "*.ck", "!www.ck", "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.hk", "edu.hk", "gov.hk", "net.hk", "org.hk", "ac.id", "co.id", "go.id", "net.id", "or.id", "sch.id", "web.id", "ac.il", "co.il", "gov.il", "net.il", "org.il", "ac.in", "co.in", "edu.in", "gov.in", "net.in", "org.in",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.kitakyushu.jp", "!city.kitakyushu.jp", "*.kobe.jp", "!city.kobe.jp", "*.nagoya.jp", "!city.nagoya.jp", "*.sapporo.jp", "!city.sapporo.jp", "*.sendai.jp", "!city.sendai.jp",
+    "*.yokohama.jp", "!city.yokohama.jp", "*.kh", "ac.kr", "co.kr", "go.kr", "ne.kr", "or.kr", "re.kr", "*.mm", "com.mx", "edu.mx", "gob.mx", "net.mx", "org.mx", "com.my", "edu.my", "gov.my", "net.my", "org.my", "*.np", "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "school.nz",
+    "*.pg", "com.ph", "edu.ph", "gov.ph", "net.ph", "org.ph", "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg", "ac.th", "co.th", "go.th", "in.th", "net.th", "or.th", "com.tr", "edu.tr", "gov.tr", "net.tr", "org.tr", "web.tr", "com.tw", "edu.tw", "gov.tw", "net.tw", "org.tw",
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "*.sch.uk", "ac.za", "co.za", "gov.za", "net.za", "org.za", "web.za",
+)
 # Suffixes under which each subdomain is an owner of its own, and hosts whose subdomains are stores.
 PRIVATE_SUFFIXES = ("myshopify.com", "wixsite.com", "square.site", "blogspot.com", "github.io", "netlify.app", "vercel.app", "gc.ca")
 HOSTED = (
@@ -76,14 +82,22 @@ def is_ip(h: Column) -> Column:
 
 
 def registrable_domain(h: Column) -> Column:
-    """The label before the public suffix, with it; under a shared store host or private suffix the subdomain too. A name without a dot stays."""
+    """The label before the public suffix, with it; under a shared store host or private suffix the subdomain too. A name without a dot stays.
+
+    By the built-in rules alone; ``suffixes.owned_domains`` takes any list.
+    """
     labels = F.split(h, r"\.")
     tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    two, three = F.size(labels) >= 2, F.size(labels) >= 3
-    public = F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVEL) & F.get(labels, F.size(labels) - 1).isin(*COUNTRY_SUFFIXES)
+    at_least = lambda n: F.size(labels) >= n
+    named = lambda mark: [r.removeprefix(mark) for r in PUBLIC_SUFFIXES if r.startswith(mark)]
+    plain, wild, spared = [r for r in PUBLIC_SUFFIXES if r[0] not in "*!"], named("*."), named("!")
+    of = lambda values, n: [v for v in values if v.count(".") == n - 1]
+    under = lambda n: at_least(n) & tail(n).isin(*spared) if of(spared, n) else F.lit(False)
     third = F.get(labels, F.size(labels) - 3)
-    owns = public | tail(2).isin(*PRIVATE_SUFFIXES) | tail(2).isin(*HOSTED) & ~third.isin("", "www")
-    return F.when(three & owns, tail(3)).when(two, tail(2)).otherwise(h)
+    two = tail(2).isin(*plain) | tail(2).isin(*PRIVATE_SUFFIXES) | F.element_at(labels, -1).isin(*of(wild, 1)) | tail(2).isin(*HOSTED) & ~third.isin("", "www")
+    return (
+        F.when(under(2), tail(2)).when(under(3), tail(3)).when(at_least(4) & tail(2).isin(*of(wild, 2)), tail(4)).when(at_least(3) & two, tail(3)).when(at_least(2), tail(2)).otherwise(h)
+    )
 
 
 def canonical_domain(link: Column) -> Column:

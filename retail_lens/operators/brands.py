@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import BASKETS_SQL, LISTINGS_SQL, RULES, STORES_SQL, baskets, listings, stores, table
@@ -13,6 +13,8 @@ from .similarity import tfidf
 
 # Stores and products from which a brand can be judged.
 ENOUGH_STORES, ENOUGH_PRODUCTS = 8, 30
+#: Domains that a brand's row lists.
+DOMAINS_KEPT = 25
 
 _PAIRS_SQL = f"""{BASKETS_SQL},
 sizes AS (SELECT brand_key, count(*) AS n FROM baskets GROUP BY brand_key),
@@ -65,6 +67,15 @@ def brand_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_facts(spark, sf_dir)
 
 
+@query(f"WITH {LISTINGS_SQL}, d AS (SELECT DISTINCT regexp_replace(lower(vendor), '[^a-z0-9]+', '', 'g') AS brand_key, domain FROM listings), r AS (SELECT *, row_number() OVER (PARTITION BY brand_key ORDER BY domain) AS k, count(*) OVER (PARTITION BY brand_key) AS stores FROM d) SELECT brand_key, any_value(stores) AS stores, string_agg(domain, ', ' ORDER BY domain) AS store_domains FROM r WHERE k <= 25 GROUP BY brand_key")
+def brand_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 domains of each brand, and how many it has. A brand's first ones are kept in each task before they meet, so no task ranks all stores of one."""
+    d = listings(spark, sf_dir).select(F.regexp_replace(F.lower("vendor"), "[^a-z0-9]+", "").alias("brand_key"), "domain").distinct()
+    first = d.withColumn("k", F.row_number().over(Window.partitionBy("brand_key").orderBy("domain"))).where(F.col("k") <= DOMAINS_KEPT)
+    listed = first.groupBy("brand_key").agg(F.array_join(F.sort_array(F.collect_list("domain")), ", ").alias("store_domains"))
+    return d.groupBy("brand_key").agg(F.count("*").alias("stores")).join(listed, "brand_key").select("brand_key", "stores", "store_domains")
+
+
 @query(f"""
 WITH {_FACT_SQL}, {_PAIRS_SQL},
 home AS (SELECT CASE WHEN p.a = 'brand7' THEN p.b ELSE p.a END AS brand_key, shared / (x.n + y.n - shared) AS jaccard FROM pairs p JOIN sizes x ON x.brand_key = p.a JOIN sizes y ON y.brand_key = p.b WHERE p.a = 'brand7' OR p.b = 'brand7'),

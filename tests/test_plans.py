@@ -25,3 +25,17 @@ def test_filters_reach_the_scan(spark):
 def test_radius_and_claims_join_by_keys(spark):
     for name in ("nearest_within_radius", "evidence_containment", "match_cascade", "discovery_matches"):
         assert facts(registry.queries()[name](spark, SF)).products == 0, name
+
+
+@pytest.mark.parametrize("name", ["topk_values", "bounded_distinct_list", "brand_domains"])
+def test_firsts_are_cut_in_each_task_before_they_meet(spark, name):
+    """No row_number ranks all rows of a hot key: each task keeps the first k of a key, and only these are shuffled and ranked."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.find("WindowGroupLimit"), plan.rfind("WindowGroupLimit")
+    assert 0 <= before < after and "Exchange" in plan[before:after] and "Partial" in plan[after:]
+
+
+def test_no_window_holds_all_rows_of_brands_or_stores(spark):
+    for name in ("brand_rank", "quartiles_exclusive", "describe"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list(price" not in plan and "percentile(" not in plan, name
