@@ -62,6 +62,44 @@ def refusal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("net").agg(F.count("*").alias("refusals"), F.count_if(F.col("hosts") >= 2).alias("limited"))
 
 
+# Seconds in which so many hosts of a network must refuse for it to be limiting us, the status that says so by itself, and the cooldown after the first time and at most.
+REFUSAL_SECONDS, REFUSAL_HOSTS, TOO_MANY, COOLDOWN, MOST_COOLDOWN = 600, 2, 429, 300, 1800
+
+
+def limits(refusals: DataFrame, seconds: int = REFUSAL_SECONDS, least: int = REFUSAL_HOSTS) -> DataFrame:
+    """(net, event_id, hosts, limited, cool_s) of refusals (net, event_id, ts, host, status): how many hosts of the network refused in the ``seconds`` up to it, whether that or the
+    status says that the network limits us, and the cooldown then, which doubles each time. Refusals of one moment count for each other.
+
+    A network's time is cut in slices as long as the window, each with the one before it, and the times that it limited us are counted by slices first: a busy network is many tasks'.
+    """
+    long = seconds * 1_000_000
+    t = refusals.select("net", "event_id", "host", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    slot = F.floor(F.col("t") / long)
+    e = t.withColumn("s", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own"))))).select("net", "event_id", "host", "status", "t", "s.slot", "s.own")
+    frame = Window.partitionBy("net", "slot").orderBy("t").rangeBetween(-long, 0)
+    w = e.withColumn("hosts", F.size(F.collect_set("host").over(frame))).where("own").withColumn("limited", (F.col("status") == TOO_MANY) | (F.col("hosts") >= least))
+    per = w.groupBy("net", "slot").agg(F.count_if("limited").alias("n"))
+    per = per.select("net", "slot", (F.sum("n").over(Window.partitionBy("net").orderBy("slot")) - F.col("n")).alias("before"))
+    nth = F.col("before") + F.count_if("limited").over(Window.partitionBy("net", "slot").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    cool = F.least(F.lit(COOLDOWN) * F.pow(F.lit(2), F.least(nth - 1, F.lit(20))), F.lit(MOST_COOLDOWN)).cast("long")
+    return w.join(per, ["net", "slot"]).select("net", "event_id", F.col("hosts").cast("long").alias("hosts"), "limited", F.when(F.col("limited"), cool).alias("cool_s"))
+
+
+def refused(df: DataFrame) -> DataFrame:
+    """Errors among events as refusals of hosts on ten networks; a note over 95 stands for the status that says too many."""
+    status = F.when(F.get_json_object("props", "$.k").cast("int") >= 95, TOO_MANY).otherwise(403)
+    return df.where("event_type = 'error'").select((F.col("user_id") % 10).alias("net"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("host"), status.alias("status"))
+
+
+@query("""WITH e AS (SELECT user_id % 10 AS net, event_id, user_id AS host, epoch_us(ts) AS t, CAST(props->>'$.k' AS INT) >= 95 AS many FROM events WHERE event_type = 'error'),
+w AS (SELECT a.net AS net, a.event_id AS event_id, a.t AS t, a.many AS many, count(DISTINCT b.host) AS hosts FROM e a JOIN e b ON a.net = b.net AND b.t BETWEEN a.t - 600000000 AND a.t GROUP BY ALL),
+l AS (SELECT *, many OR hosts >= 2 AS limited FROM w), n AS (SELECT *, count(*) FILTER (WHERE limited) OVER (PARTITION BY net ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n FROM l)
+SELECT net, event_id, hosts, limited, CASE WHEN limited THEN CAST(least(300 * pow(2, least(n - 1, 20)), 1800) AS BIGINT) END AS cool_s FROM n""")
+def network_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every refusal with the hosts of its network that refused within ten minutes, whether the network limits us, and the cooldown."""
+    return limits(refused(events(spark, sf_dir)))
+
+
 @query("WITH k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error') SELECT user_id, CAST(k AS BIGINT) AS attempt, CAST(least(300 * pow(2, least(k - 1, 10)), 1800) AS BIGINT) AS wait_s FROM k")
 def cooldown_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The doubling wait after each refusal of a store, up to half an hour."""
