@@ -52,10 +52,15 @@ MARKETPLACES = (
 )
 # Words of a store's name, pieces of its domain, and phrases of its pages that tell its kind, in order.
 NAME_RULES = (
-    ("showroom_agency", r"showroom|rep group|agency|distributors?"), ("promo_corporate", r"promo(tional)?|corporate|embroidery|screen ?print"),
-    ("resort_hotel_club", r"hotels?|resorts?|inn|lodge|golf|club|marina|yacht|keeneland|racecourse|pro ?shop"), ("gift_museum", r"museum|gifts?|souvenirs?|gallery|aquarium"),
-    ("outdoor_sporting", r"outfitters?|outdoors?|ski|sports?|running|surf|tackle|fly ?shop|climbing"), ("marketplace_resale", r"consign(ment|or)?|resale|thrift|exchange|pre-?owned|second ?hand|closet ?exchange"),
-    ("non_retail", r"news|magazine|realty|law|attorneys?|salons?|staffing|ministr(y|ies)|foundation|church|schools?|hospital|healthcare|tourism|visit|chamber|directory|podcast|capital|realestate"),
+    ("showroom_agency", (r"showroom", r"rep group", r"agency", r"distributors?")), ("promo_corporate", (r"promo(tional)?", r"corporate", r"embroidery", r"screen ?print")),
+    ("resort_hotel_club", (r"hotels?", r"resorts?", r"inn", r"lodge", r"golf", r"club", r"marina", r"yacht", r"keeneland", r"racecourse", r"pro ?shop")),
+    ("gift_museum", (r"museum", r"gifts?", r"souvenirs?", r"gallery", r"aquarium")),
+    ("outdoor_sporting", (r"outfitters?", r"outdoors?", r"ski", r"sports?", r"running", r"surf", r"tackle", r"fly ?shop", r"climbing")),
+    ("marketplace_resale", (r"consign(ment|or)?", r"resale", r"thrift", r"exchange", r"pre-?owned", r"second ?hand", r"closet ?exchange")),
+    ("non_retail", (
+        r"news", r"magazine", r"realty", r"law", r"attorneys?", r"salons?", r"staffing", r"ministr(y|ies)", r"foundation", r"church", r"schools?", r"hospital", r"healthcare", r"tourism", r"visit", r"chamber",
+        r"directory", r"podcast", r"capital", r"realestate",
+    )),
 )
 DOMAIN_RULES = (
     ("showroom_agency", ("showroom", "repgroup", "distributor")), ("promo_corporate", ("promotional", "embroidery", "screenprint", "corporategift")),
@@ -63,9 +68,11 @@ DOMAIN_RULES = (
     ("outdoor_sporting", ("outfitter", "outdoor", "skishop", "sportinggoods", "surfshop", "flyshop", "tackle")), ("marketplace_resale", ("consign", "resale", "thrift", "closetexchange", "preowned")),
 )
 TEXT_RULES = (
-    ("showroom_agency", r"(our|a) showroom|rep group|sales agency|wholesale only|trade only|we represent"), ("promo_corporate", r"promotional products|corporate (gifts|apparel|wear)|custom (apparel|embroidery|logo)|branded merchandise"),
-    ("resort_hotel_club", r"(our|the) (hotel|resort|inn|lodge|club)'?s? (shop|store|boutique)|guests? of (the|our) (hotel|resort|inn)|pro shop|golf (shop|club|course)|country club|yacht club"), ("gift_museum", r"museum (shop|store)|gift shop|souvenirs?|visitor cent(er|re)"),
-    ("outdoor_sporting", r"sporting goods|ski (shop|rental)|fly fishing|outdoor (gear|equipment)"), ("marketplace_resale", r"consignment|resale shop|thrift (store|shop)|gently used|pre-?owned designer"),
+    ("showroom_agency", (r"(our|a) showroom", r"rep group", r"sales agency", r"wholesale only", r"trade only", r"we represent")),
+    ("promo_corporate", (r"promotional products", r"corporate (gifts|apparel|wear)", r"custom (apparel|embroidery|logo)", r"branded merchandise")),
+    ("resort_hotel_club", (r"(our|the) (hotel|resort|inn|lodge|club)'?s? (shop|store|boutique)", r"guests? of (the|our) (hotel|resort|inn)", r"pro shop", r"golf (shop|club|course)", r"country club", r"yacht club")),
+    ("gift_museum", (r"museum (shop|store)", r"gift shop", r"souvenirs?", r"visitor cent(er|re)")), ("outdoor_sporting", (r"sporting goods", r"ski (shop|rental)", r"fly fishing", r"outdoor (gear|equipment)")),
+    ("marketplace_resale", (r"consignment", r"resale shop", r"thrift (store|shop)", r"gently used", r"pre-?owned designer")),
 )
 NO_SITE = r"NameResolution|getaddrinfo|nodename nor servname|Name or service not known"
 SPENT = r"(?i)insufficient_quota|exceeded your current quota|check your plan and billing"
@@ -134,12 +141,12 @@ def business_type(domain: Column, name: Column, text: Column, store_type: Column
     which = lambda values, fits: F.get(F.filter(F.array(*(F.lit(v) for v in dict.fromkeys(values))), fits), F.lit(0))
     chain = which(CHAINS, lambda c: (label == c) | (F.length(c) >= 6) & F.startswith(label, c))
     market = which(MARKETPLACES, lambda m: (domain == m) | F.startswith(domain, F.concat(m, F.lit("."))) | (label == F.replace(m, F.lit("."), F.lit(""))))
-    said = {kind: F.lower(F.regexp_extract(F.left(text, F.lit(4000)), rf"(?iU)\b(?:{p})\b", 0)) for kind, p in TEXT_RULES}
+    said = {kind: F.lower(F.regexp_extract(F.left(text, F.lit(4000)), rf"(?iU)\b(?:{'|'.join(p)})\b", 0)) for kind, p in TEXT_RULES}
     hint = first_of(((s != "", s) for s in said.values()), F.lit(""))
     bare = F.regexp_replace(label, "cashmere|merino|alpaca|mohair", "-")
     pieces = [(which(ps, lambda p: bare.contains(p)), kind) for kind, ps in DOMAIN_RULES]
     own = F.concat_ws(" ", name, F.regexp_replace(F.regexp_replace(domain, r"\.[^.]*$", ""), r"[.\-]", " "))
-    named = [(F.lower(F.regexp_extract(own, rf"(?iU)\b(?:{p})\b", 0)), kind) for kind, p in NAME_RULES]
+    named = [(F.lower(F.regexp_extract(own, rf"(?iU)\b(?:{'|'.join(p)})\b", 0)), kind) for kind, p in NAME_RULES]
     rules = [
         (domain.rlike(r"\.(gov|edu|mil)$") | domain.endswith(".org") & (products == 0), made(F.lit("non_retail"), F.concat(F.lit("domain "), domain))),
         (chain.isNotNull(), made(F.lit("department_store"), F.concat(F.lit("known chain: "), chain))),

@@ -62,14 +62,14 @@ FIBRES = {
     "yak": ("yak",), "camel": ("camel hair", "camelhair"), "silk": ("silk",), "cotton": ("cotton", "pima", "supima"), "linen": ("linen",),
     "viscose": ("viscose", "rayon", "modal", "lyocell", "tencel"), "synthetic": ("acrylic", "polyester", "nylon", "polyamide", "spandex", "elastane"),
 }
+# Words of genders, and of the finer kinds of knitwear, of which the first that fits counts.
 GENDERS = (
-    ("kids", words(r"kids?", r"child(?:ren)?", r"girls?", r"boys?", r"baby", r"babies", r"toddler", r"infant", r"youth")), ("women", words(r"women'?s?", r"womens", r"ladies", r"lady", r"female")),
-    ("men", words(r"men'?s?", r"mens", r"male", r"gentlemen")), ("unisex", words(r"unisex")),
+    ("kids", r"kids?|child(ren)?|girls?|boys?|baby|babies|toddler|infant|youth"), ("women", r"women'?s?|womens|ladies|lady|female"), ("men", r"men'?s?|mens|male|gentlemen"), ("unisex", r"unisex"),
 )
 CATEGORIES = (
-    ("cardigan", words(r"cardigans?", r"cardis?")), ("vest", words(r"(?:sweater|knit)\s?vests?", r"vests?", r"tanks?")), ("poncho_wrap", words(r"ponchos?", r"capes?", r"shawls?", r"wraps?", r"shrugs?", r"ruanas?")),
-    ("dress_skirt", words(r"dress(?:es)?", r"skirts?")), ("hat", words(r"beanies?", r"toques?", r"tuques?", r"hats?", r"caps?", r"headbands?", r"ear\s?warmers?")), ("scarf", words(r"scar(?:f|ves)", r"snoods?", r"cowls?")),
-    ("gloves", words(r"gloves?", r"mittens?")), ("socks", words(r"socks?")), ("sweater", words(r"sweaters?", r"pullovers?", r"jumpers?", r"crew(?:neck)?s?", r"turtlenecks?", r"mock\s?necks?", r"hood(?:ie|y)s?", r"tops?")),
+    ("cardigan", r"cardigans?|cardis?"), ("vest", r"(sweater|knit)\s?vests?|vests?|tanks?"), ("poncho_wrap", r"ponchos?|capes?|shawls?|wraps?|shrugs?|ruanas?"), ("dress_skirt", r"dress(es)?|skirts?"),
+    ("hat", r"beanies?|toques?|tuques?|hats?|caps?|headbands?|ear\s?warmers?"), ("scarf", r"scar(f|ves)|snoods?|cowls?"), ("gloves", r"gloves?|mittens?"), ("socks", r"socks?"),
+    ("sweater", r"sweaters?|pullovers?|jumpers?|crew(neck)?s?|turtlenecks?|mock\s?necks?|hood(ie|y)s?|tops?"),
 )
 _FIBRE_OF = {w: f for f, ws in FIBRES.items() for w in ws}
 _FIBRE_WORDS = "|".join(sorted(_FIBRE_OF, key=len, reverse=True))
@@ -137,11 +137,11 @@ def materials(text: Column) -> Column:
 def gender(text: Column, declared: Column | None = None) -> Column:
     """women, men, kids, unisex or empty: as declared, else as the text says alone, unisex for women and men."""
     t = F.regexp_replace(text, r"(?i)baby\s+(alpaca|cashmere|camel)", "$1")  # a fibre, not a baby
-    found = F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(g)) for g, p in GENDERS)))
+    found = F.array_compact(F.array(*(F.when(t.rlike(words(p)), F.lit(g)) for g, p in GENDERS)))
     out = F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.array_contains(found, "women") & F.array_contains(found, "men"), "unisex").otherwise("")
     if declared is not None:
         for g, p in reversed(GENDERS):
-            out = F.when(F.coalesce(declared, F.lit("")).rlike(p), g).otherwise(out)
+            out = F.when(F.coalesce(declared, F.lit("")).rlike(words(p)), g).otherwise(out)
     return out
 
 
@@ -150,5 +150,5 @@ def category(title: Column, product_type: Column) -> Column:
     out = F.lit("")
     for text in (product_type, title):
         for name, pattern in reversed(CATEGORIES):
-            out = F.when(text.rlike(pattern), name).otherwise(out)
+            out = F.when(text.rlike(words(pattern)), name).otherwise(out)
     return out

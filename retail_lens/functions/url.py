@@ -126,6 +126,20 @@ def is_deep_link(url: Column) -> Column:
     return ~path(url).isin("", "/") | url.rlike(r"^[^#]*\?[^#]")
 
 
+def absolute(page: Column, link: Column) -> Column:
+    """A link as it is meant on a page: with its own scheme, or the page's scheme, host or folder before it; ``..`` steps at its front are taken."""
+    scheme, site = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(page), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    ups = F.size(F.regexp_extract_all(F.regexp_extract(link, r"^((?:\.\./)*)", 1), F.lit(r"\.\./"), 0))
+    steps = F.split(F.rtrim(folder, F.lit("/")), "/")
+    up = F.concat(F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - ups, F.lit(1))), "/"), F.lit("/"))
+    rest = F.regexp_replace(link, r"^(\.\.?/)+", "")
+    return (
+        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path(page), link)).when(link.startswith("#"), F.concat(F.regexp_extract(page, "^([^#]*)", 1), link)).otherwise(F.concat(site, up, rest))
+    )
+
+
 def url_key(url: Column) -> Column:
     """Host without www., path without closing slash, and query."""
     h = F.regexp_replace(host(url), r"^www\.", "")
