@@ -37,6 +37,11 @@ WIDER = (
     ("card", r"(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])", NEEDS["card"]),
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
     ("phone", r"(?<![0-9.])00[1-9][0-9]{0,2}(?:[\x20./-]?[0-9]){7,10}(?![0-9])", r"00[1-9][0-9\x20./-]{7}"),
+    # addresses in words, shortened IPv6 addresses, area codes in brackets without a gap, and national numbers
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\sat\s[a-z0-9-]++(?:\sdot\s[a-z0-9-]++)++", r"(?i)\sat\s[a-z0-9-]++\sdot\s"),
+    ("ip", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?|::[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})(?![0-9a-z:])", r"(?i)[0-9a-f]::|::[0-9a-f]"),
+    ("phone", r"(?<![0-9+])\([0-9]{3}\)[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", r"\([0-9]{3}\)[0-9]{3}"),
+    ("phone", r"(?<![0-9+.,-])0[1-9][0-9]{1,3}[\x20/-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"0[1-9][0-9]{1,3}[\x20/-][0-9]{3}"),
 )
 #: Characters of context on either side, and words in them that speak for each kind, or for a number of another sort.
 CONTEXT = 24
@@ -46,10 +51,10 @@ FEATURES = ("kind", "chars", "digits", "separators", "groups", "first", "bracket
 #: Injected values in each kind's formats (# a digit, ~ a word, ^ a hexadecimal digit): personal data, and what only looks like it.
 WORDS = ("ann", "lee", "shop", "home", "christina", "north", "office", "x", "we", "garden", "mailbox", "berlin", "the", "noon", "marketing", "jo")
 FORMATS = {
-    "email": (("~ (at) ~ (dot) com", "~.~ [at] ~ [dot] org", "~(at)~.net", "~## @ ~.de", "~ [at] ~ . co . uk", "~ (at) ~.~.edu", "~ @ ~ . info"), ("~ (at) ##.##", "~ (at) # . #", "~ @ # . ##", "~ @ ##.##", "~ [at] ~. ~", "~ (at) ~. ~", "~ @ ~. ~")),
-    "ip": (("2001:^^^^:^^^^:^:^^^:^^^^:^^^^:^^^^", "fe80:0:0:0:^^^^:^^^^:^^^^:^^^^", "2a02:^^^^:^^^:^^^^:^^^^:^^^^:^^^:^^^^"), ("^^:^^:^^:^^:^^:^^:^^:^^", "#:#:#:#:#:#:#:#", "##:##:##:##:##:##:##:##")),
+    "email": (("~ (at) ~ (dot) com", "~.~ [at] ~ [dot] org", "~(at)~.net", "~## @ ~.de", "~ [at] ~ . co . uk", "~ (at) ~.~.edu", "~ @ ~ . info", "~ at ~ dot com", "~.~ at ~ dot org", "~## at ~ dot co dot uk"), ("~ at ## dot ##", "# at ## dot #", "~ at # dot ~", "~ (at) ##.##", "~ (at) # . #", "~ @ # . ##", "~ @ ##.##", "~ [at] ~. ~", "~ (at) ~. ~", "~ @ ~. ~")),
+    "ip": (("2001:^^^^:^^^^:^:^^^:^^^^:^^^^:^^^^", "fe80:0:0:0:^^^^:^^^^:^^^^:^^^^", "2a02:^^^^:^^^:^^^^:^^^^:^^^^:^^^:^^^^", "2001:^^^::#", "fe80::^^^^:^^^:^^^^:^^^^", "2a02:^^^^:^^^^::^^^:#", "2001:^^^^:#::^^^^"), ("#::#", "##::##", "a::b", "^^::^^", "::#", "^^:^^:^^:^^:^^:^^:^^:^^", "#:#:#:#:#:#:#:#", "##:##:##:##:##:##:##:##")),
     "card": (("4### #### #### ####", "5###-####-####-####", "4###############", "37## ###### #####", "6011 #### #### ####"), ("0### #### #### ####", "9###-####-####-####", "1###############", "8### #### #### ####", "2### #### #### ####")),
-    "phone": (("(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "0049 ## #######", "0044 #### ######"), ("###-###-####", "### ### ####", "000-###-####", "001########", "###.###.####", "00########", "00##############", "00############")),
+    "phone": (("(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "0049 ## #######", "0044 #### ######", "(###)###-####", "(###)#######", "020 #### ####", "01## ### ####", "07### ######", "030 #######", "04#/### ####"), ("01# ### ###", "0## ### ####", "0##-####-###", "0###/### ###", "###-###-####", "### ### ####", "000-###-####", "001########", "###.###.####", "00########", "00##############", "00############")),
 }
 #: Phrases before the values. A third of them, and the values in them, are held out.
 PHRASES = {

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retail_lens.llm import language, packing, urls
+from retail_lens.llm import language, packing, pii, urls
 
 
 def test_links_in_comments_and_scripts_are_none_and_base_counts(spark):
@@ -39,3 +39,15 @@ def test_equal_rows_go_to_many_packs(spark):
     assert placed.count() == 20_000 and placed.where("doc_id is not null").count() == 0
     packs = {r[0]: r[1] for r in placed.groupBy((F.col("bin_id") % 4).alias("pack")).count().collect()}
     assert len(packs) == 4 and max(packs.values()) < 6000
+
+
+def test_addresses_and_numbers_in_other_forms_are_found(spark):
+    found = {
+        "reach me at ann at shop dot com please": "ann at shop dot com", "my mobile (239)555-0101 is on": "(239)555-0101", "call 020 7946 0018 now": "020 7946 0018", "phone: 0161-496 0123 today": "0161-496 0123", "server 2001:db8::1 again": "2001:db8::1", "from address fe80::1ff:fe23:4567:890a here": "fe80::1ff:fe23:4567:890a",
+    }
+    none = ["std::vector and a::b", "score 3::2 at the end", "we meet at noon dot", "at 12 dot 30", "version 012 345 678", "order 020 7946 0018 shipped", "times 10::20", "part (123)4567890"]
+    df = spark.createDataFrame(list(enumerate([*found, *none])), "doc_id long, text string")
+    trees = pii.fit(df)
+    assert set(trees.report) == set(pii.KINDS) and all(p >= pii.PRECISION and r > 0.6 for p, r, _ in trees.report.values()), trees.report
+    got = {r.doc_id: [r.text[s.start : s.stop] for s in r.spans] for r in df.withColumn("spans", pii.find_spans(F.col("text"), trees)).collect()}
+    assert got == {i: [t] if t else [] for i, t in enumerate([*found.values(), *[""] * len(none)])}
