@@ -15,6 +15,8 @@ from .words import ALNUM, Words, chunks, grams, within
 
 #: Test words in one broadcast set; a larger benchmark is scanned in several sets, one after another.
 BLOCK_WORDS = 500_000
+#: Sets that one task scans with before what was found is written down.
+SETS_AT_ONCE = 2
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
@@ -68,8 +70,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
 
     Texts are lower-cased in A-Z and cut into runs of ASCII letters, digits and non-ASCII characters. A test window is n
     consecutive words of an item; an item with fewer words is one window. The test set is broadcast in sets of about
-    ``block_words`` words, longer items in overlapping pieces, and each set is a pass over the documents: so its size never
-    meets a limit, and no set grows with it. Rows that repeat a key are scanned each, and so are rows without one.
+    ``block_words`` words, longer items in overlapping pieces, and each set is a pass over the documents, of which SETS_AT_ONCE follow each other in a task before
+    hits are written down: so its size never meets a limit, and neither a set nor a task grows with it. Rows that repeat a key are scanned each, and so are rows without one.
     Null or wordless texts have no words, no hits and no items; a null item text has no window, a null item id reads as ''.
     Columns of ``docs`` called n_words, hit or items are replaced; all others and all rows stay.
 
@@ -84,7 +86,15 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     out = common.append_columns(docs, lambda b: _start(b.column(b.schema.get_field_index(text))), ADDED) if total == 0 else docs
     if total == 0 and cleaned:
         out = out.withColumn(cleaned, F.col(text))
+    sent, written = [], None
     for block in range(blocks if total else 0):
+        if block and block % SETS_AT_ONCE == 0:
+            out = common.materialize(out, "hits")
+            for x in sent:
+                x.destroy()
+            if written is not None:
+                common.drop(written)
+            sent, written = [], out
         rows = test.where(common.hash_buckets(test, "i", "t", n=blocks) == block) if blocks > 1 else test
         found = _windows([tuple(r) for r in rows.toLocalIterator()], n)
         sets = {}
@@ -94,6 +104,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
             seen[(keys >> np.uint64(44)).astype(np.int64)] = True
             sets[k] = (keys, seen, entries)
         shared = spark.sparkContext.broadcast(sets)
+        sent.append(shared)
         clean = cleaned if block == blocks - 1 else None
         out = common.append_columns(out, _scanner(shared, text, block > 0, clean), T.StructType([*ADDED.fields, T.StructField(clean, T.StringType())]) if clean else ADDED)
     return out

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from retail_lens.llm import language, packing, pii, urls
+from retail_lens.llm import decontamination, language, packing, pii, urls
+from tests.llm import helpers
 
 
 def test_links_in_comments_and_scripts_are_none_and_base_counts(spark):
@@ -51,3 +52,14 @@ def test_addresses_and_numbers_in_other_forms_are_found(spark):
     assert set(trees.report) == set(pii.KINDS) and all(p >= pii.PRECISION and r > 0.6 for p, r, _ in trees.report.values()), trees.report
     got = {r.doc_id: [r.text[s.start : s.stop] for s in r.spans] for r in df.withColumn("spans", pii.find_spans(F.col("text"), trees)).collect()}
     assert got == {i: [t] if t else [] for i, t in enumerate([*found.values(), *[""] * len(none)])}
+
+
+def test_a_large_benchmark_is_scanned_in_bounded_tasks(spark):
+    rows = helpers.documents()
+    items = [(f"i{k}", r[1]) for k, r in enumerate(rows) if r[1] and len(r[1]) < 1200][:20]
+    docs, test = helpers.frame(spark, rows), spark.createDataFrame(items, "item_id string, text string")
+    out = decontamination.scan_benchmark(docs, test, block_words=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("MapInArrow") <= decontamination.SETS_AT_ONCE
+    want = helpers.benchmark_hits(rows, items)
+    assert {r.doc_id: (r.n_words, sum(r.hit), sorted(r["items"])) for r in out.collect()} == want
