@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views", "names", "products", "judgement", "feeds", "markup", "runs", "nearest", "matching", "merge", "condense", "suffixes")
+MODULES = ("brands", "stores", "customers", "visits", "links", "extraction", "similarity", "identity", "views", "names", "products", "judgement", "feeds", "markup", "runs", "nearest", "matching", "merge", "condense", "suffixes", "changes")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
