@@ -4,6 +4,7 @@ progressively shorter character n-grams."""
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -25,15 +26,16 @@ CACHE = 50_000
 #: What an n-gram's score counts against a known word's.
 BACKOFF = 0.4
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that the pattern takes though they are neither letters nor digits: other numbers.
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def letters(text: str) -> list[str]:
     """Lower-case runs of letters of any script. Numbers that are no digits (as ½ and ②) are no letters, and part words."""
-    runs = _LETTERS.findall(text.lower())
-    if all(map(str.isalpha, runs)):
-        return runs
-    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
+    return _LETTERS.findall(text.lower())
 
 
 class Model:
