@@ -64,4 +64,4 @@ def test_run_gives_what_the_stages_give(spark, sf_dir):
 
 def test_every_operator_is_registered():
     names = [m[1] for n in __spark_entry__.queries() if (m := re.match(r"op([0-9]+)_", n))]
-    assert sorted(map(int, names)) == list(range(1, 11))
+    assert sorted(map(int, names)) == list(range(1, 14))
