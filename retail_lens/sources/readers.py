@@ -10,11 +10,12 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import place, text, url
+from ..scratch import saved
 
 # Names of the column that holds the links, the most specific first.
 URL_COLUMNS = ("url", "website", "website_url", "site", "homepage", "link", "store_url", "domain", "web")
@@ -34,9 +35,19 @@ def link_in_cell(cell: Column) -> Column:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(input_id, url) of all links in text files, one row a link; ids follow the order of lines and of links in them, and are never the same."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), links_in_text(F.col("value")).alias("links")).where(F.size("links") > 0)
-    return lines.select("line", F.posexplode("links").alias("pos", "url")).select((F.shiftleft("line", 24) + F.col("pos")).alias("input_id"), "url")
+    """(input_id, url) of all links in text files, one row a link; ids count from 0 in the order of files, lines and links in them, without gaps.
+
+    Links are written down with the split that they were read in, splits are counted, and a link's id is its place in the split behind all splits before: no task orders more than one.
+    """
+    lines = spark.read.text(path)
+    at = lines.metadataColumn("_metadata")
+    found = lines.select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), links_in_text(F.col("value")).alias("links"))
+    rows = saved(found.select("file", "block", "line", F.posexplode("links").alias("pos", "url")), "links")
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("line", "pos")) - 1
+    return rows.withColumn("place", place).join(splits, ["file", "block"]).select((F.col("before") + F.col("place")).alias("input_id"), "url")
 
 
 def _sheet(data: bytes) -> tuple[list[str], list[dict[str, str]]]:

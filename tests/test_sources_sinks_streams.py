@@ -130,3 +130,15 @@ def test_operator_files(spark, tmp_path):
     inputs, summary = spark.createDataFrame([(2, "b"), (1, "a")], "input_id long, url string"), spark.createDataFrame([(1, "ok")], "input_id long, status string")
     writers.write_summary(inputs, summary, f"{tmp_path}/summary")
     assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/summary", header=True).collect()] == [("1", "a", "ok"), ("2", "b", None)]
+
+
+def test_links_of_many_splits_are_numbered_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("\n".join(f"see https://a{k}-{i:03}.com and b{k}-{i:03}.org" if i % 3 else "nothing" for i in range(200)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        rows = readers.read_text(spark, str(tmp_path / "f*.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [u for k in range(3) for i in range(200) if i % 3 for u in (f"https://a{k}-{i:03}.com", f"b{k}-{i:03}.org")]
+    assert [r.url for r in sorted(rows, key=lambda r: r.input_id)] == want and sorted(r.input_id for r in rows) == list(range(len(want)))
