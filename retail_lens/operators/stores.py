@@ -109,6 +109,19 @@ def bounded_distinct_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("domain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), "; ").alias("titles"))
 
 
+@query(f"""WITH {LISTINGS_SQL}, {STORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY listing_id) AS k FROM listings WHERE knit_kind <> ''),
+e AS (SELECT domain, string_agg(title, '; ' ORDER BY k) AS examples FROM r WHERE k <= 5 GROUP BY domain), n AS (SELECT domain, count(*) AS products, count(*) FILTER (WHERE knit_kind <> '') AS knit FROM listings GROUP BY domain)
+SELECT s.domain AS domain, CASE WHEN products IS NULL THEN '' ELSE CAST(CAST(round_even(100 * knit / products, 0) AS INT) AS VARCHAR) || '%' END AS knit_share, coalesce(examples, '') AS examples FROM stores s LEFT JOIN n ON n.domain = s.domain LEFT JOIN e ON e.domain = s.domain""")
+def knit_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each store's share of knitwear as a percentage, halves to the even one, empty without products, and its first five knit products. Only five rows of a store are kept in each task."""
+    l = listings(spark, sf_dir)  # noqa: E741
+    n = l.groupBy("domain").agg(F.count("*").alias("products"), F.count_if(F.col("knit_kind") != "").alias("knit"))
+    first = l.where("knit_kind <> ''").withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("listing_id"))).where("k <= 5")
+    e = first.groupBy("domain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), "; ").alias("examples"))
+    share = F.concat(F.bround(100 * F.col("knit") / F.col("products")).cast("int").cast("string"), F.lit("%"))
+    return stores(spark, sf_dir).select("domain").join(n, "domain", "left").join(e, "domain", "left").select("domain", F.coalesce(share, F.lit("")).alias("knit_share"), F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 @query(f"WITH {LISTINGS_SQL} SELECT title, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM listings GROUP BY title")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency and share of each title."""
