@@ -1,17 +1,19 @@
 """Substring deduplication: of passages of at least 20 words that recur in a corpus, only the first occurrence stays.
 
-Passages are matched by suffix automata. The reference of a corpus against itself is what is in it for the first time and comes
-again; it is cut in shards of a bounded size, an automaton is made of each, and the passages of later documents are streamed
-through the automaton of their shard for matching statistics. Hashes of windows only tell which passages are sent where.
+Passages are matched by suffix automata. Equal windows have equal anchors, so the anchors that two documents share cut the corpus
+into shards: a shard holds the passages around one anchor. In the order of their documents these are streamed through the shard's
+automaton, whose matching statistics tell which windows have come before, and what is new is added to it. Hashes tell where words
+are compared, never what is equal.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,18 +22,18 @@ from .words import Words, chunks, grams, within
 
 #: Words of a window, and of the n-grams whose least hash in a window is its anchor.
 WINDOW, ANCHOR = 20, 8
-#: Windows of a reference document that go to one shard together; windows of a shard, about; and windows that one copy of its automaton streams, about.
-PIECE, SHARD, STREAM = 2_000, 20_000, 100_000
-#: Characters of streamed passages whose matches a task remembers, for their copies.
-REMEMBERED = 16 << 20
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc_id", "copy", "start", "stop", "ref_doc", "ref_copy", "ref_start")])
-PASSAGE = T.StructType([T.StructField("shard", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType())])
+#: Windows of a passage at most, longer ones are cut (a multiple of short periods, so the pieces of what repeats itself are equal); documents that share one automaton of an anchor, about.
+PIECE, STREAM = 1_680, 4_000
+#: Groups that the new windows of an anchor with several automata are dealt to, for each of these.
+SPREAD = 8
+_LONGS = ("anchor", "salts", "salt", "doc_id", "copy", "start", "stop")
+PASSAGE = T.StructType([*(T.StructField(n, T.LongType()) for n in _LONGS), T.StructField("words", T.BinaryType())])
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """For each window of word hashes the least hash of its n-grams. Equal windows have equal anchors; neighbours mostly share one."""
-    g = grams(h, anchor)
+def anchors(h: np.ndarray, window: int, anchor: int, bits: int = 64) -> np.ndarray:
+    """For each window of word hashes the least hash, of so many bits, of its n-grams. Equal windows have equal anchors; neighbours mostly share one."""
+    g = grams(h, anchor) >> np.uint64(64 - bits) if bits else np.zeros(max(0, len(h) - anchor + 1), np.uint64)
     size = len(h) - window + 1
     if size <= 0:
         return np.empty(0, np.uint64)
@@ -47,94 +49,44 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.join(again, "doc_id", "left").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("copy"), "text")
 
 
-def _recurring(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, copy, anchors): of each document the anchors that another document has too."""
+def _recurring(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
+    """(doc_id, copy, anchors): of each document the anchors that another document has too, each with its number of automata."""
     def run(batch: pa.RecordBatch) -> pa.Table:
         lists = []
         for _, part in chunks(batch.column(2)):
             w = Words(part)
-            a = anchors(w.hashes(), window, anchor)
+            a = anchors(w.hashes(), window, anchor, bits)
             for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 lists.append(np.unique(a[i : max(i, j - window + 1)]).view(np.int64))
         return pa.table({"doc_id": batch.column(0), "copy": batch.column(1), "anchors": pa.array(lists, pa.list_(pa.int64()))})
 
     made = common.materialize(common.map_batches(docs, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("anchors", T.ArrayType(T.LongType()))])), "anchors")
     rows = made.select("doc_id", "copy", F.explode("anchors").alias("anchor"))
-    again = common.materialize(rows.groupBy("anchor").agg(F.count("*").alias("df")).where("df > 1").select("anchor"), "recurring")
-    out = common.materialize(rows.join(again, "anchor").groupBy("doc_id", "copy").agg(F.collect_list("anchor").alias("anchors")), "recurring-anchors")
+    again = common.materialize(rows.groupBy("anchor").agg(F.count("*").alias("df")).where("df > 1").select("anchor", (1 + F.floor(F.col("df") / STREAM)).cast("long").alias("salts")), "recurring")
+    out = common.materialize(rows.join(again, "anchor").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "salts")).alias("anchors")), "recurring-anchors")
     common.drop(made)
     common.drop(again)
     common.release(docs.sparkSession)
     return out
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _later_in_row(h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """True for windows that stand earlier in their own row. One sort finds hashes that come twice; only those are compared in full."""
-    same = np.zeros(len(h1), bool)
-    key = h1 ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ordered = np.sort(key)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if len(twice):
-        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
-        order = at[np.lexsort((at, h2[at], h1[at], row[at]))]
-        a, b = order[1:], order[:-1]
-        same[a] = (h1[a] == h1[b]) & (h2[a] == h2[b]) & (row[a] == row[b])
-    return same
-
-
-def _windows(batch: pa.RecordBatch, window: int, anchor: int) -> pa.Table:
-    """Of windows with a recurring anchor: the occurrences in this batch's least doc_id, one a copy (stop 0), and runs of starts of those in greater
-    doc_ids, which are removed for certain. An occurrence after another in its own text is not among the former: that text finds it by itself."""
-    ids, copies, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy", "text", "anchors"))
-    ids, copies, found = ids.to_numpy(), copies.to_numpy(), []
-    for at, part in chunks(texts):
-        w = Words(part)
-        h = w.hashes()
-        if len(h) < window:
-            continue
-        open_ = np.zeros(len(h) - window + 1, bool)
-        a = anchors(h, window, anchor)
-        for r, (i, j) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-            if j - i >= window:
-                known = np.sort(lists[at + r].values.to_numpy().view(np.uint64))
-                own = a[i : j - window + 1]
-                open_[i : j - window + 1] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-        s = np.flatnonzero(open_ & within(w.row, window))
-        found.append((grams(h, window)[s], grams(w.hashes(1), window, 1)[s], ids[at + w.row[s]], copies[at + w.row[s]], s - w.first[w.row[s]]))
-    if not found:
-        return pa.table({n: pa.array([], pa.int64()) for n in FOUND.names})
-    h1, h2, doc, copy, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, copy, doc, h2, h1) if copy.any() else (start, doc, h2, h1))
-    h1, h2, doc, copy, start = (x[order] for x in (h1, h2, doc, copy, start))
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]  # each window's first occurrence in the batch
-    late = doc > doc[lead]
-    first = ~late
-    first[1:] &= new[1:] | (copy[1:] != copy[:-1])
-    d, c, s, rd, rc, rs = (x[late] for x in (doc, copy, start, doc[lead], copy[lead], start[lead]))
-    order = np.lexsort((s, c, d))
-    d, c, s, rd, rc, rs = (x[order] for x in (d, c, s, rd, rc, rs))
-    head = np.ones(len(d), bool)
-    head[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1) | (rd[1:] != rd[:-1]) | (rc[1:] != rc[:-1]) | (rs[1:] != rs[:-1] + 1)
-    begin = np.flatnonzero(head)
-    stop = s[np.append(begin[1:], len(d)) - 1] + 1 if len(d) else s
-    salt = grams(d[begin].astype(np.uint64) * np.uint64(31) + s[begin].astype(np.uint64), 1)
-    none = np.zeros(int(first.sum()), np.int64)
-    columns = {
-        "h1": (h1[first], salt), "h2": (h2[first], salt), "doc_id": (doc[first], d[begin]), "copy": (copy[first], c[begin]), "start": (start[first], s[begin]),
-        "stop": (none, stop), "ref_doc": (none, rd[begin]), "ref_copy": (none, rc[begin]), "ref_start": (none, rs[begin]),
-    }
-    return pa.table({k: pa.array(np.concatenate(v).view(np.int64), pa.int64()) for k, v in columns.items()})
+def _stretches(a: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the runs of windows of one row and one anchor, at most PIECE windows each."""
+    whole = within(row, window)
+    head = whole.copy()
+    head[1:] &= (a[1:] != a[:-1]) | ~whole[:-1]
+    start = np.flatnonzero(head)
+    tail = whole.copy()
+    tail[:-1] &= (a[1:] != a[:-1]) | ~whole[1:]
+    stop = np.flatnonzero(tail) + 1
+    pieces = -(-(stop - start) // PIECE)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, stop = np.repeat(start, pieces) + PIECE * nth, np.repeat(stop, pieces)
+    return start, np.minimum(stop, start + PIECE)
 
 
 class Automaton:
-    """The suffix automaton of passages of word codes. A state stands for words that end at the same places; it knows the first document that they stand in."""
+    """The suffix automaton of passages of word codes. A state stands for words that end at the same places; it knows the first document that they stand in, or where they end first."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
@@ -158,10 +110,10 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def add(self, codes: list[int], doc: int) -> None:
-        """Adds a passage. Passages come in the order of their documents."""
+    def add(self, codes: list[int], doc: int, step: int = 0) -> None:
+        """Adds a passage. Passages come in the order of their documents. With a step of 1, ``doc`` is the place of the first word, and places are told in place of documents."""
         nexts, link, last = self.next, self.link, 0
-        for code in codes:
+        for doc, code in enumerate(codes, doc) if step else ((doc, code) for code in codes):
             known = nexts[last].get(code)
             if known is not None:
                 last = self._split(last, known, code)
@@ -196,106 +148,153 @@ class Automaton:
         return out
 
 
-def _passages(batch: pa.RecordBatch, window: int) -> pa.Table | None:
-    """The words of the windows that ``needed`` lists of each document, those next to each other as one passage; a reference passage for each copy of its automaton."""
-    ids, copies, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy", "needed"))
+def _passages(batch: pa.RecordBatch, window: int, anchor: int, bits: int) -> pa.Table:
+    """The passages around recurring anchors, with their words. Of passages of equal bytes in a part of the batch only the first has them:
+    all windows of the others start earlier, which no other document can change."""
+    ids, copies, texts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "copy", "text", "anchors"))
+    ids, copies = ids.to_numpy(), copies.to_numpy()
     out: list[list] = [[] for _ in PASSAGE.names]
-    for at, part in chunks(batch.column(batch.schema.get_field_index("text"))):
+    for at, part in chunks(texts):
         w = Words(part)
+        a = anchors(w.hashes(), window, anchor, bits)
+        start, stop = _stretches(a, w.row, window)
+        row = w.row[start]
+        salts = np.zeros(len(start), np.int64)
+        begin = np.searchsorted(row, np.arange(len(part) + 1))
         for r in range(len(part)):
             x = lists[at + r].values
-            kind, start, stop, shard, salt = (x.field(f).to_numpy() for f in ("kind", "start", "stop", "shard", "salt"))
-            order = np.lexsort((stop, start, salt, shard, kind))
-            kind, start, stop, shard, salt = (v[order] for v in (kind, start, stop, shard, salt))
-            i = 0
-            while i < len(order):
-                j, end = i + 1, int(stop[i])
-                while j < len(order) and (kind[j], shard[j], salt[j]) == (kind[i], shard[i], salt[i]) and start[j] <= end:
-                    end = max(end, int(stop[j]))
-                    j += 1
-                base = int(w.first[r])
-                text = b" ".join(w.words(base + int(start[i]), min(base + end + window - 1, int(w.first[r + 1]))))
-                for k in range(int(salt[i])) if kind[i] == 0 else (int(salt[i]),):
-                    for column, v in zip(out, (int(shard[i]), k, int(kind[i]), ids[at + r].as_py(), copies[at + r].as_py(), int(start[i]), text), strict=True):
-                        column.append(v)
-                i = j
-    return pa.table([pa.array(v, pa.binary() if n == "text" else pa.int64()) for n, v in zip(PASSAGE.names, out, strict=True)], names=PASSAGE.names)
+            known, numbers = x.field("anchor").to_numpy().view(np.uint64), x.field("salts").to_numpy()
+            order = np.argsort(known)
+            own = a[start[begin[r] : begin[r + 1]]]
+            place = order[np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)]
+            salts[begin[r] : begin[r + 1]] = np.where(known[place] == own, numbers[place], 0)
+        take = np.flatnonzero(salts)
+        take = take[np.lexsort((start[take], copies[at + row[take]], ids[at + row[take]]))]
+        start, stop, row, salts = start[take], stop[take], row[take], salts[take]
+        doc, copy, local = ids[at + row], copies[at + row], w.first[row]
+        salt = (grams(doc.astype(np.uint64), 1) % salts.astype(np.uint64)).astype(np.int64)
+        first: dict[tuple[int, bytes], tuple[int, int]] = {}
+        words = []
+        for key, d, k, i, j in zip(a[start].tolist(), doc.tolist(), row.tolist(), w.starts[start].tolist(), w.ends[stop + window - 2].tolist(), strict=True):
+            said = w.data[i:j].tobytes()
+            had = first.get((key, said))
+            if had is None:
+                first[key, said] = (d, k)
+            words.append(None if had and (had[0] < d or had == (d, k)) else said)
+        for column, v in zip(out, (a[start].view(np.int64), salts, salt, doc, copy, start - local, stop - local), strict=False):
+            column.append(v)
+        out[-1].extend(words)
+    return pa.table([pa.array(out[-1], pa.binary()) if n == "words" else pa.array(np.concatenate(v) if v else [], pa.int64()) for n, v in zip(PASSAGE.names, out, strict=True)], names=PASSAGE.names)
+
+
+class _Shard:
+    """What has come before around one anchor: its automaton, and the first documents of the windows of passages seen."""
+
+    def __init__(self, window: int):
+        self.window, self.automaton, self.codes, self.seen = window, Automaton(), {}, {}
+
+    def firsts(self, words: bytes, doc: int) -> list[int]:
+        """The first document of each window of a passage. Passages come in the order of their documents."""
+        known = self.seen.get(words)
+        if known is None:
+            codes = [self.codes.setdefault(x, len(self.codes)) for x in words.split()]
+            known = [doc] * (len(codes) - self.window + 1)
+            had = self.automaton.first_docs(codes, self.window)
+            for i, first in had:
+                known[i] = first
+            if len(had) < len(known):
+                self.automaton.add(codes, doc)
+            self.seen[words] = known
+        return known
 
 
 def _matched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, copy, start, stop): runs of windows of streamed passages whose words also start in a smaller doc_id. Each shard's reference comes before what it is for."""
-    at, automaton, codes, seen, room = None, Automaton(), {}, {}, REMEMBERED
+    """Rows of PASSAGE: without words, runs of windows that stand in a smaller doc_id; with words, the new windows of an anchor that has
+    several automata, for which the others are to be asked. A shard's passages come together, in the order of their documents."""
+    at, shard = None, _Shard(window)
     for batch in batches:
-        found: list[list[int]] = [[], [], [], []]
-        for shard, salt, kind, doc, copy, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (shard, salt) != at:
-                at, automaton, codes, seen, room = (shard, salt), Automaton(), {}, {}, REMEMBERED
-            if kind == 0:
-                automaton.add([codes.setdefault(x, len(codes)) for x in text.split(" ")], doc)
+        out: list[list] = [[] for _ in PASSAGE.names]
+
+        def put(*values: object, out: list[list] = out) -> None:
+            for column, v in zip(out, values, strict=True):
+                column.append(v)
+
+        for anchor, salts, salt, doc, copy, start, stop, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (anchor, salt) != at:
+                at, shard = (anchor, salt), _Shard(window)
+            if words is None:
+                put(anchor, salts, salt, doc, copy, start, stop, None)
                 continue
-            known = seen.get(text)
-            if known is None:
-                known = automaton.first_docs([codes.get(x, -1) for x in text.split(" ")], window)
-                if room >= len(text):
-                    seen[text] = known
-                    room -= len(text)
+            known = shard.firsts(words, doc)
+            single = words.split() if salts > 1 and max(known) == doc else ()
             run = None
-            for i, first in known:
+            for i, first in enumerate(known):
                 if first < doc:
-                    if run is not None and found[3][run] == start + i:
-                        found[3][run] += 1
+                    if run is not None and out[6][run] == start + i:
+                        out[6][run] += 1
                     else:
-                        run = len(found[0])
-                        for column, v in zip(found, (doc, copy, start + i, start + i + 1), strict=True):
-                            column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["doc_id", "copy", "start", "stop"])
-
-
-def _routes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, copy, start, stop, ref_doc, ref_copy, ref_start, block): runs of windows that may stand in an earlier document too, and where; cut at the ends of its blocks of PIECE windows."""
-    seen = _recurring(docs, window, anchor)
-    found = common.map_batches(docs.join(seen, ["doc_id", "copy"]), lambda b: _windows(b, window, anchor), FOUND)
-    least = F.min(F.struct("doc_id", "copy", "start")).over(Window.partitionBy("h1", "h2"))
-    late = found.withColumn("least", least).where("doc_id > least.doc_id or stop > 0")
-    ref = lambda c, own: F.when(F.col("stop") > 0, F.col(c)).otherwise(F.col(f"least.{own}")).alias(c)
-    late = late.select("doc_id", "copy", "start", F.greatest("stop", F.col("start") + 1).alias("stop"), ref("ref_doc", "doc_id"), ref("ref_copy", "copy"), ref("ref_start", "start"))
-    last = F.col("ref_start") + F.col("stop") - F.col("start") - 1
-    cut = late.withColumn("block", F.explode(F.sequence(F.expr(f"ref_start div {PIECE}"), F.floor(last / PIECE))))
-    begin = F.greatest(F.col("ref_start"), F.col("block") * PIECE)
-    end = F.least(F.col("ref_start") + F.col("stop") - F.col("start"), (F.col("block") + 1) * PIECE)
-    shift = F.col("start") - F.col("ref_start")
-    out = common.materialize(cut.select("doc_id", "copy", (begin + shift).alias("start"), (end + shift).alias("stop"), "ref_doc", "ref_copy", begin.alias("ref_start"), "block"), "routes")
-    common.drop(seen)
-    common.release(docs.sparkSession)
-    return out
+                        run = len(out[6])
+                        put(anchor, salts, salt, doc, copy, start + i, start + i + 1, None)
+                elif single:
+                    said = b" ".join(single[i : i + window])
+                    put(anchor, 1, zlib.crc32(said) % (SPREAD * salts), doc, copy, start + i, start + i + 1, said)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if n == "words" else pa.int64()) for n, v in zip(PASSAGE.names, out, strict=True)], names=PASSAGE.names)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64) -> DataFrame:
     """(doc_id, copy, runs): runs (start, stop) of starts of windows whose words also start in a smaller doc_id. ``docs`` are ``_numbered``.
 
-    A shard's automaton is made where its passages are streamed, once for each STREAM windows, so a passage that very many documents
-    share is many tasks'. Repeats inside one document are not looked for; ``remove_repeats`` finds those by itself.
+    An anchor of more than STREAM documents has several automata, to which documents are dealt by their ids. What is new to each of
+    them is then dealt by windows to groups, in which automata tell what is new to all: so neither a passage that very many documents
+    share nor an anchor between very many different words is one task's. Repeats inside one document are not looked for;
+    ``remove_repeats`` finds those by itself.
     """
-    routes = _routes(docs, window, anchor)
-    refs = routes.groupBy("ref_doc", "ref_copy", "block", "ref_start").agg(F.max(F.col("stop") - F.col("start")).alias("n"))
-    shards = 1 + (routes.agg(F.approx_count_distinct(F.xxhash64("ref_doc", "ref_copy", "ref_start"))).first()[0] or 0) // SHARD
-    shard = F.pmod(F.xxhash64("ref_doc", "ref_copy", "block"), F.lit(shards))
-    sizes = common.materialize(routes.groupBy(shard.alias("shard")).agg((1 + F.floor(F.sum(F.col("stop") - F.col("start")) / STREAM)).alias("copies")), "shards")
-    need = lambda df, kind, doc, copy, start, stop, salt: df.withColumn("shard", shard).join(sizes, "shard").select(F.col(doc).alias("doc_id"), F.col(copy).alias("copy"), F.struct(F.lit(kind).cast("long").alias("kind"), start.alias("start"), stop.alias("stop"), "shard", salt.cast("long").alias("salt")).alias("need"))
-    reference = need(refs, 0, "ref_doc", "ref_copy", F.col("ref_start"), F.col("ref_start") + F.col("n"), F.col("copies"))
-    stream = need(routes, 1, "doc_id", "copy", F.col("start"), F.col("stop"), F.pmod(F.xxhash64("doc_id", "copy"), F.col("copies")))
-    needed = reference.union(stream).groupBy("doc_id", "copy").agg(F.collect_list("need").alias("needed"))
-    passages = common.map_batches(docs.join(needed, ["doc_id", "copy"]), lambda b: _passages(b, window), PASSAGE)
-    dealt = passages.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "copy", "start")
-    matched = dealt.mapInArrow(lambda batches: _matched(batches, window), "doc_id long, copy long, start long, stop long")
-    runs = matched.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    out = common.materialize(runs, "repeats")
-    common.drop(routes)
+    def match(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "copy", "start")
+        return dealt.mapInArrow(lambda batches: _matched(batches, window), PASSAGE)
+
+    seen = _recurring(docs, window, anchor, bits)
+    passages = common.map_batches(docs.join(seen, ["doc_id", "copy"]), lambda b: _passages(b, window, anchor, bits), PASSAGE)
+    matched = common.materialize(match(passages), "matched")
+    runs = matched.where("words is null").union(match(matched.where("words is not null")))
+    out = common.materialize(runs.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "repeats")
+    common.drop(seen)
+    common.drop(matched)
     common.release(docs.sparkSession)
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _within_rows(w: Words, window: int, anchor: int, bits: int) -> list[int]:
+    """The windows that start earlier in their own row. Anchors that a row has at several places have an automaton, which knows where words end first."""
+    a = anchors(w.hashes(), window, anchor, bits)
+    start, stop = _stretches(a, w.row, window)
+    if not len(start):
+        return []
+    row, key = w.row[start], a[start]
+    order = np.lexsort((start, key, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+    edges = np.append(np.flatnonzero(new), len(order))
+    # an n-gram that a row has once is in window - anchor + 1 windows next to each other
+    many = (np.diff(edges) > 1) | (np.maximum.reduceat((stop - start)[order], edges[:-1]) > window - anchor + 1)
+    out = []
+    for i, j in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), strict=True):
+        automaton, codes, had, parts = Automaton(), {}, set(), []
+        for k in order[i:j].tolist():
+            s, e = int(start[k]), int(stop[k])
+            said = w.data[w.starts[s] : w.ends[e + window - 2]].tobytes()
+            if said in had:
+                out.extend(range(s, e))
+                continue
+            had.add(said)
+            parts.append((s, [codes.setdefault(x, len(codes)) for x in said.split()]))
+            automaton.add(parts[-1][1], s, 1)
+        for s, part in parts:
+            out.extend(s + n for n, first in automaton.first_docs(part, window) if first < s + n + window - 1)
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed and kept (the words that stay, joined by one space).
 
     Words are runs without ASCII white space. Each word in a window of ``window`` words goes if the window's words also start
@@ -303,25 +302,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     depend on what else is. Null, empty and shorter texts lose nothing. Rows that repeat a doc_id take
     nothing from each other, equal or not: of a window in both, one stays in each. A row without a doc_id loses its own repeats alone.
 
-    Windows that may recur are found by an anchor that equal windows share and by hashes (two of 64 bits, independent of each
-    other), which send passages to the automaton of their first occurrence; there words are compared, so no hash takes a word away.
-    Repeats inside one document are told by both hashes alone. No passage is dropped for being frequent.
+    Equal windows share an anchor, the least hash of their n-grams of ``anchor`` words, which sends their passages to the same suffix
+    automaton; there words are compared. ``bits`` are those of an anchor: with fewer of them, or none, more is compared, and the same comes out.
+    No passage is dropped for being frequent.
     """
     docs = _numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    runs = repeated_windows(docs, window, anchor)
+    runs = repeated_windows(docs, window, anchor, bits)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         lists, total, gone, kept = batch.column(batch.schema.get_field_index("runs")), [], [], []
         for at, part in chunks(batch.column(batch.schema.get_field_index("text"))):
             w = Words(part)
-            h = w.hashes()
             change = np.zeros(len(w) + 1, np.int64)
-            if len(h) >= window:
-                inside = within(w.row, window)
-                s = np.flatnonzero(inside)
-                s = s[_later_in_row(grams(h, window)[s], grams(w.hashes(1), window, 1)[s], w.row[s])]
-                np.add.at(change, s, 1)
-                np.add.at(change, s + window, -1)
+            s = np.array(_within_rows(w, window, anchor, bits), np.int64)
+            np.add.at(change, s, 1)
+            np.add.at(change, s + window, -1)
             for r, x in enumerate(lists.slice(at, len(part))):
                 if x.is_valid and len(x.values):
                     base = w.first[r]

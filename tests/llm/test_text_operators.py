@@ -92,13 +92,30 @@ def test_automaton_knows_all_passages_and_their_first_documents():
             assert a.first_docs(probe, window) == want
 
 
-def test_remove_repeats_with_small_shards(spark, rows, docs, monkeypatch):
-    """Blocks, shards and copies of automata that split passages everywhere give the same."""
-    monkeypatch.setattr(substrings, "PIECE", 7)
-    monkeypatch.setattr(substrings, "SHARD", 5)
-    monkeypatch.setattr(substrings, "STREAM", 10)
-    monkeypatch.setattr(substrings, "REMEMBERED", 300)
-    assert by_id(substrings.remove_repeats(docs), "n_words", "n_removed", "kept") == helpers.kept_words(rows)
+@pytest.mark.parametrize("bits", [64, 3, 0])
+@pytest.mark.parametrize("stream", [4_000, 2])
+def test_remove_repeats_whatever_the_hashes(spark, rows, docs, monkeypatch, bits, stream):
+    """Anchors of few bits or none send all passages to the same automata, and few documents an automaton make several of each: the words decide."""
+    monkeypatch.setattr(substrings, "STREAM", stream)
+    assert by_id(substrings.remove_repeats(docs, bits=bits), "n_words", "n_removed", "kept") == helpers.kept_words(rows)
+
+
+def test_automaton_knows_where_words_end_first():
+    rng = random.Random(9)
+    for _ in range(50):
+        codes = [rng.randrange(2) for _ in range(rng.randint(1, 60))]
+        a = substrings.Automaton()
+        a.add(codes, 100, 1)
+        got = [(i, first - 100) for i, first in a.first_docs(codes, 4)]
+        assert got == [(i, next(k for k in range(len(codes)) if codes[k - 3 : k + 1] == codes[i : i + 4])) for i in range(len(codes) - 3)]
+
+
+def test_remove_repeats_of_a_text_that_repeats_itself(spark, monkeypatch):
+    """One word, a short period and repeated lines over many words, in documents that also share them."""
+    rng = random.Random(4)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(37))
+    rows = [(i, t, None, None, None, None, None, None) for i, t in enumerate(["a " * 4_000, "b a c " * 1_500, (line + "\n") * 60, "x " + line + " y " + "a " * 30, "c b a " * 11 + "z", " ".join(f"u{rng.randrange(3)}" for _ in range(900))])]
+    assert by_id(substrings.remove_repeats(helpers.frame(spark, rows)), "n_words", "n_removed", "kept") == helpers.kept_words(rows)
 
 
 @pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 30])
