@@ -31,9 +31,13 @@ PASSAGE = T.StructType([*(T.StructField(n, T.LongType()) for n in _LONGS), T.Str
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
+def _keys(h: np.ndarray, anchor: int, bits: int) -> np.ndarray:
+    return grams(h, anchor) >> np.uint64(64 - bits) if bits else np.zeros(max(0, len(h) - anchor + 1), np.uint64)
+
+
 def anchors(h: np.ndarray, window: int, anchor: int, bits: int = 64) -> np.ndarray:
     """For each window of word hashes the least hash, of so many bits, of its n-grams. Equal windows have equal anchors; neighbours mostly share one."""
-    g = grams(h, anchor) >> np.uint64(64 - bits) if bits else np.zeros(max(0, len(h) - anchor + 1), np.uint64)
+    g = _keys(h, anchor, bits)
     size = len(h) - window + 1
     if size <= 0:
         return np.empty(0, np.uint64)
@@ -266,17 +270,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
 def _within_rows(w: Words, window: int, anchor: int, bits: int) -> list[int]:
     """The windows that start earlier in their own row. Anchors that a row has at several places have an automaton, which knows where words end first."""
-    a = anchors(w.hashes(), window, anchor, bits)
+    h = w.hashes()
+    a, g = anchors(h, window, anchor, bits), _keys(h, anchor, bits)
     start, stop = _stretches(a, w.row, window)
     if not len(start):
         return []
+    place = lambda at: at + g[at[:, None] + np.arange(window - anchor + 1)].argmin(axis=1)  # noqa: E731 where a window has its anchor first
     row, key = w.row[start], a[start]
     order = np.lexsort((start, key, row))
     new = np.ones(len(order), bool)
     new[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
     edges = np.append(np.flatnonzero(new), len(order))
-    # an n-gram that a row has once is in window - anchor + 1 windows next to each other
-    many = (np.diff(edges) > 1) | (np.maximum.reduceat((stop - start)[order], edges[:-1]) > window - anchor + 1)
+    many = (np.diff(edges) > 1) | np.logical_or.reduceat((place(start) != place(stop - 1))[order], edges[:-1])
     out = []
     for i, j in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), strict=True):
         automaton, codes, had, parts = Automaton(), {}, set(), []

@@ -114,7 +114,7 @@ def test_remove_repeats_of_a_text_that_repeats_itself(spark, monkeypatch):
     """One word, a short period and repeated lines over many words, in documents that also share them."""
     rng = random.Random(4)
     line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(37))
-    rows = [(i, t, None, None, None, None, None, None) for i, t in enumerate(["a " * 4_000, "b a c " * 1_500, (line + "\n") * 60, "x " + line + " y " + "a " * 30, "c b a " * 11 + "z", " ".join(f"u{rng.randrange(3)}" for _ in range(900))])]
+    rows = [(i, t, None, None, None, None, None, None) for i, t in enumerate(["a " * 4_000, "b a c " * 1_500, (line + "\n") * 60, "x " + line + " y " + "a " * 30, "c b a " * 11 + "z", "p q r s t " * 5, "p q r s t " * 4 + "u p", " ".join(f"u{rng.randrange(3)}" for _ in range(900))])]
     assert by_id(substrings.remove_repeats(helpers.frame(spark, rows)), "n_words", "n_removed", "kept") == helpers.kept_words(rows)
 
 
