@@ -316,14 +316,20 @@ def test_licenses(spark):
         "prose here\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "He is a licensed electrician.", None, "", "nothing\n\nhere", "long " * 5000 + "\nThis work is licensed under the GNU General Public License, version 3.",
         f"some code\n\n{MIT}\n\nmore", ISC, "This is free software; you can redistribute it under the Artistic License 2.0.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", AGPL, "Licensed under CC BY-NC 4.0.", "x" * 20000 + " permission",
     ]
+    rng = random.Random(6)
+    around = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
+    texts += [f"{around(n // 3)} Licensed under the Apache License, Version 2.0 {around(n - n // 3)}" for n in (20, 300, 800, 5000)]  # 14 to 17
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, family string")
     scanner = licenses.fit(df)
     print(scanner.report, scanner.threshold)
     rows = licenses.scan(df, scanner).collect()
+    assert scanner.report["candidates"] > 0.95
+    again = licenses.scan(df.where("doc_id = 0").union(df.where("doc_id = 0")).union(df.where("doc_id = 0").withColumn("doc_id", F.lit(None))), scanner).collect()
+    assert [r.doc_id for r in again].count(0) == 2 and [r.doc_id for r in again].count(None) == 1, "repeated rows are scanned each"
     print(*rows, sep="\n")
     assert scanner.report["precision"] >= licenses.PRECISION and scanner.report["recall"] > 0.7 and scanner.report["strange"] > 0.5, scanner.report
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in rows if r.family != "unknown"}
-    assert got == {(0, 1): ("apache-2.0", True), (1, 0): ("mit", True), (6, 1): ("gpl", True), (7, 1): ("mit", True), (11, 0): ("agpl", True), (12, 0): ("cc-by-nc", True)}
+    assert got == {(0, 1): ("apache-2.0", True), (1, 0): ("mit", True), (6, 1): ("gpl", True), (7, 1): ("mit", True), (11, 0): ("agpl", True), (12, 0): ("cc-by-nc", True), **{(i, 0): ("apache-2.0", True) for i in range(14, 18)}}
     assert {8, 9, 10} <= {r.doc_id for r in rows if r.family == "unknown"}, "licences of no known family"
     assert licenses.scan(df.limit(0), scanner).count() == 0
 
