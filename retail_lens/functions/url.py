@@ -81,6 +81,11 @@ def is_ip(h: Column) -> Column:
     return h.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$") | h.rlike(r"^\[?[0-9a-f]*:[0-9a-f:]+\]?$")
 
 
+def is_number(h: Column) -> Column:
+    """Digits and dots alone: an address, or what was meant as one and is none, like 10.0.0.1234; in no case a name."""
+    return h.rlike(r"^[0-9.]+$")
+
+
 def registrable_domain(h: Column) -> Column:
     """The label before the public suffix, with it; under a shared store host or private suffix the subdomain too. A name without a dot stays.
 
@@ -103,7 +108,7 @@ def registrable_domain(h: Column) -> Column:
 def canonical_domain(link: Column) -> Column:
     """The registrable domain of a link; empty if it has none."""
     h = host(normalize_url(link))
-    return F.when(h.contains(".") & ~is_ip(h), registrable_domain(h)).otherwise("")
+    return F.when(h.contains(".") & ~is_ip(h) & ~is_number(h), registrable_domain(h)).otherwise("")
 
 
 def classify(link: Column) -> Column:
@@ -112,7 +117,7 @@ def classify(link: Column) -> Column:
     h = host(u)
     d = registrable_domain(h)
     name = F.substring_index(d, ".", 1)
-    bad = ~F.lower(u).rlike("^https?://") | ~h.contains(".") | is_ip(h) | link.contains("@") | h.rlike(r"[^a-z0-9.-]")
+    bad = ~F.lower(u).rlike("^https?://") | ~h.contains(".") | is_ip(h) | is_number(h) | link.contains("@") | h.rlike(r"[^a-z0-9.-]")
     return F.when(u == "", "no_website").when(bad, "invalid_url").when(d.isin(*SOCIAL_DOMAINS) | name.isin(*SOCIAL), "social_only").when(name.isin(*MARKETS), "marketplace").otherwise("processed")
 
 

@@ -27,6 +27,11 @@ def test_urls(spark):
     assert values(spark, ["https://a.com/", "https://a.com/pages/Wholesale", "https://a.com/products/x", "https://a.com/z"], url.page_kind) == ["home", "wholesale", "product", "other"]
 
 
+def test_numbers_with_dots_are_no_names(spark):
+    assert values(spark, ["http://10.0.0.255", "http://10.0.0.1234", "10.0.0.99999/x", "http://1.2", "http://1.2.3.4.5", "http://12.shop"], url.classify) == ["invalid_url"] * 5 + ["processed"]
+    assert values(spark, ["http://10.0.0.1234", "12.shop"], url.canonical_domain) == ["", "12.shop"]
+
+
 def test_texts(spark):
     assert values(spark, ["The Knit Shop & Co.", "The Shop", None], text.core_name) == ["knit", "theshop", None]
     assert values(spark, ["+1 (239) 555-0101 ", "12"], text.digits) == ["2395550101", "12"]
