@@ -24,14 +24,15 @@ def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], q: int)
 
     A needle is sought through the one of its q-grams that is in the fewest haystacks of its keys; one with a q-gram that none has is in none, and goes at
     once. The gram of a join is thus as rare as can be, a gram that many have is split by Spark like any skewed key, and no two sides meet without one.
+    All sides grow with the tables, so all are merged: a broadcast of one, however small it looks packed, goes through the driver.
     """
     hay = haystacks.where(F.length("haystack") >= q).select(*keys, "haystack").distinct().select(*keys, "haystack", F.explode(_grams(F.col("haystack"), q)).alias("gram"))
     need = needles.where(F.length("needle") >= q).select(*keys, "needle").distinct().withColumn("grams", _grams(F.col("needle"), q))
     counts = hay.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-    each = need.select(*keys, "needle", F.size("grams").alias("all"), F.explode("grams").alias("gram")).join(counts, [*keys, "gram"])
+    each = need.select(*keys, "needle", F.size("grams").alias("all"), F.explode("grams").alias("gram")).join(counts.hint("merge"), [*keys, "gram"])
     rare = each.groupBy(*keys, "needle", "all").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("rarest")).where("found = all")
     sought = rare.select(*keys, "needle", F.col("rarest.gram").alias("gram"))
-    return sought.join(hay, [*keys, "gram"]).where(F.contains("haystack", "needle")).select(*keys, "needle", "haystack")
+    return sought.hint("merge").join(hay, [*keys, "gram"]).where(F.contains("haystack", "needle")).select(*keys, "needle", "haystack")
 
 
 def _by_place(customers: DataFrame) -> DataFrame:
@@ -61,11 +62,11 @@ def by_name(stores: DataFrame, customers: DataFrame) -> DataFrame:
     others = customers.where((F.length("other") >= INSIDE) & F.col("c_state").isNotNull()).select(F.col("c_state").alias("state"), "other").distinct()
     inside = contained(others.withColumnRenamed("other", "needle"), labels.withColumnRenamed("label", "haystack"), ["state"], INSIDE).select("state", F.col("haystack").alias("label"), F.col("needle").alias("other"))
     around = contained(labels.withColumnRenamed("label", "needle"), others.withColumnRenamed("other", "haystack"), ["state"], LEAST).select("state", F.col("needle").alias("label"), F.col("haystack").alias("other"))
-    pairs = asked.join(inside.unionByName(around).where("label <> other").distinct(), ["state", "label"]).withColumn("how", F.lit("name+state"))
+    pairs = asked.join(inside.unionByName(around).where("label <> other").distinct().hint("merge"), ["state", "label"]).withColumn("how", F.lit("name+state"))
     sought = same.withColumn("in_state", F.explode(_permitted("state", "state", "c_state"))).unionByName(pairs.withColumn("in_state", F.struct(F.lit(False).alias("any_state"), F.col("state").alias("c_state"))))
     sought = sought.withColumn("in_postal", F.explode(_permitted("postal", "postal", "c_postal"))).select("label", "state", "postal", "how", "other", "in_state.*", "in_postal.*")
     on = reduce(lambda a, b: a & b, [sought[c].eqNullSafe(places[c]) for c in ("other", "any_state", "c_state", "any_postal", "c_postal")])
-    best = sought.join(places, on).groupBy(sought["label"], sought["state"], sought["postal"]).agg(F.min(F.struct(places["seq"].alias("seq"), sought["how"].alias("how"))).alias("m"))
+    best = sought.join(places.hint("merge"), on).groupBy(sought["label"], sought["state"], sought["postal"]).agg(F.min(F.struct(places["seq"].alias("seq"), sought["how"].alias("how"))).alias("m"))
     return best.select("label", "state", "postal", "m.seq", "m.how")
 
 
@@ -80,11 +81,11 @@ def match(stores: DataFrame, customers: DataFrame) -> DataFrame:
     name = known(F.col("name"))
     s = stores.select("store_id", known(F.col("domain")).alias("domain"), F.coalesce(text.core_name(name), text.domain_core(known(F.col("domain")))).alias("label"), "phones", known(F.col("state")).alias("state"), known(F.left("postal", F.lit(5))).alias("postal"))
     c = customers.select("seq", known(F.col("domain")).alias("domain"), text.digits(F.col("phone")).alias("phone"), text.core_name(F.col("name")).alias("other"), known(F.col("state")).alias("c_state"), known(F.left("postal", F.lit(5))).alias("c_postal"))
-    domains = s.select("store_id", "domain").join(c.groupBy("domain").agg(F.min("seq").alias("seq")), "domain")
-    phones = s.select("store_id", F.explode("phones").alias("phone")).select("store_id", text.digits(F.col("phone")).alias("phone")).where(F.length("phone") == 10).join(c.groupBy("phone").agg(F.min("seq").alias("seq")), "phone")
+    domains = s.select("store_id", "domain").join(c.groupBy("domain").agg(F.min("seq").alias("seq")).hint("merge"), "domain")
+    phones = s.select("store_id", F.explode("phones").alias("phone")).select("store_id", text.digits(F.col("phone")).alias("phone")).where(F.length("phone") == 10).join(c.groupBy("phone").agg(F.min("seq").alias("seq")).hint("merge"), "phone")
     names = by_name(s, c)
     on = reduce(lambda a, b: a & b, [s[k].eqNullSafe(names[k]) for k in ("label", "state", "postal")])
-    named = s.join(names, on).select("store_id", "seq", "how")
+    named = s.join(names.hint("merge"), on).select("store_id", "seq", "how")
     tier = lambda df, n, how: df.select("store_id", F.struct(F.lit(n).alias("tier"), "seq", how.alias("how")).alias("m"))
     tiers = tier(domains, 1, F.lit("domain")).unionAll(tier(phones, 2, F.lit("phone"))).unionAll(tier(named, 3, F.col("how")))
     return tiers.groupBy("store_id").agg(F.min("m").alias("m")).select("store_id", "m.seq", "m.how")
@@ -110,4 +111,4 @@ def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = customers.where(F.length("other") >= LEAST).groupBy("other", "c_state", "c_postal").agg(F.min("seq").alias("seq"))  # one row a word and place
     names = by_name(stores, customers)
     on = reduce(lambda a, b: a & b, [stores[k].eqNullSafe(names[k]) for k in ("label", "state", "postal")])
-    return stores.join(names, on).select(F.col("store_id").alias("page_id"), "seq", "how")
+    return stores.join(names.hint("merge"), on).select(F.col("store_id").alias("page_id"), "seq", "how")

@@ -89,3 +89,9 @@ def test_contained_names_are_found_by_keys_alone(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", "abcdef", "abcdef"), ("a", "abcdef", "xxabcdefgxx"), ("a", "bcdefg", "xxabcdefgxx")]
     f = facts(found)
     assert f.products == 0 and f.python == 0
+
+
+def test_no_side_of_the_match_goes_through_the_driver(spark):
+    stores, customers = spark.createDataFrame([(1, "a.com", "Martins", ["615 555 0101"], "NY", "10001")], S), spark.createDataFrame([(1, "a.com", "615 555 0101", "Martins", "NY", "10001")], C)
+    plan = matching.match(stores, customers)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
