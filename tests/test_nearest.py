@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from retail_lens.operators import customers
 from retail_lens.operators import nearest as op
 from retail_lens.plans.facts import facts
 
@@ -70,3 +71,13 @@ def test_a_query_meets_few_nodes_and_no_join_is_without_keys(spark):
     assert facts(op._spots(points)).products == 0
     plan = op._spots(points)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # ranks are cut before the shuffle, and after
+
+
+def test_places_that_many_share_meet_once(spark):
+    """40 x 3,000 shops and people in a few places: pairs are of places, and every row counts."""
+    shops = spark.range(40).select("id", (30 + F.col("id") % 4 / 10).alias("lat"), F.lit(-100.0).alias("lng"))
+    people = spark.range(3000).select((30 + F.col("id") % 3).alias("c_lat").cast("double"), F.when(F.col("id") % 3 < 2, -100.0).alias("c_lng"))
+    got = customers.nearby(shops, people, 15.0)
+    assert sorted((r.id, r.within, round(r.nearest, 1)) for r in got.collect()) == [(i, 1000, round(i % 4 * 6.90943, 1)) for i in range(40) if i % 4 < 3]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.find("count(1) AS n") > plan.find("Join Inner, ((row")  # people are counted below the join of cells
