@@ -76,7 +76,7 @@ def nearest_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 def territory_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores with a customer in the radius are near, stores without a place unknown, and the rest open."""
     shops, people = _places(spark, sf_dir)
-    near = within_radius(shops, people, RULES.near_miles).select("domain").distinct().withColumn("near", F.lit(True))
+    near = nearby(shops, people, RULES.near_miles).select("domain").distinct().withColumn("near", F.lit(True))
     bucket = F.when(F.col("s_suppkey") % 13 == 0, "unknown").when(F.col("near"), "near").otherwise("open")
     return stores(spark, sf_dir).join(near, "domain", "left").groupBy(bucket.alias("territory")).agg(F.count("*").alias("stores"))
 
