@@ -85,7 +85,7 @@ def territory_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locator_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a store stands at a customer's door, is to be checked by name, is near one, or in the open."""
     shops, people = _places(spark, sf_dir)
-    m = within_radius(shops, people, RULES.near_miles).groupBy("domain").agg(F.bool_or(F.col("miles") <= 1).alias("same"))
+    m = nearby(shops, people, RULES.near_miles).groupBy("domain").agg((F.min("nearest") <= 1).alias("same"))
     named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), "c_nationkey")
     check = F.col("s_suppkey") % 10 == F.col("c_nationkey") % 10
     return stores(spark, sf_dir).join(m, "domain", "left").join(named, "s_suppkey", "left").select("domain", F.when(F.col("same"), "same").when(check, "check").when(F.col("same").isNotNull(), "near").otherwise("open").alias("grp"))
