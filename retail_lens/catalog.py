@@ -25,15 +25,23 @@ class Rules:
 
 
 RULES = Rules()
+#: Rows that one task groups.
+TASK_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``keys`` to tasks of about TASK_ROWS rows each: a task that groups or sorts them needs no more memory when there are more of them."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def listings(spark: SparkSession, sf_dir: str, rules: Rules = RULES) -> DataFrame:
     """One row a (store, part): aggregated on the fact table first, so the joins see listings and not order lines."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("discount"), F.max("l_shipdate").alias("launched"), F.count("*").alias("lines"))
+    lines = table(spark, sf_dir, "lineitem")
+    line = dealt(lines, lines.count(), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("discount"), F.max("l_shipdate").alias("launched"), F.count("*").alias("lines"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), F.col("p_type").alias("product_type"), F.col("p_retailprice").alias("price"))
     store = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lower("s_name").alias("domain"))
     kind = F.when(F.col("title").rlike(rules.garments), "garment").when(F.col("title").rlike(rules.accessories), "accessory").otherwise("")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import LISTINGS_SQL, RULES, STORES_SQL, listings, stores, table
+from ..catalog import LISTINGS_SQL, RULES, STORES_SQL, dealt, listings, stores, table
 from ..functions.geo import EARTH_MILES, haversine_miles
 from ..registry import query
 
@@ -166,5 +166,7 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LISTINGS_SQL}, d AS (SELECT domain, vendor, title, product_type, listing_id, row_number() OVER (PARTITION BY domain, vendor, lower(title), product_type ORDER BY listing_id) AS k FROM listings) SELECT domain, vendor, title, product_type, listing_id FROM d WHERE k = 1")
 def composite_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first listing of each (store, vendor, title, type)."""
-    d = listings(spark, sf_dir).groupBy("domain", "vendor", F.lower("title").alias("key"), "product_type").agg(F.min(F.struct("listing_id", "title")).alias("first"))
+    keyed = listings(spark, sf_dir).select("domain", "vendor", "title", F.lower("title").alias("key"), "product_type", "listing_id")
+    each = dealt(keyed, table(spark, sf_dir, "lineitem").count(), "domain", "vendor", "key", "product_type")
+    d = each.groupBy("domain", "vendor", "key", "product_type").agg(F.min(F.struct("listing_id", "title")).alias("first"))
     return d.select("domain", "vendor", F.col("first.title").alias("title"), "product_type", F.col("first.listing_id").alias("listing_id"))

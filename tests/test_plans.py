@@ -2,7 +2,7 @@
 
 import pytest
 
-from retail_lens import registry
+from retail_lens import catalog, registry
 from retail_lens.plans.facts import facts
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,9 @@ def test_no_window_holds_all_rows_of_brands_or_stores(spark):
     for name in ("brand_rank", "quartiles_exclusive", "describe"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "collect_list(price" not in plan and "percentile(" not in plan, name
+
+
+def test_tasks_that_group_listings_have_bounded_rows(spark):
+    """Both steps that group rows as many as lines deal them by a number of rows a task, which neither Spark's coalescing nor the size of the tables changes."""
+    assert catalog.dealt(spark.range(10), 40 * catalog.TASK_ROWS + 1, "id").rdd.getNumPartitions() == 41
+    assert registry.queries()["composite_dedupe"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
