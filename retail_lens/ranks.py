@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .catalog import TASK_ROWS, dealt
+from .scratch import drop, saved
 
 
 def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -15,15 +16,19 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Counts combine before the shuffle. They are range-partitioned by group and value, which Spark balances by a sample, and written down with their partition:
     a span. Running sums are made in each span, and the spans of a group, of which there are as many as partitions at most, are summed before them. Null values count for nothing.
+    Counts are written down first, so their number is known and a span has about TASK_ROWS of them, however many there are.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    spans = saved(counts.repartitionByRange(*keys, value).withColumn("span", F.spark_partition_id()), "spans")
+    counts = saved(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), "counts")
+    rows = counts.count()
+    spans = saved(counts.repartitionByRange(-(-rows // TASK_ROWS) or 1, *keys, value).withColumn("span", F.spark_partition_id()), "spans")
+    drop(counts)
     own = spans.groupBy(*keys, "span").agg(F.sum("n").alias("own"))
     group = Window.partitionBy(*keys)
     own = own.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("span").alias("_span"), F.sum("own").over(group).alias("total"), (F.sum("own").over(group.orderBy("span")) - F.col("own")).alias("start"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("span") == F.col("_span"))
     inside = F.sum("n").over(Window.partitionBy(*keys, "span").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return spans.join(own, on).withColumn("before", F.col("start") + inside).select(*keys, value, "n", "before", "total")
+    summed = dealt(spans, rows, *keys, "span").withColumn("inside", inside)
+    return summed.join(own, on).withColumn("before", F.col("start") + F.col("inside")).select(*keys, value, "n", "before", "total")
 
 
 def at(value: str, place: Column) -> Column:

@@ -63,3 +63,15 @@ def test_no_rows_and_no_list_of_a_group(spark):
     assert "collect_list" not in plan and "collect_set" not in plan
     spans = [line for line in plan.splitlines() if "Window" in line and "span" not in line]
     assert all("own" in line for line in spans)  # only the spans' sums meet by group alone
+
+
+def test_spans_have_bounded_rows_however_many_there_are(spark, monkeypatch):
+    """One group of 400 values in spans of about 20, more than the session has shuffle partitions."""
+    from retail_lens import ranks
+
+    monkeypatch.setattr(ranks, "TASK_ROWS", 20)
+    seen, saved = [], ranks.saved
+    monkeypatch.setattr(ranks, "saved", lambda df, name: seen.append((name, saved(df, name))) or seen[-1][1])
+    r = ranks.ranked(spark.range(800).selectExpr("'g' AS g", "id % 400 AS v"), ["g"], "v").collect()
+    assert sorted((x.v, x.n, x.before, x.total) for x in r) == [(i, 2, 2 * i, 800) for i in range(400)]
+    assert dict(seen)["spans"].select("span").distinct().count() > 10
