@@ -340,3 +340,11 @@ def test_held_out_is_a_fifth_by_checksum(spark):
     got = spark.range(200).select("id", language.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2('', 256)").first()[0]
+
+
+def test_the_model_is_asked_about_every_window(spark):
+    """No list of words stands before the model: without any, the same is found."""
+    df = spark.createDataFrame([(1, "Released under the MIT License.\nnothing here"), (2, "--- !!!"), (3, None)], "doc_id long, text string")
+    scanner = licenses.fit(df.where("false"))
+    scanner.heavy = ["zzzz"]
+    assert [(r.doc_id, r.paragraph, r.family) for r in licenses.scan(df, scanner).where("family = 'mit'").collect()] == [(1, 0, "mit")]
