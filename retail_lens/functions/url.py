@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # A part of the public suffix list, as that writes its rules: suffixes of two labels, wildcards and exceptions. Other last labels are suffixes by themselves.
 PUBLIC_SUFFIXES = (
     "com.ar", "edu.ar", "gob.ar", "net.ar", "org.ar", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "com.br", "edu.br", "gov.br", "net.br", "org.br", "*.ck", "!www.ck", "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
@@ -91,7 +93,10 @@ def registrable_domain(h: Column) -> Column:
 
     By the built-in rules alone; ``suffixes.owned_domains`` takes any list.
     """
-    labels = F.split(h, r"\.")
+    return let(h, lambda name: let(F.split(name, r"\."), lambda labels: _registrable(name, labels)))
+
+
+def _registrable(h: Column, labels: Column) -> Column:
     tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
     at_least = lambda n: F.size(labels) >= n
     named = lambda mark: [r.removeprefix(mark) for r in PUBLIC_SUFFIXES if r.startswith(mark)]
@@ -107,15 +112,15 @@ def registrable_domain(h: Column) -> Column:
 
 def canonical_domain(link: Column) -> Column:
     """The registrable domain of a link; empty if it has none."""
-    h = host(normalize_url(link))
-    return F.when(h.contains(".") & ~is_ip(h) & ~is_number(h), registrable_domain(h)).otherwise("")
+    return let(host(normalize_url(link)), lambda h: F.when(h.contains(".") & ~is_ip(h) & ~is_number(h), registrable_domain(h)).otherwise(""))
 
 
 def classify(link: Column) -> Column:
     """no_website, invalid_url, social_only, marketplace or processed."""
-    u = normalize_url(link)
-    h = host(u)
-    d = registrable_domain(h)
+    return let(normalize_url(link), lambda u: let(host(u), lambda h: let(registrable_domain(h), lambda d: _classified(link, u, h, d))))
+
+
+def _classified(link: Column, u: Column, h: Column, d: Column) -> Column:
     name = F.substring_index(d, ".", 1)
     bad = ~F.lower(u).rlike("^https?://") | ~h.contains(".") | is_ip(h) | is_number(h) | link.contains("@") | h.rlike(r"[^a-z0-9.-]")
     return F.when(u == "", "no_website").when(bad, "invalid_url").when(d.isin(*SOCIAL_DOMAINS) | name.isin(*SOCIAL), "social_only").when(name.isin(*MARKETS), "marketplace").otherwise("processed")
@@ -176,15 +181,16 @@ def on_domain(h: Column, domain: Column) -> Column:
 
 def store_website(url: Column, exclude: tuple[str, ...] = ()) -> Column:
     """The domain of a store's own website; empty for profiles, marketplaces, directories, public bodies and excluded domains."""
-    d = canonical_domain(url)
-    body = F.regexp_replace(d, r"^[^.]*", "").isin(*PUBLIC_BODIES) | d.rlike("|".join(b.replace(".", r"\.") + "$" for b in PUBLIC_BODIES))
-    return F.when((classify(url) == "processed") & ~d.isin(*DIRECTORIES, *exclude) & ~body, d).otherwise("")
+    def own(d: Column) -> Column:
+        body = F.regexp_replace(d, r"^[^.]*", "").isin(*PUBLIC_BODIES) | d.rlike("|".join(b.replace(".", r"\.") + "$" for b in PUBLIC_BODIES))
+        return F.when((classify(url) == "processed") & ~d.isin(*DIRECTORIES, *exclude) & ~body, d).otherwise("")
+
+    return let(canonical_domain(url), own)
 
 
 def site_domain(website: Column) -> Column:
     """The domain of a website, unless it is a listing or profile."""
-    d = canonical_domain(website)
-    return F.when(d.isin(*NOT_A_SITE), "").otherwise(d)
+    return let(canonical_domain(website), lambda d: F.when(d.isin(*NOT_A_SITE), "").otherwise(d))
 
 
 def server_network(ip: Column) -> Column:
@@ -196,16 +202,18 @@ def server_network(ip: Column) -> Column:
 
 def social_profile(value: Column, network: Column) -> Column:
     """struct(network, key, url) of a profile link, or of a bare handle on a known ``network``; null for posts, groups, share links and all else."""
+    whole = lambda t: F.when(t.contains("//"), t).otherwise(F.concat(F.lit("https://"), t))
+    parts = lambda full: F.filter(F.split(path(full), "/"), lambda x: x != "")
+    return let(F.trim(value), lambda t: let(whole(t), lambda full: let(parts(full), lambda seg: let(F.lower(F.get(seg, F.lit(0))), lambda first: _profile(t, network, full, seg, first)))))
+
+
+def _profile(t: Column, network: Column, full: Column, seg: Column, first: Column) -> Column:
     made = lambda n, key, url: F.struct(n.alias("network"), key.alias("key"), url.alias("url"))
-    t = F.trim(value)
     handle = F.regexp_replace(t, "^@+", "")
     bare = (network != "") & t.rlike(r"^@?[\w.\-]{2,60}$") & ~F.lower(t).rlike(r"\.(com|net|org|co|me)$")
     from_handle = F.when(network == "instagram", made(network, F.lower(handle), F.concat(F.lit("https://www.instagram.com/"), F.lower(handle), F.lit("/")))).otherwise(made(network, F.lower(handle), F.concat(F.lit("https://www.facebook.com/"), handle)))
-    full = F.when(t.contains("//"), t).otherwise(F.concat(F.lit("https://"), t))
     h = F.regexp_replace(host(full), r"^(www|m|web|l|business)\.", "")
-    seg = F.filter(F.split(path(full), "/"), lambda x: x != "")
     raw = F.get(seg, F.lit(0))
-    first = F.lower(raw)
     insta = F.when(raw.rlike(r"^[\w.]{1,40}$") & ~first.isin(*NOT_A_PROFILE["instagram"]), made(F.lit("instagram"), first, F.concat(F.lit("https://www.instagram.com/"), first, F.lit("/"))))
     ident = F.regexp_extract(full, r"[?&]id=([^&#]+)", 1)
     paged = F.slice(seg, 1, F.when(first == "p", 2).otherwise(3))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import dealt, table
 from ..functions.place import infer_country, state_code
 from ..functions.text import name_key, plain_key
 from ..functions.url import canonical_domain, origin, social_profile, store_website
@@ -33,20 +33,23 @@ def identified(sightings: DataFrame, countries: tuple[str, ...], exclude: tuple[
     Left out: blank names, places closed for good, places of a known country that is not among ``countries``, excluded domains, and those without a key.
     """
     t = sightings.select("seq", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in COLUMNS))
+    t = t.where((F.trim("name") != "") & (F.col("business_status") != "CLOSED_PERMANENTLY"))
     linked = social_profile(F.col("website"), F.lit(""))  # a website that is really a profile
     given = lambda network: F.when((F.col(network) == "") & (F.col("linked.network") == network), F.col("linked.url")).otherwise(F.col(network))
     t = t.withColumn("linked", linked).withColumns({"country": infer_country(F.col("country"), F.col("state"), F.col("postal_code")), **{f"{n}_at": social_profile(given(n), F.lit(n)) for n in ("instagram", "facebook")}})
     abroad = (F.col("country") != "") & ~F.col("country").isin(*countries)
     barred = (F.col("website") != "") & F.col("linked").isNull() & canonical_domain(F.col("website")).isin(*exclude)
-    t = t.where((F.trim("name") != "") & (F.col("business_status") != "CLOSED_PERMANENTLY") & ~abroad & ~barred).withColumn("site", store_website(F.col("website"), exclude))
     region = F.coalesce(_filled(state_code(F.col("state"))), _filled(F.col("state")), F.col("country"))
-    place = lambda what: F.concat(F.lit("place:"), name_key(F.col("name")), F.lit("|"), what, F.lit("|"), region)
+    t = t.withColumns({"counts": ~abroad & ~barred, "site": store_website(F.col("website"), exclude), "region": region, "called": name_key(F.col("name"))})
+    place = lambda what: F.concat(F.lit("place:"), "called", F.lit("|"), what, F.lit("|"), "region")
     keys = F.array_compact(F.array(
         F.when(F.col("site") != "", F.concat(F.lit("site:"), "site")), F.concat(F.lit("in:"), "instagram_at.key"), F.concat(F.lit("fa:"), "facebook_at.key"),
         F.when(F.col("postal_code") != "", place(F.left("postal_code", F.lit(5)))), F.when(F.col("city") != "", place(plain_key(F.col("city"))))))
     rank = F.coalesce(*(F.when(F.col("source") == s, r) for s, r in NAME_RANK.items()), F.lit(LAST_RANK))
     kept = t.withColumns({"keys": keys, "rank": rank, "name": F.trim("name"), "note": F.left(F.trim("note"), F.lit(NOTE_CHARS)), "instagram": F.col("instagram_at.url"), "facebook": F.col("facebook_at.url")})
-    return kept.where(F.size("keys") > 0).drop("linked", "instagram_at", "facebook_at", "business_status")
+    # written down before it is asked whether they count: Spark moves a filter below the columns that it reads, with all that they are made of put in by copy
+    known = saved(kept.drop("linked", "instagram_at", "facebook_at", "business_status", "region", "called"), "sightings")
+    return known.where(F.col("counts") & (F.size("keys") > 0)).drop("counts")
 
 
 def first_seen(rows: DataFrame, value: str, most: int | None) -> DataFrame:
@@ -120,7 +123,7 @@ def merge(sightings: DataFrame, countries: tuple[str, ...], exclude: tuple[str,
     first 8, notes the first 4, each once in order of sight. What a store has is folded with minima that combine before rows meet, so a store that very many sightings are of is
     no one task's; its buildings are rows of ``locations``, as there may be any number. Empty sightings give empty tables.
     """
-    kept = saved(identified(sightings, countries, exclude), "sightings")
+    kept = identified(sightings, countries, exclude)
     rows = saved(kept.join(resolve(kept, "seq", "keys"), "seq"), "labelled")
     drop(kept)
     first = lambda c, when=None: F.min(F.when(F.col(c) != "" if when is None else when, F.struct("seq", F.col(c).alias("v"))))["v"]
@@ -186,6 +189,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY "at", building) A
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    k = dealt(k, k.count(), "k")  # a file that is small may be one task's, and what is asked of a sighting is much
     return k.select(F.col("k").alias("seq"), *(F.expr(v).alias(c) for c, v in _SIGHTING.items()))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from retail_lens.functions import url
 from retail_lens.operators import merge as op
 
 SCHEMA = "seq long, " + ", ".join(f"{c} string" for c in op.COLUMNS)
@@ -58,3 +59,15 @@ def test_no_sightings_and_one_store_of_very_many(spark):
     assert stores.count() == 3001 and places.count() == 3750
     rows = many.select("seq", (F.col("seq") % 3).alias("store"), "query")
     assert op.first_seen(rows, "query", 8)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_urls_are_read_once_however_functions_are_nested(spark):
+    """What a function makes of a url is bound, not put in by copy, so one inside another adds to it and doesn't multiply it."""
+    df = spark.createDataFrame([("https://www.Instagram.com/Handle/",), ("shop.co.uk/x",), (None,)], "u string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    once = url.social_profile(F.col("u"), F.lit(""))
+    twice = url.social_profile(F.coalesce(once["url"], F.col("u")), F.lit(""))
+    assert plan(twice).count("regexp_") <= 3 * plan(once).count("regexp_")
+    assert plan(url.store_website(F.col("u"))).count("regexp_") <= 20
+    assert [r[0] for r in df.select(twice["key"]).collect()] == ["handle", None, None]
+    assert [r[0] for r in df.select(url.store_website(F.col("u"))).collect()] == ["", "shop.co.uk", ""]
