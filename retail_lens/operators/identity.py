@@ -34,22 +34,30 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
 def resolve(sightings: DataFrame, seq: str, keys: str) -> DataFrame:
     """(seq, store): store is the smallest seq that shared keys lead to.
 
-    Labels and keys exchange minima: a key takes the least label of its sightings, a sighting the least of its keys. Labels
-    also jump to their label's label, so that long chains end in a logarithmic number of rounds. Minima combine before the
-    shuffle, so a key that very many sightings have is no one task's.
+    A key stands for the first sighting that has it, and a sighting ties the keys that it has to the first of these. Sightings are met but
+    twice for that; the rounds run over the different ties alone, of which there are few where many sightings have the same keys. There each
+    takes the least label of those it is tied to, and jumps to that label's label, so that long chains end in a logarithmic number of
+    rounds. Minima combine before the shuffle, so a key that very many sightings have is no one task's.
     """
     links = _saved(sightings.select(F.col(seq).alias("seq"), F.explode(keys).alias("key")).where("key is not null and key <> ''").distinct(), "links")
-    labels = _saved(sightings.select(F.col(seq).alias("seq"), F.col(seq).alias("store")).distinct(), "labels")
+    by_key = _saved(links.groupBy("key").agg(F.min("seq").alias("node")), "by-key")
+    at = _saved(links.join(by_key, "key").select("seq", "node").distinct(), "nodes")
+    hubs = _saved(at.groupBy("seq").agg(F.min("node").alias("hub")), "hubs")
+    ties = at.join(hubs, "seq").where("node <> hub").select("hub", "node").distinct()
+    ties = _saved(ties.select(F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hub").alias("b")))).alias("t")).select("t.a", "t.b").distinct(), "ties")
+    labels = _saved(ties.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
     while True:
-        by_key = _saved(links.join(labels, "seq").groupBy("key").agg(F.min("store").alias("store")), "by-key")
-        least = links.join(by_key, "key").groupBy("seq").agg(F.min("store").alias("least"))
-        near = labels.join(least, "seq", "left").select("seq", "store", F.coalesce("least", "store").alias("least"))
-        hop = labels.select(F.col("seq").alias("least"), F.col("store").alias("jump"))
-        new = _saved(near.join(hop, "least", "left").select("seq", "store", F.least("least", F.coalesce("jump", "least")).alias("new")), "labels")
-        changed = not new.where("new < store").isEmpty()
-        labels = new.select("seq", F.col("new").alias("store"))
+        least = ties.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
+        near = labels.join(least, "node").select("node", "label", F.least("label", "least").alias("least"))
+        hop = labels.select(F.col("node").alias("least"), F.col("label").alias("jump"))
+        new = _saved(near.join(hop, "least").select("node", "label", F.least("least", "jump").alias("new")), "labels")
+        changed = not new.where("new < label").isEmpty()
+        labels = new.select("node", F.col("new").alias("label"))
         if not changed:
-            return labels
+            break
+    of_hub = hubs.join(labels.select(F.col("node").alias("hub"), "label"), "hub", "left").select("seq", F.coalesce("label", "hub").alias("found"))
+    every = sightings.select(F.col(seq).alias("seq")).distinct()
+    return _saved(every.join(of_hub, "seq", "left").select("seq", F.coalesce("found", "seq").alias("store")), "labels")
 
 
 _KEYS = "['site:' || CAST(c_custkey // 3 AS VARCHAR), CASE WHEN c_custkey % 7 = 0 THEN 'in:' || CAST(c_custkey % 49 AS VARCHAR) END, CASE WHEN c_custkey % 100 = 3 THEN 'place:' || CAST(c_nationkey AS VARCHAR) END]"

@@ -1,8 +1,11 @@
 """Merged sightings, case by case, and one store that has very many."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from retail_lens.functions import url
+from retail_lens.operators import identity
 from retail_lens.operators import merge as op
 
 SCHEMA = "seq long, " + ", ".join(f"{c} string" for c in op.COLUMNS)
@@ -71,3 +74,36 @@ def test_urls_are_read_once_however_functions_are_nested(spark):
     assert plan(url.store_website(F.col("u"))).count("regexp_") <= 20
     assert [r[0] for r in df.select(twice["key"]).collect()] == ["handle", None, None]
     assert [r[0] for r in df.select(url.store_website(F.col("u"))).collect()] == ["", "shop.co.uk", ""]
+
+
+def test_stores_equal_a_union_of_keys_and_rounds_see_different_ties_alone(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), [rng.choice([None, "", *(f"k{j}" for j in range(220))]) for _ in range(rng.randrange(4))]) for _ in range(260)] + [(1000, None), (1001, [])]
+    rows += [(2000 + i, ["chain", f"town{i % 3}"]) for i in range(3000)] + [(9000 - i, [f"link{i}", f"link{i + 1}"]) for i in range(40)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for seq, keys in rows:
+        root(seq)
+        for k in keys or ():
+            if k:
+                up[root(k)] = root(seq)
+    least = {}
+    for seq, _ in rows:
+        least[root(seq)] = min(seq, least.get(root(seq), seq))
+    written, save = [], identity._saved
+
+    def counted(df, name):
+        out = save(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(identity, "_saved", counted)
+    got = identity.resolve(spark.createDataFrame(rows, "seq long, keys array<string>").repartition(3), "seq", "keys").collect()
+    assert sorted((r.seq, r.store) for r in got) == sorted({(seq, least[root(seq)]) for seq, _ in rows})
+    rounds = [n for name, n in written[:-1] if name == "labels"]
+    assert max(rounds) < 300, "3,000 sightings with the same keys are no more work in a round than one"
