@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, StringIndexer
+from pyspark.ml.feature import HashingTF, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +82,11 @@ PHRASES = ("available under {}", "is covered by the {}", "subject to the {}", "t
 #: Prose with one of these words is no example of paragraphs without a licence. Only training asks for them.
 DOUBTFUL = r"(?i)licen[sc]e|copyright|copyleft|permission|redistribut|warrant|\bgpl|\bgnu\b|\bapache\b|(?-i:\bMIT\b)|\bbsd\b|mozilla|creative commons|\bcc0?\b|public domain"
 WORD = r"[^\p{L}\p{N}]+"
+#: Words, pairs and triples, the same strings as NGram's; pairs are a lambda's variable, as an alias would be put by copy into a filter over the model's answer.
+GRAMS = (
+    "transform(array(zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, size(words)), (a, b) -> concat(a, ' ', b))), g ->"
+    " concat(words, g, zip_with(slice(g, 1, greatest(size(g) - 1, 0)), slice(words, 3, size(words)), (a, b) -> concat(a, ' ', b))))[0]"
+)
 HASHES = 1 << 14
 #: Words of a window of a long paragraph, and from one window to the next; what is no longer than their difference is whole in one window.
 SPAN, STEP = 80, 40
@@ -94,7 +99,8 @@ PRECISION = 0.95
 CONFIRM = 0.7
 #: What a source file puts before a comment's lines; and where a line goes on in the next: it is long, does not end a sentence, and the next starts in lower case, or it ends in a word that a sentence goes on after.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+)(?:[ \t]|$)"
-WRAP = r"(?<=[^\n]{40})(?<![.!?:])[ \t]*\n[ \t]*(?=[\p{Ll}(\"'])|(?<=[^\n]{40})(?<=\b(?:the|of|a|an|and|or|under|by|in|to|with|for|this))[ \t]*\n[ \t]*(?=\p{Lu})"
+#: The line's end is asked for first: what stands before is looked at there alone, and not at every character.
+WRAP = r"(?=[ \t]*\n)(?:(?<=[^\n]{40})(?<![.!?:])[ \t]*\n[ \t]*(?=[\p{Ll}(\"'])|(?<=[^\n]{40})(?<=\b(?:the|of|a|an|and|or|under|by|in|to|with|for|this))[ \t]*\n[ \t]*(?=\p{Lu}))"
 
 
 def paragraphs(text: Column) -> Column:
@@ -156,12 +162,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int
     ``fit_docs`` documents, chosen by a hash of ``key``; with no documents the fixed texts alone are learned.
     """
     rows = common.materialize(_training(docs, text, key, fit_docs).withColumn("words", words_of(F.col("paragraph"))), "licence-training").coalesce(1)
-    grams = [NGram(n=n, inputCol="words", outputCol=f"g{n}") for n in (2, 3)]
-    together = SQLTransformer(statement="SELECT *, concat(words, g2, g3) AS grams FROM __THIS__")
+    together = SQLTransformer(statement=f"SELECT *, {GRAMS} AS grams FROM __THIS__")
     hashed = HashingTF(numFeatures=HASHES, binary=True, inputCol="grams", outputCol="features")
     labels = StringIndexer(inputCol="family", outputCol="label").setStringOrderType("alphabetAsc").fit(rows)
     regression = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=0.2, family="multinomial")
-    model = Pipeline(stages=[*grams, together, hashed, regression]).fit(labels.transform(rows.where("not held")))
+    model = Pipeline(stages=[together, hashed, regression]).fit(labels.transform(rows.where("not held")))
     names = list(labels.labels)
     held = sorted((tuple(r) for r in _believed(model.transform(rows.where("held")), names).select("p", "guess", "family").collect()), reverse=True)
     told = [(p, guess == family) for p, guess, family in held if guess not in ("none", "unknown")]

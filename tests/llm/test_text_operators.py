@@ -334,6 +334,21 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), scanner).count() == 0
 
 
+def test_license_grams_are_built_by_spark_and_lines_ends_are_asked_for_first(spark):
+    from pyspark.ml.feature import NGram
+
+    df = spark.createDataFrame([(i, [f"w{j}" for j in range(i)]) for i in range(6)], "id long, words array<string>")
+    for n in (2, 3):
+        df = NGram(n=n, inputCol="words", outputCol=f"g{n}").transform(df)
+    assert df.where(F.expr(licenses.GRAMS) != F.concat("words", "g2", "g3")).count() == 0
+    assert not [s for s in licenses.fit(spark.createDataFrame([], "doc_id long, text string")).model.stages if isinstance(s, NGram)]
+    long, short = "x" * 41, "y" * 30
+    texts = [(f"{long} the \n Apache",), (f"{long}\n\n  low",), (f"{long} of\t\r\n(b",), (f"{long}.\nlow",), (f"{short}\nlow",), (f"{long} end\nUp",)]
+    got = [r[0] for r in spark.createDataFrame(texts, "t string").coalesce(1).select(licenses.paragraphs(F.col("t"))).collect()]
+    assert got == [[f"{long} the Apache"], [long, "low"], [f"{long} of (b"], [f"{long}.", "low"], [short, "low"], [f"{long} end", "Up"]]
+    assert licenses.WRAP.startswith(r"(?=[ \t]*\n)"), "looking back at every character was four fifths of the time that paragraphs took"
+
+
 def test_held_out_is_a_fifth_by_checksum(spark):
     import zlib
 
